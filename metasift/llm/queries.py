@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from metasift.llm import chat, licenses, secrets, token_files
+from metasift.llm import chat, language, licenses, neighbours, secrets, simhash, token_files
 from metasift.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,9 +47,27 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(spark.read.parquet(path))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs.withColumn("held_out", language.held_out()), keep=("held_out",))
+
+
+def identify(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    model = language.fit(docs, F.when(~language.held_out(), F.col("lang")))
+    return language.predict(docs, model, keep=keep)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_secrets": op1_secrets, "op4_licenses": op4_licenses, "op7_chat": op7_chat, "op5_token_files": op5_token_files}
+    return {"op1_secrets": op1_secrets, "op4_licenses": op4_licenses, "op7_chat": op7_chat, "op5_token_files": op5_token_files, "op8_neighbours": op8_neighbours, "op9_simhash": op9_simhash, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.digest_sql(), "op7_chat": chat.DIGEST_SQL}
+    return {"op4_licenses": licenses.digest_sql(), "op7_chat": chat.DIGEST_SQL, "op8_neighbours": neighbours.NEAREST_SQL}
