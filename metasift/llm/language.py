@@ -60,9 +60,12 @@ def fit(docs: DataFrame, label: Column, *, per_language: int = FITTED_A_LANGUAGE
     row for each language and bucket. Without labelled rows the model knows no language.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.cast("string").alias("label")).where("label IS NOT NULL AND text IS NOT NULL")
+    if labelled.select("label").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"the labels have more than {MOST_LANGUAGES} values")
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     chosen = labelled.select("id", "label").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id", "label").distinct()
-    texts = labelled.join(chosen, ["id", "label"], "left_semi").select("label", simplified(F.col("text")).alias("text"))
+    # at most per_language rows of each of MOST_LANGUAGES labels, so small enough to broadcast
+    texts = labelled.join(F.broadcast(chosen), ["id", "label"], "left_semi").select("label", simplified(F.col("text")).alias("text"))
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -79,8 +82,6 @@ def fit(docs: DataFrame, label: Column, *, per_language: int = FITTED_A_LANGUAGE
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(numbers)), pa.array(numbers, pa.int64()), pa.array(values, pa.int64())], ["label", "bucket", "n"])
 
     summed = texts.mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    if summed.select("label").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"the labels have more than {MOST_LANGUAGES} values")
     rows = summed.toArrow()
     names = sorted(set(rows["label"].to_pylist()))
     counts, documents = np.zeros((BUCKETS, len(names))), np.zeros(len(names))

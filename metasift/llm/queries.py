@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasift.llm import chat, language, licenses, neighbours, secrets, simhash, token_files
+from metasift.llm import chat, decontaminate, language, licenses, neighbours, secrets, simhash, token_files, toxicity
 from metasift.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,17 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.sample_of(docs, labels, F.col("toxic")))
+    return toxicity.grade_texts(docs, model)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.leak_rows(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -66,7 +77,7 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_secrets": op1_secrets, "op4_licenses": op4_licenses, "op7_chat": op7_chat, "op5_token_files": op5_token_files, "op8_neighbours": op8_neighbours, "op9_simhash": op9_simhash, "op10_language": op10_language}
+    return {"op1_secrets": op1_secrets, "op2_toxicity": op2_toxicity, "op6_decontamination": op6_decontamination, "op4_licenses": op4_licenses, "op7_chat": op7_chat, "op5_token_files": op5_token_files, "op8_neighbours": op8_neighbours, "op9_simhash": op9_simhash, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
