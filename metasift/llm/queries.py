@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasift.llm import chat, decontaminate, language, licenses, neighbours, secrets, simhash, token_files, toxicity
+from metasift.llm import chat, decontaminate, language, licenses, mixing, neighbours, secrets, simhash, token_files, toxicity
 from metasift.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_rows(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), F.array("source")).drop("sources")
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -77,7 +81,7 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_secrets": op1_secrets, "op2_toxicity": op2_toxicity, "op6_decontamination": op6_decontamination, "op4_licenses": op4_licenses, "op7_chat": op7_chat, "op5_token_files": op5_token_files, "op8_neighbours": op8_neighbours, "op9_simhash": op9_simhash, "op10_language": op10_language}
+    return {"op1_secrets": op1_secrets, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op6_decontamination": op6_decontamination, "op4_licenses": op4_licenses, "op7_chat": op7_chat, "op5_token_files": op5_token_files, "op8_neighbours": op8_neighbours, "op9_simhash": op9_simhash, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
