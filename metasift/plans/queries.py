@@ -1,11 +1,794 @@
-"""Registered queries of the evidence-synthesis operators, each with its SQL."""
+"""Registered queries of the evidence-synthesis operators, each with its SQL.
+
+The inputs are derived from the driver's tables: documents as records and texts, events as votes, calls and log lines,
+lineitem as trial arms. Every derived column has the same rule in the SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from metasift.functions import stats as S
+from metasift.functions import text as T
+from metasift.functions import vectors as V
+from metasift.operators import agreement, audit, dedup, exports, flow, grounding, history, ledger, meta, screening
+from metasift.sources import records as R
+from metasift.streaming import journal
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- screening ---------------------------------------------------------------------------------------------------------
+
+
+def _gold_and_decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    gold = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("record_id"), (F.col("quality") == 1).alias("relevant"))
+    label = F.when(F.col("n_chars") >= 600, "include").when(F.col("n_chars") >= 300, "unclear").otherwise("exclude")
+    decisions = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("doc_id").alias("seq"), label.alias("ensemble_label"))
+    return gold, decisions
+
+
+MATRIX_SQL = """
+m AS (SELECT count(*) FILTER (p AND g) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (NOT p AND g) AS fn, count(*) FILTER (NOT p AND NOT g) AS tn
+      FROM (SELECT n_chars >= 300 AS p, quality = 1 AS g FROM labels JOIN documents USING (doc_id))),
+d AS (SELECT *, tp::DOUBLE AS a, fp::DOUBLE AS b, fn::DOUBLE AS c, tn::DOUBLE AS e, (tp + fp + fn + tn)::DOUBLE AS t FROM m)
+"""
+
+
+@query(
+    f"""WITH {MATRIX_SQL}
+SELECT tp, fp, fn, tn, tp + fp + fn + tn AS n, a / nullif(a + c, 0) AS recall, c / nullif(a + c, 0) AS lost_evidence, a / nullif(a + b, 0) AS precision,
+  (a * e - b * c) / nullif(sqrt((a + b) * (a + c) * (e + b) * (e + c)), 0) AS mcc,
+  (a * e - b * c * 10) / nullif(sqrt((a + b) * (a + c * 10) * (e + b) * (e + c * 10)), 0) AS wmcc,
+  ((a + e) / t - ((a + b) * (a + c) + (c + e) * (b + e)) / (t * t)) / nullif(1 - ((a + b) * (a + c) + (c + e) * (b + e)) / (t * t), 0) AS kappa,
+  greatest(0.0, (a / (a + c) + 3.8416 / (2 * (a + c))) / (1 + 3.8416 / (a + c)) - 1.96 * sqrt(a / (a + c) * (1 - a / (a + c)) / (a + c) + 3.8416 / (4 * (a + c) * (a + c))) / (1 + 3.8416 / (a + c))) AS recall_low,
+  least(1.0, (a / (a + c) + 3.8416 / (2 * (a + c))) / (1 + 3.8416 / (a + c)) + 1.96 * sqrt(a / (a + c) * (1 - a / (a + c)) / (a + c) + 3.8416 / (4 * (a + c) * (a + c))) / (1 + 3.8416 / (a + c))) AS recall_high
+FROM d"""
+)
+def screening_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold, decisions = _gold_and_decisions(spark, sf_dir)
+    out = screening.screening_metrics(decisions, gold)
+    return _rounded(out)
+
+
+def _rounded(df: DataFrame, places: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c, kind in df.dtypes if kind == "double"})
+
+
+def _rounded_sql(sql: str, columns: str, doubles: str, places: int = 9) -> str:
+    """The query with its doubles rounded, as _rounded does it."""
+    plain = [c for c in columns.split() if c not in doubles.split()]
+    return f"SELECT {', '.join([*plain, *(f'round({c}, {places}) AS {c}' for c in doubles.split())])} FROM ({sql})"
+
+
+ORACLES["screening_metrics"] = _rounded_sql(ORACLES["screening_metrics"], "tp fp fn tn n recall lost_evidence precision mcc wmcc kappa recall_low recall_high", "recall lost_evidence precision mcc wmcc kappa recall_low recall_high")
+
+
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("event_type") == "purchase", "include").when(F.col("event_type") == "signup", "unclear").when(F.col("event_type").isin("view", "click"), "exclude")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("record_id"), label.alias("label"), F.col("event_id").alias("seq"))
+
+
+VOTES_SQL = "SELECT user_id AS record_id, CASE event_type WHEN 'purchase' THEN 'include' WHEN 'signup' THEN 'unclear' WHEN 'view' THEN 'exclude' WHEN 'click' THEN 'exclude' END AS label, event_id AS seq FROM events"
+
+
+@query(
+    f"""SELECT record_id, CASE WHEN coalesce(bool_or(label = 'include'), false) THEN 'include' WHEN coalesce(bool_or(label = 'unclear'), false) THEN 'unclear'
+  WHEN coalesce(bool_and(label = 'exclude'), false) THEN 'exclude' ELSE 'unclear' END AS ensemble_label, count(label) AS n_votes FROM ({VOTES_SQL}) GROUP BY 1"""
+)
+def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = _votes(spark, sf_dir)
+    return screening.ensemble(votes, votes.where("label IS NOT NULL"))
+
+
+DECISIONS_SQL = """
+decisions AS (SELECT doc_id AS record_id, doc_id AS seq, CASE WHEN doc_id % 5 < 2 THEN 'include' WHEN doc_id % 5 = 2 THEN 'unclear' ELSE 'exclude' END AS ensemble_label,
+  CASE doc_id % 7 WHEN 0 THEN 'include' WHEN 1 THEN 'exclude' END AS human_label, text, lang, source FROM documents),
+screened AS (SELECT *, coalesce(human_label, ensemble_label) AS final_label FROM decisions),
+ft0 AS (SELECT record_id, seq, CASE WHEN record_id % 11 = 0 THEN NULL WHEN record_id % 3 = 0 THEN 'exclude' ELSE 'include' END AS ensemble_label, CASE record_id % 13 WHEN 0 THEN 'exclude' WHEN 1 THEN 'include' END AS human_label,
+  CASE WHEN record_id % 26 = 0 THEN ' ' ELSE ' fuera de alcance ' END AS human_reason, CASE WHEN record_id % 11 = 0 THEN 'not_retrieved' ELSE 'retrieved' END AS fulltext_status,
+  CASE WHEN lang = 'en' THEN '' ELSE ' ' || lang || ' ' END AS criterion, text FROM screened WHERE final_label IN ('include', 'unclear')),
+fulltext AS (SELECT *, coalesce(human_label, ensemble_label) AS final_label FROM ft0),
+reports AS (SELECT record_id, CASE WHEN coalesce(human_label = 'exclude', false) THEN coalesce(nullif(trim(human_reason), ''), 'criterio no especificado') ELSE coalesce(nullif(trim(criterion), ''), 'criterio no especificado') END AS reason,
+  CASE WHEN coalesce(human_label = 'exclude', false) THEN 'human' ELSE 'ai' END AS reason_source, left(text, 40) AS title FROM fulltext WHERE final_label = 'exclude')
+"""
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, title-and-abstract decisions and full-text decisions."""
+    n = F.col("doc_id")
+    docs = read(spark, sf_dir, "documents").select(n.alias("record_id"), n.alias("seq"), F.substring("text", 1, 40).alias("title"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("doi"), "lang", F.col("source").alias("source_db"))
+    r = F.col("record_id")
+    proposed = F.when(r % 5 < 2, "include").when(r % 5 == 2, "unclear").otherwise("exclude")
+    human = F.when(r % 7 == 0, "include").when(r % 7 == 1, "exclude")
+    decided = docs.select("record_id", "seq", "lang", proposed.alias("ensemble_label"), F.lit(None).cast("string").alias("fulltext_status"))
+    labels = docs.select("record_id", human.alias("label"), F.lit(None).cast("string").alias("reason"), F.lit("human:x").alias("actor")).where("label IS NOT NULL")
+    screened = screening.apply_labels(decided, labels)
+    passed = screened.where(screening.passes(F.col("final_label"))).select("record_id", "seq", "lang")
+    ft = passed.select(
+        "record_id", "seq", F.when(r % 11 != 0, F.when(r % 3 == 0, "exclude").otherwise("include")).alias("ensemble_label"), F.when(r % 11 == 0, "not_retrieved").otherwise("retrieved").alias("fulltext_status"),
+        F.array(F.lit(" "), F.when(F.col("lang") == "en", "").otherwise(F.concat(F.lit(" "), "lang", F.lit(" ")))).alias("criteria"),
+    )
+    ft_labels = passed.select("record_id", F.when(r % 13 == 0, "exclude").when(r % 13 == 1, "include").alias("label"), F.when(r % 26 == 0, " ").otherwise(" fuera de alcance ").alias("reason"), F.lit("human:x").alias("actor")).where("label IS NOT NULL")
+    return docs, screened, screening.apply_labels(ft, ft_labels)
+
+
+@query(
+    f"""WITH {DECISIONS_SQL} SELECT count(*) FILTER (final_label = 'exclude') AS total_excluded,
+  count(*) FILTER (final_label = 'exclude' AND coalesce(human_label <> 'exclude', true)) AS excluded_ai, count(*) FILTER (final_label = 'exclude' AND human_label = 'exclude') AS excluded_human,
+  count(*) FILTER (ensemble_label = 'exclude' AND human_label = 'include') AS overridden_to_include, count(*) FILTER (ensemble_label IN ('include', 'unclear') AND human_label = 'exclude') AS overridden_to_exclude FROM screened"""
+)
+def exclusion_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screening.exclusion_breakdown(_decisions(spark, sf_dir)[1])
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _, ft = _decisions(spark, sf_dir)
+    return screening.excluded_reports(ft, docs)
+
+
+@query(f"WITH {DECISIONS_SQL} SELECT record_id, title, reason, reason_source FROM reports")
+def excluded_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reports(spark, sf_dir).select("record_id", "title", "reason", "reason_source")
+
+
+@query(f"WITH {DECISIONS_SQL} SELECT reason, count(*) AS n FROM reports GROUP BY 1 ORDER BY 2 DESC, 1")
+def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.reason_counts(_reports(spark, sf_dir))
+
+
+@query(
+    f"""WITH {DECISIONS_SQL}, ids AS (SELECT record_id, ensemble_label, fulltext_status FROM fulltext)
+SELECT count(*) FILTER (fulltext_status = 'not_retrieved' OR ensemble_label = 'unclear') AS n_must, count(*) FILTER (fulltext_status = 'not_retrieved') AS n_lost, count(*) FILTER (ensemble_label = 'unclear') AS n_unclear FROM ids"""
+)
+def required_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = screening.required_labels(_decisions(spark, sf_dir)[2], "A1")
+    return lists.select(F.size("must_label").cast("long").alias("n_must"), F.size("not_retrieved").cast("long").alias("n_lost"), F.size("unclear").cast("long").alias("n_unclear"))
+
+
+@query(f"WITH {DECISIONS_SQL} SELECT record_id FROM screened WHERE ensemble_label = 'exclude' AND human_label IS NULL")
+def unlabelled_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, screened, _ = _decisions(spark, sf_dir)
+    return screening.unlabelled_ai_exclusions(screened, screened.where("human_label IS NOT NULL"))
+
+
+# --- dedup -------------------------------------------------------------------------------------------------------------
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records: ids repeat, some titles are given as DOIs, one entry of ``extra`` is often empty."""
+    n = F.col("doc_id")
+    extra = F.create_map(F.lit("lang"), F.when(n % 3 == 0, "").otherwise(F.col("lang")), F.lit("src"), F.col("source"))
+    return read(spark, sf_dir, "documents").select(n.alias("seq"), F.concat(F.lit("rec-"), (n % 300).cast("string")).alias("record_id"), F.col("text").alias("title"), F.when(n % 10 == 1, F.concat(F.lit(" 10.1/X"), (n % 40).cast("string"))).alias("doi"), F.col("source").alias("source_db"), extra.alias("extra"))
+
+
+RECORDS_SQL = r"""
+records AS (SELECT doc_id AS seq, 'rec-' || (doc_id % 300) AS record_id, text AS title, CASE WHEN doc_id % 10 = 1 THEN ' 10.1/X' || (doc_id % 40) END AS doi, source AS source_db,
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS x_lang, source AS x_src FROM documents),
+keyed AS (SELECT *, CASE WHEN length(doi) > 0 THEN 'doi:' || trim(lower(doi)) ELSE 'title:' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) END AS key FROM records),
+placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS k FROM keyed),
+kept AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY record_id ORDER BY seq) = 1 THEN record_id ELSE record_id || '#' || row_number() OVER (PARTITION BY record_id ORDER BY seq) END AS new_id FROM placed WHERE k = 1)
+"""
+
+
+@query(f"WITH {RECORDS_SQL}, g AS (SELECT key, count(*) AS n FROM keyed GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_in, count(*) AS n_out, CAST(sum(n - 1) AS BIGINT) AS n_discarded, CAST(coalesce(sum(n) FILTER (key = 'title:'), 0) AS BIGINT) AS n_blank FROM g")
+def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_counts(_records(spark, sf_dir))
+
+
+@query(
+    f"""WITH {RECORDS_SQL}, e AS (SELECT key, arg_min(x_lang, seq) FILTER (x_lang <> '') AS lang, arg_min(x_src, seq) FILTER (x_src <> '') AS src FROM keyed GROUP BY 1)
+SELECT k.seq, k.new_id AS record_id, md5(k.key) AS key_md5, k.source_db, e.lang, e.src FROM kept k JOIN e USING (key)"""
+)
+def dedup_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unique, _, _ = dedup.deduplicate(_records(spark, sf_dir))
+    value = lambda k: F.try_element_at("extra", F.lit(k)).alias(k)
+    return unique.select("seq", "record_id", F.md5("key").alias("key_md5"), "source_db", value("lang"), value("src"))
+
+
+@query(f"WITH {RECORDS_SQL} SELECT p.seq, p.record_id, p.source_db, k.new_id AS kept_record_id, md5(p.key) AS key_md5 FROM placed p JOIN kept k USING (key) WHERE p.k > 1")
+def dedup_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, duplicates, _ = dedup.deduplicate(_records(spark, sf_dir))
+    return duplicates.select("seq", "record_id", "source_db", "kept_record_id", F.md5("key").alias("key_md5"))
+
+
+@query(f"WITH {RECORDS_SQL} SELECT seq, record_id AS from_id, new_id AS to_id FROM kept WHERE new_id <> record_id")
+def dedup_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.deduplicate(_records(spark, sf_dir))[2]
+
+
+# --- meta-analysis -----------------------------------------------------------------------------------------------------
+
+
+def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One study for each supplier nation, one review for each region; odd lines are the treated arm."""
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_linenumber") % 2 == 1).alias("treated"), (F.col("l_returnflag") == "R").alias("event"), "l_extendedprice")
+    # reduced by supplier first: what is joined is small
+    per = lines.groupBy("l_suppkey", "treated").agg(F.count(F.lit(1)).alias("n"), F.count_if("event").alias("e"), F.sum("l_extendedprice").alias("s"), F.sum(F.col("l_extendedprice") * F.col("l_extendedprice")).alias("ss"))
+    suppliers = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "n_regionkey")
+    rows = per.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    arm = lambda c, t: F.sum(F.when(F.col("treated") == t, F.col(c)))
+    studies = rows.groupBy(F.col("n_regionkey").alias("review"), F.col("n_name").alias("study_id")).agg(*[arm(c, t).alias(f"{c}{k}") for c in ("n", "e", "s", "ss") for k, t in ((1, True), (0, False))])
+    mean = lambda k: F.col(f"s{k}") / F.col(f"n{k}")
+    sd = lambda k: F.sqrt((F.col(f"ss{k}") - F.col(f"s{k}") * F.col(f"s{k}") / F.col(f"n{k}")) / (F.col(f"n{k}") - 1))
+    full = studies.where("n1 > 1 AND n0 > 1")
+    return full.select("review", "study_id", "e1", "n1", "e0", "n0", mean(1).alias("m1"), sd(1).alias("sd1"), F.col("n1").alias("cn1"), mean(0).alias("m0"), sd(0).alias("sd0"), F.col("n0").alias("cn0"))
+
+
+ARMS_SQL = """
+arms AS (SELECT n_regionkey AS review, n_name AS study_id, l_linenumber % 2 = 1 AS t, l_returnflag = 'R' AS ev, l_extendedprice AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+studies AS (SELECT review, study_id, count(*) FILTER (t AND ev) AS e1, count(*) FILTER (t) AS n1, count(*) FILTER (NOT t AND ev) AS e0, count(*) FILTER (NOT t) AS n0,
+  avg(x) FILTER (t) AS m1, stddev_samp(x) FILTER (t) AS sd1, avg(x) FILTER (NOT t) AS m0, stddev_samp(x) FILTER (NOT t) AS sd0 FROM arms GROUP BY 1, 2 HAVING n1 > 1 AND n0 > 1),
+logor AS (SELECT review, study_id, ln((e1 + h) * (n0 - e0 + h) / ((n1 - e1 + h) * (e0 + h))) AS yi, 1 / (e1 + h) + 1 / (n1 - e1 + h) + 1 / (e0 + h) + 1 / (n0 - e0 + h) AS vi
+  FROM (SELECT *, CASE WHEN least(e1, n1 - e1, e0, n0 - e0) = 0 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS h FROM studies)),
+md AS (SELECT review, study_id, m1 - m0 AS yi, sd1 * sd1 / n1 + sd0 * sd0 / n0 AS vi FROM studies),
+smd AS (SELECT review, study_id, g AS yi, (n1 + n0) / (n1::DOUBLE * n0) + g * g / (2 * (n1 + n0)) AS vi FROM (SELECT *,
+  (m1 - m0) / sqrt(((n1 - 1) * sd1 * sd1 + (n0 - 1) * sd0 * sd0) / (n1 + n0 - 2)) * (1 - 3 / (4 * (n1 + n0)::DOUBLE - 9)) AS g FROM studies))
+"""
+
+POOL_SQL = """
+f AS (SELECT review, count(*) AS k, sum(1 / vi) AS sw, sum(yi / vi) / sum(1 / vi) AS mean_fixed, sum(1 / (vi * vi)) AS sww FROM {m} GROUP BY 1),
+het AS (SELECT review, f.k, f.sw, f.mean_fixed, q, f.k - 1 AS df, CASE WHEN sw - sww / sw > 0 THEN greatest(0.0, (q - (f.k - 1)) / (sw - sww / sw)) ELSE 0.0 END AS tau2,
+  CASE WHEN q > 0 THEN greatest(0.0, (q - (f.k - 1)) / q) * 100 ELSE 0.0 END AS i2 FROM f JOIN (SELECT review, sum((yi - mean_fixed) * (yi - mean_fixed) / vi) AS q FROM {m} JOIN f USING (review) GROUP BY 1) USING (review)),
+pooled AS (SELECT review, model, k, swy / sw2 AS estimate, sqrt(1 / sw2) AS se, swy / sw2 - 1.96 * sqrt(1 / sw2) AS ci_low, swy / sw2 + 1.96 * sqrt(1 / sw2) AS ci_high, swy / sw2 / sqrt(1 / sw2) AS z, q, df, tau2, i2
+  FROM (SELECT review, model, sum(w) AS sw2, sum(w * yi) AS swy FROM (SELECT review, yi, 'fixed' AS model, 1 / vi AS w FROM {m} UNION ALL SELECT review, yi, 'random', 1 / (vi + tau2) FROM {m} JOIN het USING (review)) GROUP BY 1, 2) JOIN het USING (review) WHERE k >= 2)
+"""
+POOLED = ("review model k estimate se ci_low ci_high z q df tau2 i2", "estimate se ci_low ci_high z q tau2 i2")
+
+
+def _pooled_sql(measure: str) -> str:
+    return _rounded_sql(f"WITH {ARMS_SQL}, {POOL_SQL.format(m=measure)} SELECT * FROM pooled", *POOLED, places=6)
+
+
+def _pooled(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
+    return _rounded(meta.pooled(meta.effect_sizes(_arms(spark, sf_dir), measure), ["review"]), 6)
+
+
+@query(_pooled_sql("logor"))
+def meta_logor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pooled(spark, sf_dir, "logOR")
+
+
+@query(_pooled_sql("md"))
+def meta_md(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pooled(spark, sf_dir, "MD")
+
+
+@query(_pooled_sql("smd"))
+def meta_smd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pooled(spark, sf_dir, "SMD")
+
+
+@query(
+    _rounded_sql(
+        f"""WITH {ARMS_SQL}, {POOL_SQL.format(m="logor")}, r AS (SELECT *, 1 / (vi + tau2) AS wr FROM logor JOIN het USING (review))
+SELECT review, study_id, 1 / (1 + exp(-yi)) AS yi, vi, sqrt(vi) AS se, 1 / (1 + exp(-(yi - 1.96 * sqrt(vi)))) AS ci_low, 1 / (1 + exp(-(yi + 1.96 * sqrt(vi)))) AS ci_high, 100 / vi / sw AS weight_fixed, 100 * wr / sum(wr) OVER (PARTITION BY review) AS weight_random FROM r""",
+        "review study_id yi vi se ci_low ci_high weight_fixed weight_random",
+        "yi vi se ci_low ci_high weight_fixed weight_random",
+    )
+)
+def forest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    studies = meta.study_rows(meta.effect_sizes(_arms(spark, sf_dir), "logOR"), ["review"])
+    return _rounded(meta.forest(studies, "proportion"))
+
+
+@query(
+    _rounded_sql(
+        f"""WITH {ARMS_SQL}, p AS (SELECT review, 1 / sqrt(vi) AS x, yi / sqrt(vi) AS y FROM logor),
+l AS (SELECT review, count(*) AS k, regr_intercept(y, x) AS intercept, regr_slope(y, x) AS slope, regr_sxx(y, x) AS sxx, avg(x) AS mx FROM p GROUP BY 1 HAVING count(*) >= 3 AND regr_sxx(y, x) > 0),
+s AS (SELECT review, sum((y - intercept - slope * x) * (y - intercept - slope * x)) AS ss FROM p JOIN l USING (review) GROUP BY 1)
+SELECT review, k, intercept, slope, sqrt(ss / (k - 2) * (1 / k::DOUBLE + mx * mx / sxx)) AS se, intercept / sqrt(ss / (k - 2) * (1 / k::DOUBLE + mx * mx / sxx)) AS t FROM l JOIN s USING (review)""",
+        "review k intercept slope se t",
+        "intercept slope se t",
+        6,
+    )
+)
+def egger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(meta.egger(meta.effect_sizes(_arms(spark, sf_dir), "logOR"), ["review"]), 6)
+
+
+@query()
+def meta_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal tails come from a pandas UDF; neither engine has an error function."""
+    return meta.pooled(meta.effect_sizes(_arms(spark, sf_dir), "MD"), ["review"], p_values=True)
+
+
+# --- extraction --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT record_id, pos FROM (SELECT doc_id AS record_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n, greatest(1, CAST(ceil(0.2 * count(*) OVER ()) AS BIGINT)) AS k FROM documents) WHERE k >= n OR pos IN (SELECT least(n2 - 1, CAST(trunc(i * (n2::DOUBLE / k2)) AS BIGINT)) FROM (SELECT count(*) AS n2, greatest(1, CAST(ceil(0.2 * count(*)) AS BIGINT)) AS k2 FROM documents), range(0, k2) r(i))")
+def double_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agreement.systematic_sample(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id")), "record_id")
+
+
+@query(
+    _rounded_sql(
+        """WITH p AS (SELECT doc_id AS s, k, v FROM (SELECT doc_id, unnest(['lang', 'source', 'size']) AS k, unnest([lang, source, CASE WHEN n_chars > 900 THEN 'long' END]) AS v FROM documents WHERE doc_id % 4 <> 0)),
+q AS (SELECT doc_id AS s, k, v FROM (SELECT doc_id, unnest(['lang', 'source', 'note']) AS k, unnest(['  ' || upper(lang) || ' ', CASE WHEN doc_id % 3 = 0 THEN 'other' ELSE source END, CASE WHEN n_chars > 900 THEN 'x' END]) AS v FROM documents WHERE doc_id % 4 <> 1)),
+c AS (SELECT DISTINCT s FROM p INTERSECT SELECT DISTINCT s FROM q),
+j AS (SELECT coalesce(p.s, q.s) AS s, nullif(trim(lower(p.v)), '') AS a, nullif(trim(lower(q.v)), '') AS b FROM (SELECT * FROM p WHERE s IN (SELECT s FROM c)) p FULL JOIN (SELECT * FROM q WHERE s IN (SELECT s FROM c)) q ON p.s = q.s AND p.k = q.k),
+m AS (SELECT count(DISTINCT s) AS n_studies, count(*) AS n_field_pairs, count(*) FILTER (a = b) AS n_value_match, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL)::DOUBLE AS tp, count(*) FILTER (a IS NOT NULL AND b IS NULL)::DOUBLE AS fp,
+  count(*) FILTER (a IS NULL AND b IS NOT NULL)::DOUBLE AS fn, count(*) FILTER (a IS NULL AND b IS NULL)::DOUBLE AS tn FROM j)
+SELECT n_studies, n_field_pairs, n_value_match, n_value_match / n_field_pairs::DOUBLE AS value_agreement,
+  ((tp + tn) / n_field_pairs - ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n_field_pairs::DOUBLE * n_field_pairs)) / nullif(1 - ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n_field_pairs::DOUBLE * n_field_pairs), 0) AS presence_kappa FROM m""",
+        "n_studies n_field_pairs n_value_match value_agreement presence_kappa",
+        "value_agreement presence_kappa",
+    )
+)
+def extraction_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    long = F.col("n_chars") > 900
+    fields = lambda df, **values: df.select(F.col("doc_id").alias("study_id"), F.inline(F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()])))
+    first = fields(docs.where("doc_id % 4 <> 0"), lang=F.col("lang"), source=F.col("source"), size=F.when(long, "long"))
+    second = fields(docs.where("doc_id % 4 <> 1"), lang=F.concat(F.lit("  "), F.upper("lang"), F.lit(" ")), source=F.when(F.col("doc_id") % 3 == 0, "other").otherwise(F.col("source")), note=F.when(long, "x"))
+    return _rounded(agreement.agreement(first, second))
+
+
+# --- vectors and grounding ---------------------------------------------------------------------------------------------
+
+EMBED_SQL = """
+tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-záéíóúñü0-9]+')) AS t FROM {table}),
+cnt AS (SELECT doc_id, CAST(('0x' || substr(md5(t), 30, 3))::INT % 512 AS INT) AS bucket, count(*) AS n FROM tok GROUP BY 1, 2),
+vec AS (SELECT doc_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS weight FROM cnt)
+"""
+
+
+@query(f"WITH {EMBED_SQL.format(table='documents')} SELECT doc_id, bucket, round(weight, 9) AS weight FROM vec")
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(V.hash_embed(read(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@query(
+    f"""WITH {EMBED_SQL.format(table="documents")}, p AS (SELECT a.doc_id AS doc_id, b.doc_id AS other_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+s AS (SELECT p.doc_id, p.other_id, sum(x.weight * y.weight) AS similarity FROM p JOIN vec x ON x.doc_id = p.doc_id JOIN vec y ON y.doc_id = p.other_id AND y.bucket = x.bucket GROUP BY 1, 2)
+SELECT doc_id, other_id, round(coalesce(similarity, 0), 9) AS similarity, coalesce(similarity, 0) >= 0.12 AS grounded FROM p LEFT JOIN s USING (doc_id, other_id)"""
+)
+def hash_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    ids = docs.select("doc_id")
+    pairs = ids.join(ids.select(F.col("doc_id").alias("other_id")), F.col("other_id") == F.col("doc_id") + 1)
+    vectors = V.hash_embed(docs, "doc_id", "text")
+    scored = V.sparse_cosine(pairs, vectors, vectors.withColumnRenamed("doc_id", "other_id"), "doc_id", "other_id")
+    return scored.select("doc_id", "other_id", F.round("similarity", 9).alias("similarity"), (F.col("similarity") >= grounding.THRESHOLD).alias("grounded"))
+
+
+@query("SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(similarity, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id < 5)) WHERE rank <= 5")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return _rounded(grounding.most_similar(vectors.where("vec_id < 5"), vectors, 5))
+
+
+NARRATIVES_SQL = """
+n AS (SELECT doc_id, left(text, 200) || ' [rec-' || doc_id || '] ' || right(text, 60) || ' [rec-' || (doc_id + 1) || '] x [rec-' || doc_id || '] [none:' || (doc_id % 7) || ']' AS text FROM documents),
+c AS (SELECT doc_id, text, unnest(ids) AS cited_id, unnest(range(0, len(ids))) AS pos FROM (SELECT doc_id, text, ['rec-' || doc_id, 'rec-' || (doc_id + 1), 'none:' || (doc_id % 7)] AS ids FROM n)),
+claims AS (SELECT doc_id, CAST(pos AS INT) AS pos, cited_id, trim(substr(text, greatest(1, p0 - 120), p0 + length(cited_id) + 122 - greatest(1, p0 - 120)), ' ' || chr(10)) AS claim FROM (SELECT *, strpos(text, '[' || cited_id || ']') AS p0 FROM c))
+"""
+
+
+def _narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    tag = lambda prefix, x: F.concat(F.lit(f"[{prefix}"), x.cast("string"), F.lit("]"))
+    text = F.concat(F.substring("text", 1, 200), F.lit(" "), tag("rec-", n), F.lit(" "), F.right(F.col("text"), F.lit(60)), F.lit(" "), tag("rec-", n + 1), F.lit(" x "), tag("rec-", n), F.lit(" "), tag("none:", n % 7))
+    return read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@query(f"WITH {NARRATIVES_SQL} SELECT doc_id, pos, cited_id, md5(claim) AS claim_md5 FROM claims")
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grounding.cited(_narratives(spark, sf_dir)).select("doc_id", "pos", "cited_id", F.md5("claim").alias("claim_md5"))
+
+
+@query(
+    f"""WITH {NARRATIVES_SQL}, corpus AS (SELECT 'rec-' || doc_id AS record_id, CASE WHEN doc_id % 9 <> 0 THEN text END AS source FROM documents),
+ct AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(claim), '[a-záéíóúñü0-9]+')) AS t FROM claims),
+cv AS (SELECT doc_id, pos, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, pos)) AS w FROM (SELECT doc_id, pos, ('0x' || substr(md5(t), 30, 3))::INT % 512 AS bucket, count(*) AS n FROM ct GROUP BY ALL)),
+st AS (SELECT record_id, unnest(regexp_extract_all(lower(source), '[a-záéíóúñü0-9]+')) AS t FROM corpus),
+sv AS (SELECT record_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY record_id)) AS w FROM (SELECT record_id, ('0x' || substr(md5(t), 30, 3))::INT % 512 AS bucket, count(*) AS n FROM st GROUP BY ALL)),
+sim AS (SELECT c.doc_id, c.pos, sum(cv.w * sv.w) AS s FROM claims c JOIN cv USING (doc_id, pos) JOIN sv ON sv.record_id = c.cited_id AND sv.bucket = cv.bucket GROUP BY 1, 2),
+checks AS (SELECT doc_id, pos, record_id IS NOT NULL AS ex, record_id IS NOT NULL AND (source IS NULL OR coalesce(s, 0) >= 0.12) AS gr FROM claims LEFT JOIN corpus ON record_id = cited_id LEFT JOIN sim USING (doc_id, pos))
+SELECT doc_id, count(*) AS n_checks, count(*) FILTER (NOT ex OR NOT gr) AS n_flagged, bool_or(NOT ex OR NOT gr) AS hallucination_flagged FROM checks GROUP BY 1"""
+)
+def grounding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    corpus = read(spark, sf_dir, "documents").select(F.concat(F.lit("rec-"), n.cast("string")).alias("record_id"), F.when(n % 9 != 0, F.col("text")).alias("source"))
+    checks = grounding.verify(grounding.cited(_narratives(spark, sf_dir)), corpus)
+    return grounding.reports(checks).drop("flagged_positions")
+
+
+# --- text functions ----------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM pages")
+def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(T.page_text(F.col("html"))).alias("text_md5"))
+
+
+@query(
+    r"""SELECT doc_id, md5(regexp_replace(regexp_replace(t, '(//)[^/\s:@''"]+:[^/\s@''"]+@', '\1<redacted>@', 'g'), '(?i)((?:api_key|apikey|key|token|access_token|mailto|email|x-amz-signature|x-amz-credential|x-amz-security-token|signature|policy|key-pair-id|sig|client_secret|secret|password)=)[^&\s''"]+', '\1<redacted>', 'g')) AS redacted_md5
+FROM (SELECT doc_id, left(text, 300) || ' https://u' || doc_id || ':pw@h.org/p?token=abc' || doc_id || '&x=1 password=' || doc_id AS t FROM documents)"""
+)
+def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    text = F.concat(F.substring("text", 1, 300), F.lit(" https://u"), n, F.lit(":pw@h.org/p?token=abc"), n, F.lit("&x=1 password="), n)
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.redact(text)).alias("redacted_md5"))
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'https://doi.org/10.1/A' WHEN 1 THEN 'doi:10.2/B' WHEN 2 THEN 'HTTP://DOI.ORG/10.3/C' WHEN 3 THEN 'http://dx.doi.org/10.4/D' WHEN 4 THEN '' ELSE ' 10.5/E ' END || CASE WHEN doc_id % 6 = 4 THEN '' ELSE doc_id::VARCHAR END AS v, text, doc_id % 6 AS m FROM documents)
+SELECT doc_id, nullif(trim(lower(replace(v, 'https://doi.org/', ''))), '') AS index_doi,
+  CASE m WHEN 0 THEN '10.1/a' || doc_id WHEN 1 THEN '10.2/b' || doc_id WHEN 2 THEN '10.3/c' || doc_id WHEN 5 THEN '10.5/e ' || doc_id END AS repository_doi,
+  CASE WHEN length(v) > 0 THEN trim(replace(lower(v), 'https://doi.org/', '')) ELSE 'hash:' || left(sha256(lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))), 16) END AS import_id FROM d"""
+)
+def doi_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    forms = ["https://doi.org/10.1/A", "doi:10.2/B", "HTTP://DOI.ORG/10.3/C", "http://dx.doi.org/10.4/D", "", " 10.5/E "]
+    form = F.get(F.array(*[F.lit(f) for f in forms]), (n % 6).cast("int"))
+    value = F.concat(form, F.when(n % 6 == 4, "").otherwise(n.cast("string")))
+    return read(spark, sf_dir, "documents").select("doc_id", T.index_doi(value).alias("index_doi"), T.repository_doi(value).alias("repository_doi"), T.import_id(value, F.col("text")).alias("import_id"))
+
+
+@query(
+    r"""SELECT doc_id, trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', ' ', 'g')) AS title_key, nullif(trim(regexp_replace(lower(left(text, 60)), '\s+', ' ', 'g')), '') AS compared,
+  TRY_CAST(nullif(regexp_extract(text, '[0-9]{4}', 0), '') AS INT) AS any_year, 'c' || doc_id || '_x' AS cite_key, regexp_replace(left(text, 30), '[;,]', ' - ', 'g') <> left(text, 30) AS has_separator,
+  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 28 END AS day_gap FROM documents"""
+)
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, head = F.col("doc_id"), F.substring("text", 1, 60)
+    key = F.concat(F.lit("/c"), n.cast("string"), F.lit("-x."))
+    late = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (n % 28).cast("int")), "yyyy-MM-dd")
+    typed = F.when(n % 3 == 0, "soon").otherwise(late)
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", T.title_key(head).alias("title_key"), T.compared_value(head).alias("compared"), T.any_year(F.col("text")).alias("any_year"), T.cite_key(key).alias("cite_key"),
+        (F.regexp_replace(F.substring("text", 1, 30), "[;,]", " - ") != F.substring("text", 1, 30)).alias("has_separator"), T.days_between(typed, F.lit("2024-01-01")).cast("long").alias("day_gap"),
+    )
+
+
+@query("SELECT doc_id, round(1 / (1 + exp(-(n_chars / 1000.0))), 9) AS p, CASE WHEN doc_id % 100 BETWEEN 1 AND 99 THEN CAST(ceil(round(1 / (1 - (doc_id % 100) / 100.0::DOUBLE), 9)) AS BIGINT) END AS least_positives, abs((doc_id % 5) / 2.0 - 1) <= 1 AS correlation FROM documents")
+def scalar_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    target = (n % 100) / F.lit(100.0)
+    return read(spark, sf_dir, "documents").select("doc_id", F.round(S.expit(F.col("n_chars") / 1000.0), 9).alias("p"), S.least_positives(target).alias("least_positives"), S.is_correlation((n % 5) / 2.0 - 1).alias("correlation"))
+
+
+# --- log, calls, history -----------------------------------------------------------------------------------------------
+
+LOG_SQL = """
+log AS (SELECT ['screening_ta', 'screening_ft', 'extraction', 'rob', 'report'][1 + user_id % 5] AS stage, CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'signup' THEN 'reject' WHEN 'error' THEN 'flag_review' ELSE 'label' END AS action,
+  'human:u' || (user_id % 9) AS actor, 'A1' AS autonomy, 't' || (event_id % 50) AS target, 'r' || (user_id % 3) AS request_sha256, CASE WHEN event_id % 17 <> 0 THEN 'd' || (user_id % 4) END AS decision_sha256,
+  CASE WHEN value > 50 THEN 'include' ELSE 'exclude' END AS to_label, event_id AS seq, CASE WHEN event_id % 13 = 0 THEN ts - INTERVAL 1 HOUR ELSE ts END AS ts FROM events),
+eff AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY seq DESC) AS n FROM log WHERE action IN ('approve', 'reject', 'auto-proceed')) WHERE n = 1)
+"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, e, kind = F.col("user_id"), F.col("event_id"), F.col("event_type")
+    stage = F.get(F.array(*[F.lit(s) for s in ledger.STAGES]), (u % 5).cast("int"))
+    action = F.when(kind == "purchase", "approve").when(kind == "signup", "reject").when(kind == "error", "flag_review").otherwise("label")
+    tag = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    return read(spark, sf_dir, "events").select(
+        stage.alias("stage"), action.alias("action"), tag("human:u", u % 9).alias("actor"), F.lit("A1").alias("autonomy"), tag("t", e % 50).alias("target"), tag("r", u % 3).alias("request_sha256"),
+        F.when(e % 17 != 0, tag("d", u % 4)).alias("decision_sha256"), F.when(F.col("value") > 50, "include").otherwise("exclude").alias("to_label"), F.lit(None).cast("string").alias("reason"),
+        e.alias("seq"), F.when(e % 13 == 0, F.col("ts") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("ts")).alias("ts"),
+    )
+
+
+@query(
+    f"""WITH {LOG_SQL}, c AS (SELECT stage, decision_sha256, count(*) FILTER (action = 'label') AS nl, count(*) FILTER (action = 'flag_review') AS nf FROM log GROUP BY 1, 2)
+SELECT e.stage, e.action, e.actor, e.autonomy, e.request_sha256, e.decision_sha256, coalesce(nl, 0) AS n_labels, coalesce(nf, 0) AS n_flag_reviews, e.seq FROM eff e LEFT JOIN c ON c.stage = e.stage AND c.decision_sha256 = e.decision_sha256"""
+)
+def gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.gate_summary(_log(spark, sf_dir))
+
+
+@query(
+    f"""WITH {LOG_SQL} SELECT l.stage, l.target, arg_max(l.to_label, l.seq) AS label, arg_max(l.actor, l.seq) AS actor FROM log l JOIN eff e ON l.stage = e.stage AND l.request_sha256 IS NOT DISTINCT FROM e.request_sha256
+AND l.decision_sha256 IS NOT DISTINCT FROM e.decision_sha256 WHERE l.action = 'label' GROUP BY 1, 2"""
+)
+def labels_from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.labels_from_log(_log(spark, sf_dir)).drop("reason")
+
+
+@query(f"WITH {LOG_SQL} SELECT stage, seq, latest_before FROM (SELECT *, max(ts) OVER (PARTITION BY stage ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest_before FROM log) WHERE latest_before - ts > INTERVAL 2 SECONDS")
+def ledger_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.late_marks(_log(spark, sf_dir), ["stage"]).select("stage", "seq", "latest_before")
+
+
+@query(
+    f"""WITH {LOG_SQL}, c AS (SELECT stage, decision_sha256, min(seq) AS closed, bool_or(action = 'reject') AS rejected FROM log WHERE action IN ('approve', 'reject') GROUP BY 1, 2),
+m AS (SELECT l.*, closed, rejected FROM log l LEFT JOIN c ON c.stage = l.stage AND c.decision_sha256 = l.decision_sha256 WHERE l.action IN ('label', 'flag_review'))
+SELECT stage, problem, count(*) AS n FROM (SELECT stage, 'after closing' AS problem FROM m WHERE seq > closed UNION ALL SELECT stage, 'with a rejection' FROM m WHERE rejected
+UNION ALL SELECT stage, 'repeated' FROM (SELECT stage, row_number() OVER (PARTITION BY stage, action, target, request_sha256, decision_sha256 ORDER BY seq) AS n FROM log) WHERE n > 1) GROUP BY 1, 2"""
+)
+def label_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.label_breaks(_log(spark, sf_dir)).groupBy("stage", "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {LOG_SQL}, w AS (SELECT DISTINCT stage, action, target, request_sha256, decision_sha256 FROM log WHERE seq % 2 = 0), h AS (SELECT DISTINCT stage, action, target, request_sha256, decision_sha256 FROM log WHERE seq % 2 = 1)
+SELECT stage, count(*) AS n FROM (SELECT * FROM w EXCEPT SELECT * FROM h) GROUP BY 1"""
+)
+def idempotent_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    return ledger.missing_entries(log.where("seq % 2 = 1"), log.where("seq % 2 = 0")).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id")
+    return read(spark, sf_dir, "events").select(F.concat(F.lit("m"), (u % 6).cast("string")).alias("model"), F.when(u % 2 == 0, "fake").otherwise("remote").alias("provider"), (u % 2 == 0).alias("deterministic"), F.sha2((F.col("event_id") % 400).cast("string"), 256).alias("response_sha256"), F.col("ts"))
+
+
+CALLS_SQL = "calls AS (SELECT 'm' || (user_id % 6) AS model, CASE WHEN user_id % 2 = 0 THEN 'fake' ELSE 'remote' END AS provider, user_id % 2 = 0 AS deterministic, sha256((event_id % 400)::VARCHAR) AS response_sha256, ts FROM events)"
+
+
+@query(
+    f"""WITH {CALLS_SQL}, g AS (SELECT model, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY model ORDER BY ts))) / 1000.0 AS gap FROM calls)
+SELECT model, count(ts) AS n_calls, round(quantile_cont(gap::DOUBLE, 0.5), 6) AS median_gap_ms, count(*) FILTER (epoch_us(ts) % 1000000 = 0) AS n_whole_seconds,
+  coalesce(count(ts) >= 20 AND quantile_cont(gap::DOUBLE, 0.5) < 5, false) AS too_fast, count(ts) >= 4 AND count(*) FILTER (epoch_us(ts) % 1000000 = 0) * 2 >= count(ts) AS rounded FROM g GROUP BY 1"""
+)
+def call_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ledger.call_gaps(_calls(spark, sf_dir), ["model"]), 6)
+
+
+@query(
+    f"""WITH {CALLS_SQL}, p AS (SELECT model, count(*) AS n, count(DISTINCT response_sha256) AS d FROM calls GROUP BY 1 HAVING count(*) >= 10), h AS (SELECT DISTINCT model, response_sha256 FROM calls WHERE model IN (SELECT model FROM p))
+SELECT a.model AS model_a, b.model AS model_b, count(*) AS shared, round(count(*) / least(any_value(pa.d), any_value(pb.d))::DOUBLE, 9) AS overlap, count(*) / least(any_value(pa.d), any_value(pb.d))::DOUBLE >= 0.5 AS suspicious
+FROM h a JOIN h b ON a.response_sha256 = b.response_sha256 AND a.model < b.model JOIN p pa ON pa.model = a.model JOIN p pb ON pb.model = b.model GROUP BY 1, 2"""
+)
+def response_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ledger.response_overlap(_calls(spark, sf_dir)))
+
+
+@query(f"WITH {CALLS_SQL} SELECT list_sort(list(DISTINCT provider || ':' || model)) AS models_used, bool_and(deterministic) AS all_deterministic, count(*) AS n_calls FROM calls")
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.manifest(_calls(spark, sf_dir))
+
+
+RUNS_SQL = "prev AS (SELECT DISTINCT user_id AS record_id FROM events WHERE ts < (SELECT min(ts) + (max(ts) - min(ts)) / 50 FROM events)), cur AS (SELECT DISTINCT user_id AS record_id FROM events WHERE ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 50 FROM events))"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = read(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    half = events.agg((F.min("us") + (F.max("us") - F.min("us")) / 50).alias("half"))
+    split = events.crossJoin(F.broadcast(half)).select(F.col("user_id").alias("record_id"), (F.col("us") < F.col("half")).alias("early"))
+    return split.where("early").select("record_id"), split.where("NOT early").select("record_id")
+
+
+@query(f"WITH {RUNS_SQL} SELECT record_id, 'new' AS change FROM cur WHERE record_id NOT IN (SELECT record_id FROM prev) UNION ALL SELECT record_id, 'dropped' FROM prev WHERE record_id NOT IN (SELECT record_id FROM cur)")
+def living_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.living_delta(*_runs(spark, sf_dir))
+
+
+@query(f"WITH {RUNS_SQL}, n AS (SELECT count(*) AS new_included FROM cur WHERE record_id NOT IN (SELECT record_id FROM prev)), d AS (SELECT count(*) AS dropped FROM prev WHERE record_id NOT IN (SELECT record_id FROM cur)) SELECT (SELECT count(*) FROM prev) AS previous_included, new_included, dropped, (SELECT count(*) FROM prev) - dropped + new_included AS total_included FROM n, d")
+def updated_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.updated_flow(*_runs(spark, sf_dir))
+
+
+def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders")
+    ids = F.array_sort(F.array_distinct(F.array(*[F.concat(F.lit("c"), ((F.col("o_custkey") + k * F.col("o_orderkey")) % 12).cast("string")) for k in range(4)])))
+    return orders.select(F.concat(F.lit("s"), (F.col("o_custkey") % 50).cast("string")).alias("slug"), F.col("o_orderkey").alias("seq"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ts"), ids.alias("included_ids"))
+
+
+MEMORY_SQL = "ev AS (SELECT 's' || (o_custkey % 50) AS slug, o_orderkey AS seq, strftime(o_orderdate, '%Y-%m-%d') AS ts, list_sort(list_distinct(['c' || (o_custkey % 12), 'c' || ((o_custkey + o_orderkey) % 12), 'c' || ((o_custkey + 2 * o_orderkey) % 12), 'c' || ((o_custkey + 3 * o_orderkey) % 12)])) AS ids FROM orders)"
+
+
+@query(f"WITH {MEMORY_SQL} SELECT slug, count(*) AS n_runs, arg_max(ts, seq) AS last_ts, arg_max(ids, seq) AS last_included, min(seq) AS first_seq FROM ev GROUP BY 1")
+def brain_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.recall(_memory(spark, sf_dir))
+
+
+@query(
+    f"""WITH {MEMORY_SQL}, old AS (SELECT * FROM ev WHERE seq % 10 <> 0), arr AS (SELECT * FROM ev WHERE seq % 10 = 0), last AS (SELECT slug, arg_max(ids, seq) AS before FROM old GROUP BY 1)
+SELECT a.slug, a.seq, list_sort(list_filter(a.ids, lambda x: NOT list_contains(coalesce(before, []), x))) AS included_new, list_sort(list_filter(coalesce(before, []), lambda x: NOT list_contains(a.ids, x))) AS included_dropped
+FROM arr a LEFT JOIN last USING (slug) WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.slug = a.slug AND o.ts = a.ts)"""
+)
+def brain_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _memory(spark, sf_dir)
+    return history.with_delta(events.where("seq % 10 <> 0"), events.where("seq % 10 = 0")).select("slug", "seq", "included_new", "included_dropped")
+
+
+# --- flow and exports --------------------------------------------------------------------------------------------------
+
+COUNTS_SQL = f"""{RECORDS_SQL}, {DECISIONS_SQL},
+counts AS (SELECT (SELECT count(*) FROM records) AS identified, (SELECT count(*) FROM screened) AS screened, (SELECT count(*) FROM screened WHERE final_label = 'exclude') AS excluded_ta,
+  (SELECT count(*) FROM screened WHERE final_label = 'exclude' AND human_label = 'exclude') AS excluded_ta_human, (SELECT count(*) FROM screened WHERE final_label = 'exclude' AND coalesce(human_label <> 'exclude', true)) AS excluded_ta_ai,
+  (SELECT count(*) FROM fulltext) AS fulltext_sought, (SELECT count(*) FROM fulltext WHERE fulltext_status = 'not_retrieved' AND human_label IS NULL) AS fulltext_not_retrieved,
+  (SELECT count(*) FROM fulltext WHERE fulltext_status = 'not_retrieved' AND human_label IS NOT NULL) AS fulltext_rescued, (SELECT count(*) FROM fulltext WHERE final_label = 'include') AS included,
+  (SELECT count(*) FROM reports) AS excluded_ft, (SELECT count(*) FROM reports WHERE reason_source = 'human') AS excluded_ft_human, (SELECT count(*) FROM reports WHERE reason_source = 'ai') AS excluded_ft_ai)"""
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, screened, ft = _decisions(spark, sf_dir)
+    return flow.flow_counts(docs, docs, screened, ft, screening.excluded_reports(ft, docs))
+
+
+@query(
+    f"""WITH {COUNTS_SQL}, l AS (UNPIVOT (SELECT *, identified - screened AS duplicates_removed, fulltext_sought - fulltext_not_retrieved AS fulltext_assessed FROM counts) ON COLUMNS(*) INTO NAME item VALUE n) SELECT item, CAST(n AS BIGINT) AS n FROM l"""
+)
+def prisma_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.flow_rows(_counts(spark, sf_dir)).drop("pos")
+
+
+@query(
+    f"""WITH {COUNTS_SQL}, by_source AS (SELECT string_agg(source_db || ', ' || n, '; ' ORDER BY source_db) AS s FROM (SELECT source AS source_db, count(*) AS n FROM documents GROUP BY 1)),
+reasons AS (SELECT string_agg(reason || ', ' || n, '; ' ORDER BY reason) AS s FROM (SELECT reason, count(*) AS n FROM reports GROUP BY 1)),
+cells AS (SELECT unnest(['database_results', 'database_specific_results', 'duplicates', 'records_screened', 'records_excluded', 'dbr_sought_reports', 'dbr_notretrieved_reports', 'dbr_assessed', 'dbr_excluded', 'new_studies', 'new_reports', 'total_studies', 'total_reports']) AS data,
+  unnest([identified::VARCHAR, (SELECT s FROM by_source), (identified - screened)::VARCHAR, screened::VARCHAR, excluded_ta::VARCHAR, fulltext_sought::VARCHAR, fulltext_not_retrieved::VARCHAR, (fulltext_sought - fulltext_not_retrieved)::VARCHAR, (SELECT s FROM reasons), included::VARCHAR, included::VARCHAR, included::VARCHAR, included::VARCHAR]) AS n FROM counts)
+SELECT data, n FROM cells UNION ALL SELECT unnest(['register_results', 'register_specific_results', 'excluded_automatic', 'excluded_other', 'previous_studies', 'previous_reports', 'website_results', 'organisation_results', 'citations_results', 'other_sought_reports', 'other_notretrieved_reports', 'other_assessed', 'other_excluded']), '0'
+UNION ALL SELECT unnest(['total_studies_ma', 'total_reports_ma']), '4'"""
+)
+def flow_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.flow_cells(_counts(spark, sf_dir), meta_k=4)
+
+
+DOMAINS = ("user", "assistant", "system")
+
+
+@query(
+    """WITH r AS (SELECT conv_id AS study_id, role, arg_max(CASE length(text) % 5 WHEN 0 THEN 'Low' WHEN 1 THEN 'Some concerns' WHEN 2 THEN 'High' ELSE 'No information' END, turn) AS j FROM conversations GROUP BY 1, 2)
+SELECT c.study_id AS "Study", coalesce(max(j) FILTER (role = 'user'), 'No information') AS "user", coalesce(max(j) FILTER (role = 'assistant'), 'No information') AS assistant, coalesce(max(j) FILTER (role = 'system'), 'No information') AS system,
+  CASE WHEN c.study_id % 4 = 0 THEN 'No information' WHEN c.study_id % 4 = 1 THEN 'High' ELSE 'Low' END AS "Overall" FROM (SELECT DISTINCT conv_id AS study_id FROM conversations) c LEFT JOIN r USING (study_id) GROUP BY c.study_id"""
+)
+def robvis_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    size = F.length("text") % 5
+    domains = turns.select(F.col("conv_id").alias("study_id"), F.col("role").alias("domain"), F.when(size == 0, "low").when(size == 1, "some_concerns").when(size == 2, "high").when(size == 3, "unclear").otherwise("odd").alias("judgment"), F.col("turn").alias("seq"))
+    n = F.col("study_id") % 4
+    overall = domains.select("study_id").distinct().withColumn("overall", F.when(n == 1, "high").when(n > 1, "low"))
+    return exports.robvis(domains, overall, list(DOMAINS))
+
+
+@query(
+    """WITH f AS (SELECT conv_id AS study_id, role AS key, arg_max(CASE WHEN length(text) % 4 = 0 THEN '—' ELSE left(text, 8) END || CASE WHEN turn % 2 = 1 THEN ' ⚠️' ELSE '' END, turn) AS v FROM conversations GROUP BY 1, 2)
+SELECT study_id, coalesce(max(v) FILTER (key = 'user'), '—') AS "user", coalesce(max(v) FILTER (key = 'assistant'), '—') AS assistant, coalesce(max(v) FILTER (key = 'system'), '—') AS system FROM f GROUP BY 1"""
+)
+def extraction_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    fields = turns.select(F.col("conv_id").alias("study_id"), F.col("role").alias("key"), F.when(F.length("text") % 4 == 0, F.lit(None)).otherwise(F.substring("text", 1, 8)).alias("value"), F.when(F.col("turn") % 2 == 1, "needs_review").otherwise("found").alias("status"), F.col("turn").alias("seq"))
+    return exports.extraction_table(fields, list(DOMAINS))
+
+
+# --- sources -----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    r"""SELECT doc_id AS seq, coalesce(CASE WHEN doc_id % 2 = 0 THEN '10.9/w' || doc_id END, 'W' || doc_id) AS record_id, CASE WHEN doc_id % 2 = 0 THEN '10.9/w' || doc_id END AS doi, CAST(2000 + doc_id % 20 AS INT) AS year,
+  CASE WHEN doc_id % 5 <> 0 THEN 'Hello world Hello ' || lang END AS abstract, CASE WHEN doc_id % 3 = 0 THEN 'https://oa/' || doc_id ELSE 'https://land/' || doc_id END AS oa_url FROM documents"""
+)
+def works_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    index = F.when(n % 5 != 0, F.create_map(F.lit("Hello"), F.array(F.lit(0), F.lit(2)), F.lit("world"), F.array(F.lit(1)), F.col("lang"), F.array(F.lit(3)))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<int>>")))
+    raw = read(spark, sf_dir, "documents").select(
+        n.alias("seq"), F.concat(F.lit("https://openalex.org/W"), text).alias("id"), F.when(n % 2 == 0, F.concat(F.lit("https://doi.org/10.9/W"), text)).alias("doi"), F.col("source").alias("title"), (2000 + n % 20).cast("int").alias("publication_year"),
+        index.alias("abstract_inverted_index"), F.array(F.struct(F.struct(F.lit("A").alias("display_name")).alias("author"))).alias("authorships"), F.struct(F.when(n % 3 == 0, F.concat(F.lit("https://oa/"), text)).alias("oa_url")).alias("open_access"),
+        F.struct(F.lit(None).cast("string").alias("pdf_url"), F.concat(F.lit("https://land/"), text).alias("landing_page_url")).alias("primary_location"),
+    )
+    return R.works(raw).select("seq", "record_id", "doi", "year", "abstract", F.try_element_at("extra", F.lit("oa_url")).alias("oa_url"))
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of 50 documents each in RIS form: fields of each are known, so the parser can be held against them."""
+    n = F.col("doc_id")
+    text = n.cast("string")
+    entry = F.concat(F.lit("TY  - JOUR\nT1  - Title "), text, F.when(n % 2 == 0, F.concat(F.lit("\nDO  - https://doi.org/10.7/Q"), text)).otherwise(""), F.lit("\nAU  - First A\nAU  - Second B\nPY  - c"), (1990 + n % 30).cast("string"), F.lit("/x\nnoise\nUR  - u"), text, F.lit("\nER  - \n"))
+    return read(spark, sf_dir, "documents").groupBy((n / 50).cast("long").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("entry")))), lambda x: x["entry"]), "\n").alias("text")).select(F.format_string("f%08d", "file").alias("path"), "text")
+
+
+IMPORT_SQL = r"""SELECT printf('f%08d', CAST(floor(doc_id / 50) AS BIGINT)) AS path, CAST(row_number() OVER (PARTITION BY floor(doc_id / 50) ORDER BY doc_id) - 1 AS BIGINT) AS rec,
+  CASE WHEN doc_id % 2 = 0 THEN '10.7/q' || doc_id ELSE 'hash:' || left(sha256('title ' || doc_id), 16) END AS record_id, 'Title ' || doc_id AS title, ['First A', 'Second B'] AS authors, CAST(1990 + doc_id % 30 AS INT) AS year, 'u' || doc_id AS url FROM documents"""
+
+
+@query(IMPORT_SQL)
+def ris_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.parse_ris(_tagged(spark, sf_dir)).select("seq.path", F.col("seq.rec").cast("long").alias("rec"), "record_id", "title", "authors", "year", "url")
+
+
+@query(IMPORT_SQL)
+def bibtex_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    text = n.cast("string")
+    entry = F.concat(F.lit("@article{k"), text, F.lit(',\n  title = {Title\n   '), text, F.lit('},\n  author = "First A and Second B",\n  year = {'), (1990 + n % 30).cast("string"), F.lit("}, url={u"), text, F.lit("}"), F.when(n % 2 == 0, F.concat(F.lit(", doi = {https://doi.org/10.7/Q"), text, F.lit("}"))).otherwise(""), F.lit("\n}\n"))
+    files = read(spark, sf_dir, "documents").groupBy((n / 50).cast("long").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("entry")))), lambda x: x["entry"]), "\n").alias("text"))
+    parsed = R.parse_bibtex(files.select(F.format_string("f%08d", "file").alias("path"), "text"))
+    return parsed.select("seq.path", F.col("seq.rec").cast("long").alias("rec"), "record_id", "title", "authors", "year", "url")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'openalex' WHEN p_partkey % 4 = 1 THEN 'pubmed' END AS backend, CASE p_partkey % 4 WHEN 0 THEN 'database' WHEN 1 THEN 'database' WHEN 2 THEN 'manual' ELSE 'unknown' END AS kind FROM part")
+def backend_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.get(F.array(*[F.lit(x) for x in ("Open Alex", "MEDLINE", "Web of Science", "my own list")]), (F.col("p_partkey") % 4).cast("int"))
+    return R.backend_of(read(spark, sf_dir, "part").select("p_partkey", name.alias("name")), "name").select("p_partkey", "backend", "kind")
+
+
+@query("SELECT row_number() OVER (ORDER BY part, id) AS seq, part, id FROM (SELECT 0 AS part, doc_id AS id FROM documents UNION ALL SELECT 1, page_id FROM pages)")
+def union_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.lit(0).alias("part"), F.col("doc_id").alias("id"))
+    b = read(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.lit(1).alias("part"), F.col("page_id").alias("id"))
+    return R.dense_seq(R.in_order([a, b]))
+
+
+# --- audit -------------------------------------------------------------------------------------------------------------
+
+
+def _run(spark: SparkSession, sf_dir: str) -> audit.Run:
+    docs, screened, ft = _decisions(spark, sf_dir)
+    reports = screening.excluded_reports(ft, docs)
+    gold, _ = _gold_and_decisions(spark, sf_dir)
+    none = docs.where("false")
+    return audit.Run(
+        spark,
+        {
+            "counts": flow.flow_counts(docs, docs, screened, ft, reports), "records": docs, "dedup": docs, "duplicates": none, "screened": screened, "fulltext": ft, "reports": reports, "gold": gold,
+            "metrics": screening.screening_metrics(screened, gold), "votes": screened.select("record_id", F.col("ensemble_label").alias("label")), "calls": _calls(spark, sf_dir).withColumn("prompt_sha256", F.col("response_sha256")), "log": _log(spark, sf_dir),
+        },
+        thresholds={"recall": 0.2, "kappa": -1.0},
+        registration="id",
+    )
+
+
+@query(
+    f"""WITH {COUNTS_SQL}, c AS (SELECT *, fulltext_sought - fulltext_not_retrieved AS assessed FROM counts)
+SELECT '6' AS family, 'human + ai = excluded_ta' AS name, excluded_ta_human + excluded_ta_ai = excluded_ta AS ok FROM c
+UNION ALL SELECT '6', 'sought = screened - excluded_ta', fulltext_sought = screened - excluded_ta FROM c
+UNION ALL SELECT '6', 'excluded_ta = excluded decisions', excluded_ta = (SELECT count(*) FROM screened WHERE final_label = 'exclude') FROM c
+UNION ALL SELECT '6', 'sought = passing decisions', fulltext_sought = (SELECT count(*) FROM screened WHERE final_label IN ('include', 'unclear')) FROM c
+UNION ALL SELECT '9', 'excluded_ft = reports', excluded_ft = (SELECT count(*) FROM reports) FROM c
+UNION ALL SELECT '9', 'human + ai = excluded_ft', excluded_ft_human + excluded_ft_ai = excluded_ft FROM c
+UNION ALL SELECT '9', 'sum of reasons = excluded_ft', excluded_ft = (SELECT sum(n) FROM (SELECT count(*) AS n FROM reports GROUP BY reason)) FROM c
+UNION ALL SELECT '9', 'reports follow the decisions', true
+UNION ALL SELECT '10', 'included = assessed - excluded_ft', included = assessed - excluded_ft FROM c
+UNION ALL SELECT '10', 'included = including decisions', included = (SELECT count(*) FROM fulltext WHERE final_label = 'include') FROM c"""
+)
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.relations(_run(spark, sf_dir)).where("family IN ('6', '9', '10')").select("family", "name", "ok")
+
+
+@query()
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.checks(_run(spark, sf_dir))
+
+
+# --- journal -----------------------------------------------------------------------------------------------------------
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("record_id"), F.col("event_type").alias("input"), F.col("event_id").alias("seq"))
+    return journal.keyed(rows, F.col("input"))
+
+
+@query("SELECT count(*) AS n_pending FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0 EXCEPT SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 <> 0)")
+def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = _requests(spark, sf_dir)
+    known = requests.where("seq % 3 <> 0").withColumn("output", F.col("input"))
+    return journal.run_batch(requests.where("seq % 3 = 0"), known, lambda df: df.withColumn("output", F.upper("input"))).agg(F.count(F.lit(1)).alias("n_pending"))
+
+
+@query("SELECT 'u' || user_id AS record_id, count(DISTINCT value) AS n_outputs FROM (SELECT user_id, event_type, CASE WHEN event_id % 50 = 0 THEN 'other' ELSE 'same' END AS value FROM events) GROUP BY user_id, event_type HAVING count(DISTINCT value) > 1")
+def journal_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _requests(spark, sf_dir).withColumn("output", F.when(F.col("seq") % 50 == 0, "other").otherwise("same"))
+    return journal.conflicts(rows).select("record_id", "n_outputs")
+
+
+@query("SELECT model, CASE WHEN m < 2 THEN DATE '2026-06-01' WHEN m = 2 THEN DATE '2025-12-02' END AS shutdown, m < 3 AS is_past FROM (SELECT DISTINCT p_partkey % 4 AS m, CASE p_partkey % 4 WHEN 0 THEN 'google/m-2.0' WHEN 1 THEN 'M-2.0:free' WHEN 2 THEN 'm-2.5-pre' ELSE 'other' END AS model FROM part)")
+def retired_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.get(F.array(*[F.lit(x) for x in ("google/m-2.0", "M-2.0:free", "m-2.5-pre", "other")]), (F.col("p_partkey") % 4).cast("int"))
+    models = read(spark, sf_dir, "part").select(model.alias("model")).distinct()
+    table = spark.sql("SELECT * FROM VALUES ('m-2.0', DATE '2026-06-01'), ('m-2.5-pre', DATE '2025-12-02') AS t(name, shutdown)")
+    return audit.retirements(models, table, F.lit("2026-07-01").cast("date"))
