@@ -6,7 +6,7 @@ a table that is missing makes what needs it unverifiable, never true.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +37,19 @@ class Run:
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def gathered(self) -> Run:
+        """The same run with its one-row tables read once; nearly every relation looks at them."""
+        one_row = {name: local(self[name]) for name in ("counts", "metrics") if self.has(name)}
+        return replace(self, tables=self.tables | one_row)
+
+
+def local(few: DataFrame, most: int = 1000) -> DataFrame:
+    """A table of a few rows, computed once."""
+    rows = few.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return few.sparkSession.createDataFrame(rows, few.schema)
+
 
 def relation(one_row: DataFrame, family: str, name: str, ok: Column, detail: Column | None = None) -> DataFrame:
     text = detail if detail is not None else F.lit("")
@@ -79,6 +92,7 @@ def multiset_missing(part: DataFrame, whole: DataFrame, columns: list[str]) -> D
 
 def relations(run: Run) -> DataFrame:
     """Every relation that the tables allow, and a null row for each group that they don't."""
+    run = run.gathered()
     out: list[DataFrame] = []
     label = screening.effective_label()
 
@@ -192,6 +206,7 @@ def arithmetic(found: DataFrame) -> DataFrame:
 
 def checks(run: Run) -> DataFrame:
     """One row for each check whose tables there are; N/A for the others."""
+    run = run.gathered()
     out: list[DataFrame] = []
 
     def needs(check_id: str, *names: str) -> bool:
@@ -268,7 +283,7 @@ def checks(run: Run) -> DataFrame:
     out.append(check(run.spark.sql("SELECT 1"), "registration", F.when(F.length(T.strip(F.lit(run.registration))) > 0, "PASS").otherwise("WARN")))
     if needs("response_overlap", "calls"):
         out.append(none_left(ledger.response_overlap(run["calls"]).where("suspicious"), "response_overlap", "WARN"))
-    return fail_closed(reduce(lambda a, b: a.unionByName(b), out), run)
+    return fail_closed(local(reduce(lambda a, b: a.unionByName(b), out)), run)
 
 
 def fail_closed(found: DataFrame, run: Run) -> DataFrame:
