@@ -27,7 +27,7 @@ HEADER = struct.Struct("<4sBxxxIQ")  # magic, bits an id, ids a block, ids
 BLOCK_IDS = 4096
 PIECE_IDS = 1 << 20
 #: Encoded words kept by a Python worker; beyond this the table starts afresh.
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 19
 PIECES = "shard int, piece int, first_doc long, n_ids long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 
 
@@ -68,6 +68,11 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
 
 
 @lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    """The encoder of a Python worker; what it knows serves later tasks too."""
+    return WordEncoder(path)
+
+
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -75,10 +80,17 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: A Latin letter and the punctuation after it. An apostrophe isn't listed, for it can begin a contraction, nor is the one
+#: letter whose lower case ends in a mark.
+WORD_END = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,;:!?#$%&*()]+)"
+
+
 class WordEncoder:
     """Encodes texts word by word, each distinct word once.
 
-    The tokenizer must drop white space and never join across it; then a text's ids are those of its words in turn.
+    The tokenizer must lower-case, drop white space and never join across it, nor across the border between a letter and
+    plain punctuation; then a text's ids are those of its words and punctuation runs in turn. Texts that hold ``<|`` aren't
+    lower-cased here, since case decides whether such a string is a special token.
     """
 
     def __init__(self, path: str):
@@ -87,7 +99,10 @@ class WordEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
-        words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
+        words = pc.split_pattern(pc.replace_substring_regex(texts, WORD_END, r"\1 \2"), " ")
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > CACHED_WORDS:
@@ -121,7 +136,7 @@ def write_token_table(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
     ordered = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id")
 
     def pieces(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, number = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, shard, number = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
