@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _d(c: Column) -> Column:
@@ -38,7 +39,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p, z2 = k / n, z * z
     centre = (p + z2 / (2 * n)) / (1 + z2 / n)
     half = z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
-    return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    # greatest and least pass over nulls
+    return F.when(n > 0, F.greatest(F.lit(0.0), centre - half)), F.when(n > 0, F.least(F.lit(1.0), centre + half))
 
 
 def least_positives(target: Column) -> Column:
@@ -64,7 +66,7 @@ def close(a: Column, b: Column, rel: float = 1e-9, abs_: float = 1e-9) -> Column
     return (a.isNull() & b.isNull()) | F.coalesce(near, F.lit(False))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """Both tails of the normal distribution; Spark has no error function."""
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")

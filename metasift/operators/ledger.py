@@ -31,9 +31,8 @@ def effective(log: DataFrame) -> DataFrame:
 def gate_summary(log: DataFrame) -> DataFrame:
     """Effective decision of each stage and how many labels and flag reviews carry its hash (none if it has no hash)."""
     decided = effective(log)
-    own = log.groupBy("stage", F.col("decision_sha256").alias("sha")).agg(F.count_if(F.col("action") == "label").alias("n_labels"), F.count_if(F.col("action") == "flag_review").alias("n_flag_reviews"))
-    same = (decided["stage"] == own["stage"]) & (decided["decision_sha256"] == own["sha"])
-    joined = decided.join(own, same, "left").drop(own["stage"], own["sha"])
+    own = log.groupBy(F.col("stage").alias("own_stage"), F.col("decision_sha256").alias("own_sha")).agg(F.count_if(F.col("action") == "label").alias("n_labels"), F.count_if(F.col("action") == "flag_review").alias("n_flag_reviews"))
+    joined = decided.join(own, (F.col("stage") == F.col("own_stage")) & (F.col("decision_sha256") == F.col("own_sha")), "left")
     return joined.select("stage", "action", "actor", "autonomy", "request_sha256", "decision_sha256", F.coalesce("n_labels", F.lit(0)).alias("n_labels"), F.coalesce("n_flag_reviews", F.lit(0)).alias("n_flag_reviews"), "seq")
 
 
