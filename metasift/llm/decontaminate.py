@@ -98,7 +98,7 @@ def build_index(items: list[tuple[int, str]], q: int = Q, rate: float = EDIT_RAT
     needed = np.array([len(c) - q + 1 for c in codes], np.int64) - q * edits
     parts = [grams(c, q) for c in codes]
     hashes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    unit = np.repeat(np.arange(len(codes)), [len(p) for p in parts])
+    unit = np.repeat(np.arange(len(codes)), np.array([len(p) for p in parts], np.int64))
     place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.empty(0, np.int64)
     order = np.argsort(hashes, kind="stable")
     hashes, unit, place = hashes[order], unit[order], place[order]
