@@ -171,3 +171,18 @@ def json_object(text: Column) -> Column:
 def readable(binary: Column) -> Column:
     """Bytes as text; what isn't UTF-8 becomes U+FFFD."""
     return F.make_valid_utf8(binary.cast("string"))
+
+
+def canonical_map(entries: Column) -> Column:
+    """A map of strings as JSON with sorted keys and no spaces."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))), {"ignoreNullFields": "false"})
+
+
+def canonical_sha256(entries: Column) -> Column:
+    return F.sha2(canonical_map(entries), 256)
+
+
+def numeric_order(value: Column) -> Column:
+    """A sorting key: numbers by value first, then the rest by text."""
+    number = value.try_cast("long")
+    return F.struct(number.isNull(), number, value)

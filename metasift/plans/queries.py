@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from metasift.functions import stats as S
 from metasift.functions import text as T
 from metasift.functions import vectors as V
-from metasift.operators import agreement, audit, dedup, exports, flow, grounding, history, ledger, meta, screening
+from metasift.operators import agreement, audit, dedup, exports, flow, grounding, history, ledger, meta, providers, retrieval, screening
 from metasift.sources import records as R
 from metasift.streaming import journal
 
@@ -724,6 +724,44 @@ def union_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_seq(R.in_order([a, b]))
 
 
+@query("SELECT doc_id AS record_id, CASE WHEN (y1 AND NOT n1) OR (y2 AND NOT n2) THEN 'include' WHEN NOT (n1 AND NOT y1) OR NOT (n2 AND NOT y2) THEN 'unclear' ELSE 'exclude' END AS ensemble_label, 2 AS n_votes FROM (SELECT doc_id, contains(t, 'tion') AS y1, contains(t, 'ung') AS n1, contains(t, 'ment') AS y2, contains(t, 'ch') AS n2 FROM (SELECT doc_id, lower(left(text, 40) || ' ' || left(text, 400)) AS t FROM documents))")
+def stub_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.substring("text", 1, 40).alias("title"), F.substring("text", 1, 400).alias("abstract"))
+    members = {"a": providers.keyword_screener("tion", "ung"), "b": providers.keyword_screener("ment", "ch")}
+    return providers.screen(docs, members).select("record_id", "ensemble_label", F.col("n_votes").cast("int").alias("n_votes"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id, left(text, 50) AS abstract, CASE WHEN doc_id % 4 = 0 THEN text END AS archive, doc_id % 5 = 0 AS failed, CASE WHEN doc_id % 3 <> 0 THEN 'https://u/' || doc_id END AS url,
+  CASE doc_id % 7 WHEN 0 THEN 'error' WHEN 1 THEN 'no_client' ELSE 'ok' END AS status, CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS page FROM documents),
+o AS (SELECT *, archive IS NOT NULL OR (status = 'ok' AND length(page) > 0) AS available FROM a)
+SELECT doc_id AS record_id, available, CASE WHEN available THEN NULL WHEN failed OR status = 'error' THEN 'error_http' WHEN url IS NULL THEN 'sin_url_oa' WHEN status = 'no_client' THEN 'sin_httpx' ELSE 'texto_vacio' END AS reason,
+  CASE WHEN archive IS NOT NULL THEN 'https://www.ncbi.nlm.nih.gov/pmc/articles/PMC' || doc_id || '/' WHEN available THEN url END AS source_url,
+  CAST(CASE WHEN available THEN least(length(coalesce(archive, page)), 20000) ELSE 0 END AS INT) AS n_chars, CASE WHEN available THEN sha256(left(coalesce(archive, page), 20000)) END AS text_sha256 FROM o"""
+)
+def retrieval_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    attempts = read(spark, sf_dir, "documents").select(
+        n.alias("record_id"), F.substring("text", 1, 50).alias("abstract"), F.concat(F.lit("PMC"), n.cast("string")).alias("pmcid"), F.when(n % 4 == 0, F.col("text")).alias("archive_text"), (n % 5 == 0).alias("archive_failed"),
+        F.when(n % 3 != 0, F.concat(F.lit("https://u/"), n.cast("string"))).alias("open_url"), F.when(n % 7 == 0, "error").when(n % 7 == 1, "no_client").otherwise("ok").alias("open_status"), F.when(n % 2 == 0, F.col("text")).otherwise("").alias("open_text"),
+    )
+    return retrieval.outcomes(attempts).drop("text")
+
+
+@query("SELECT doc_id, sha256('{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}') AS hash FROM documents")
+def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.canonical_sha256(entries).alias("hash"))
+
+
+@query("SELECT conv_id AS study_id, count(*) AS n_fields, count(*) FILTER (role = 'user' AND length(text) > 0) AS n_review FROM (SELECT c.conv_id, f.role, max(c.text) FILTER (c.role = f.role) AS text FROM conversations c, (SELECT unnest(['user', 'assistant', 'system']) AS role) f GROUP BY 1, 2) GROUP BY 1")
+def stub_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    studies = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("record_id")).agg(F.max(F.when(F.col("role") == "user", F.col("text"))).alias("title"), F.lit("").alias("abstract"))
+    answer = lambda asked: asked.withColumns({"found": F.col("key") == "user", "value": F.col("title")})
+    fields = providers.extract(studies, DOMAINS, answer)
+    return fields.groupBy("study_id").agg(F.count(F.lit(1)).alias("n_fields"), F.count_if(F.col("status") == "needs_review").alias("n_review"))
+
+
 # --- audit -------------------------------------------------------------------------------------------------------------
 
 

@@ -161,6 +161,27 @@ def doaj(raw: DataFrame) -> DataFrame:
     )
 
 
+PMC_SUMMARY = "uid string, title string, pubdate string, articleids array<struct<idtype:string,value:string>>, authors array<struct<name:string>>"
+
+
+def pmc_summaries(raw: DataFrame) -> DataFrame:
+    """Summaries by uid; no abstract. Of several identifiers of type doi the last counts."""
+    dois = F.filter("articleids", lambda a: F.lower(a["idtype"]) == "doi")
+    doi = T.empty_to_null(F.lower(F.try_element_at(dois, F.lit(-1))["value"]))
+    pmcid = F.concat(F.lit("PMC"), F.col("uid"))
+    year = F.substring("pubdate", 1, 4)
+    return raw.select("seq", *record(or_native(doi, "pmc", F.col("uid")), F.col("title"), authors=F.coalesce(full_names(F.col("authors"), "name"), F.array().cast("array<string>")), year=F.when(year.rlike(r"^\d{4}$"), year.try_cast("int")), doi=doi, url=F.concat(F.lit("https://www.ncbi.nlm.nih.gov/pmc/articles/"), pmcid, F.lit("/")), source_db=F.lit("PMC"), extra=extras(pmcid=pmcid)))
+
+
+UNESDOC = "uuid string, title string, description string, creator string, year array<string>, url string, language array<string>, document_type string, isbn string"
+
+
+def unesdoc(raw: DataFrame) -> DataFrame:
+    """Grey literature without DOIs."""
+    creator = F.filter(F.array("creator"), lambda c: F.length(c) > 0)
+    return raw.select("seq", *record(F.concat(F.lit("unesdoc:"), F.coalesce(F.col("uuid"), F.col("seq").cast("string"))), F.col("title"), abstract=T.untagged(F.col("description")), authors=creator, year=T.leading_year(F.get("year", F.lit(0))), url=F.col("url"), source_db=F.lit("UNESDOC"), extra=extras(language=F.array_join("language", ","), document_type=F.col("document_type"), isbn=F.col("isbn"))))
+
+
 def first_of_list(raw: DataFrame, prefix: str, source_db: str, *, id_col: str, title_col: str, abstract_col: str, author_col: str, date_col: str, url_col: str) -> DataFrame:
     """Portals whose fields are lists: the first title, abstract and address; all authors; no DOI."""
     head = lambda c: F.get(c, F.lit(0))
