@@ -12,13 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Documents of each language that the model is fitted on: those with the smallest hashed ids.
+#: Documents of each language that the model is fitted on, about: a sample by hashed id.
 FITTED_A_LANGUAGE = 3000
+HASH_RANGE = 1 << 40
 #: Languages a model may have; the matrix that is broadcast stays below this many times BUCKETS floats.
 MOST_LANGUAGES = 512
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
@@ -54,18 +55,20 @@ def buckets(text: str) -> Iterator[np.ndarray]:
 
 
 def fit(docs: DataFrame, label: Column, *, per_language: int = FITTED_A_LANGUAGE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model of the non-null labels, fitted on at most ``per_language`` rows of each.
+    """A model of the non-null labels, fitted on about ``per_language`` rows of each, or all it has if fewer.
 
-    Which rows: those whose hashed ids are smallest, so a rerun takes the same. Counting runs in tasks; the driver gets one
-    row for each language and bucket. Without labelled rows the model knows no language.
+    Which rows: those whose hashed ids fall under the label's share of the hash range, so a rerun takes the same and no task
+    ranks a label's rows. Counting runs in tasks; the driver gets one row for each language and bucket. Without labelled
+    rows the model knows no language.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.cast("string").alias("label")).where("label IS NOT NULL AND text IS NOT NULL")
-    if labelled.select("label").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+    sizes = labelled.groupBy("label").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"the labels have more than {MOST_LANGUAGES} values")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = labelled.select("id", "label").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id", "label").distinct()
-    # at most per_language rows of each of MOST_LANGUAGES labels, so small enough to broadcast
-    texts = labelled.join(F.broadcast(chosen), ["id", "label"], "left_semi").select("label", simplified(F.col("text")).alias("text"))
+    under = [(r["label"], HASH_RANGE if r["count"] <= per_language else HASH_RANGE * per_language // r["count"]) for r in sizes]
+    shares = docs.sparkSession.createDataFrame(under, "share_of string, under long")
+    chosen = labelled.join(F.broadcast(shares), F.col("label") == F.col("share_of")).where(F.pmod(F.xxhash64("id"), F.lit(HASH_RANGE)) < F.col("under"))
+    texts = chosen.select("label", simplified(F.col("text")).alias("text"))
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
