@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metasift.functions import stats as S
 from metasift.functions import text as T
-
-
-def positions(df: DataFrame, order_col: str) -> DataFrame:
-    """``pos`` from 0 in order, and ``n``: numbers inside range partitions plus the sizes of those before, so no task orders the whole table."""
-    ranged = df.repartitionByRange(order_col).withColumn("range_no", F.spark_partition_id())
-    sizes = ranged.groupBy("range_no").agg(F.count(F.lit(1)).alias("size"))
-    around = Window.orderBy("range_no")
-    sizes = sizes.select("range_no", F.coalesce(F.sum("size").over(around.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy(F.lit(1))).alias("n"))
-    inside = ranged.withColumn("inner", F.row_number().over(Window.partitionBy("range_no").orderBy(order_col)) - 1)
-    return inside.join(sizes, "range_no").withColumn("pos", F.col("inner") + F.col("before")).drop("inner", "before", "range_no")
+from metasift.operators.ordered import positions
 
 
 def systematic_sample(df: DataFrame, order_col: str, fraction: float = 0.2) -> DataFrame:

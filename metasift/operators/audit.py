@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from metasift.functions import stats as S
 from metasift.functions import text as T
 from metasift.operators import grounding, ledger, screening
+from metasift.operators.ordered import positions
 
 RELATION = "family string, name string, ok boolean, detail string"
 CHECK = "check_id string, status string, detail string"
@@ -78,9 +79,7 @@ def rows_of(df: DataFrame, where: Column | None = None) -> DataFrame:
 
 
 def same_sequence(a: DataFrame, b: DataFrame, id_col: str = "record_id", seq_col: str = "seq") -> DataFrame:
-    """Positions where two ordered id lists differ. Places are compared by each id's predecessor, so no task numbers a whole list."""
-    from metasift.operators.agreement import positions
-
+    """Positions where two ordered id lists differ. """
     place = lambda df, name: positions(df.select(id_col, seq_col), seq_col).select("pos", F.col(id_col).alias(name))
     return place(a, "a").join(place(b, "b"), "pos", "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metasift.functions import text as T
+from metasift.operators.ordered import greatest_before
 
 #: Fixed orders and names.
 STAGES = ("screening_ta", "screening_ft", "extraction", "rob", "report")
@@ -59,14 +60,14 @@ def missing_entries(log: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def late_marks(log: DataFrame, by: list[str], tolerance: str = "INTERVAL 2 SECONDS") -> DataFrame:
     """Rows whose time lies more than the tolerance before the latest time of any earlier row. ``by`` parts the log."""
-    before = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("latest_before", F.max("ts").over(before)).where(F.expr(f"latest_before - ts > {tolerance}"))
+    return greatest_before(log, by, "seq", F.col("ts"), "latest_before").where(F.expr(f"latest_before - ts > {tolerance}"))
 
 
 def call_gaps(calls: DataFrame, by: list[str], least: int = 20, low_ms: float = 5.0) -> DataFrame:
     """Per group: calls, median gap in ms between sorted marks, share of marks on a whole second, and whether either looks made up."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    gaps = calls.withColumn("gap_ms", (micros - F.lag(micros).over(Window.partitionBy(*by).orderBy("ts"))) / 1000)
+    # in order of time the greatest mark before a row is the one before it
+    gaps = greatest_before(calls.withColumn("us", micros), by, "ts", F.col("us"), "us_before").withColumn("gap_ms", (F.col("us") - F.col("us_before")) / 1000)
     whole = micros % 1_000_000 == 0
     out = gaps.groupBy(*by).agg(F.count("ts").alias("n_calls"), F.percentile("gap_ms", 0.5).alias("median_gap_ms"), F.count_if(whole).alias("n_whole_seconds"))
     return out.withColumns({"too_fast": F.coalesce((F.col("n_calls") >= least) & (F.col("median_gap_ms") < low_ms), F.lit(False)), "rounded": (F.col("n_calls") >= 4) & (F.col("n_whole_seconds") * 2 >= F.col("n_calls"))})

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metasift.functions import text as T
+from metasift.operators.ordered import positions
 
 RECORD = "record_id string, title string, abstract string, authors array<string>, year int, doi string, url string, source_db string, extra map<string,string>"
 
@@ -271,12 +272,8 @@ def in_order(parts: list[DataFrame]) -> DataFrame:
 
 
 def dense_seq(records: DataFrame) -> DataFrame:
-    """``seq`` as a whole number from 1 in the same order, by range partitions: a count of each, then numbers inside each."""
-    ordered = records.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("range_no", F.spark_partition_id())
-    sizes = ordered.groupBy("range_no").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = ordered.withColumn("seq", F.row_number().over(Window.partitionBy("range_no").orderBy("seq")))
-    return inside.join(before, "range_no").withColumn("seq", F.col("seq") + F.col("before")).drop("range_no", "before")
+    """``seq`` as a whole number from 1 in the same order."""
+    return positions(records, "seq").withColumn("seq", F.col("pos") + 1).drop("pos", "n")
 
 
 def backend_of(names: DataFrame, name_col: str) -> DataFrame:
