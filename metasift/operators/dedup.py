@@ -40,10 +40,9 @@ def renamed_ids(kept: DataFrame) -> DataFrame:
     taken = kept.where(F.col("record_id").rlike(r"#\d+$")).select(stem.alias("stem")).distinct()
     risky = proposed.where("n > 1").select("record_id").distinct().join(taken, F.col("record_id") == F.col("stem"), "left_semi")
     calm = proposed.join(risky, "record_id", "left_anti").drop("n")
-    family = proposed.withColumn("stem", stem).drop("n", "new_id")
     # a risky id meets all ids with its stem
-    wanted = risky.withColumnRenamed("record_id", "risk")
-    grouped = family.join(wanted, (F.col("stem") == F.col("risk")) | (F.col("record_id") == F.col("risk"))).drop("stem")
+    family = proposed.drop("n", "new_id").withColumn("risk", F.explode(F.array_distinct(F.array(stem, "record_id"))))
+    grouped = family.join(risky.withColumnRenamed("record_id", "risk"), "risk", "left_semi")
 
     def number(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq", kind="stable")

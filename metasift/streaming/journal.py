@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -62,11 +63,12 @@ def run_stream(spark: SparkSession, requests: DataFrame, journal_path: str, chec
 def read_journal(spark: SparkSession, journal_path: str) -> DataFrame:
     """Journal rows with their batch; without any, an empty table."""
     schema = "record_id string, input_sha256 string, output string, seq long, batch long"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(journal_path)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    try:
+        return spark.read.schema(schema).parquet(journal_path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(journal_path)
 
 
 def cached_texts(outcomes: DataFrame, texts: DataFrame) -> DataFrame:
