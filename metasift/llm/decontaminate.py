@@ -28,7 +28,8 @@ BLOCK_CHARS = 4_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
 FILTER_BITS = 22
 #: Characters of texts searched at a time.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 19
+BATCH_ROWS = 512
 MATCHES = "array<struct<item_id:long,start:int,end:int,edits:int,chars:int>>"
 
 
@@ -210,11 +211,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float
         sent = docs.sparkSession.sparkContext.broadcast(build_index([(r["item"], r["item_text"]) for r in own], q, rate))
 
         def matched(stream: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in stream:
-                leaks = search(sent.value, batch.column(place).to_pylist(), q) if len(sent.value.hashes) else [[]] * batch.num_rows
-                before = batch.column(batch.num_columns - 1).to_pylist()
+            for part in (batch.slice(at, BATCH_ROWS) for batch in stream for at in range(0, batch.num_rows, BATCH_ROWS)):
+                leaks = search(sent.value, part.column(place).to_pylist(), q) if len(sent.value.hashes) else [[]] * part.num_rows
+                before = part.column(part.num_columns - 1).to_pylist()
                 both = pa.array([[*a, *b] for a, b in zip(before, leaks, strict=True)], found_type)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], both], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], both], part.schema.names)
 
         result = result.mapInArrow(matched, result.schema)
     return result

@@ -8,7 +8,6 @@ offsets); blocks hold a multiple of eight ids, so each begins on a byte and can
 
 from __future__ import annotations
 
-import itertools
 import os
 import struct
 import zlib
@@ -25,9 +24,15 @@ from pyspark.sql import functions as F
 MAGIC = b"MSBP"
 HEADER = struct.Struct("<4sBxxxIQ")  # magic, bits an id, ids a block, ids
 BLOCK_IDS = 4096
+#: At these widths the packed bits are plain little-endian numbers.
+WHOLE_BYTES = {8: "<u1", 16: "<u2", 32: "<u4"}
 PIECE_IDS = 1 << 20
-#: Encoded words kept by a Python worker; beyond this the table starts afresh.
-CACHED_WORDS = 1 << 19
+#: Documents encoded at a time.
+ENCODED_ROWS = 512
+#: Encoded words kept by a Python worker, about.
+CACHED_WORDS = 1 << 18
+#: Words given to the tokenizer at a time.
+ENCODED_WORDS = 1 << 13
 PIECES = "shard int, piece int, first_doc long, n_ids long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 
 
@@ -41,8 +46,11 @@ def pack(ids: np.ndarray, bits: int, block_ids: int = BLOCK_IDS) -> bytes:
         raise ValueError("a block must hold a multiple of eight ids")
     n_blocks = -(-len(ids) // block_ids)
     offsets = np.arange(n_blocks, dtype="<u8") * (block_ids * bits // 8)
-    planes = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    body = np.packbits(planes[:, :bits].reshape(-1), bitorder="little")
+    if whole := WHOLE_BYTES.get(bits):
+        body = np.asarray(ids).astype(whole)
+    else:
+        planes = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+        body = np.packbits(planes[:, :bits].reshape(-1), bitorder="little")
     return HEADER.pack(MAGIC, bits, block_ids, len(ids)) + offsets.tobytes() + body.tobytes()
 
 
@@ -61,9 +69,12 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
     end = int(offsets[last + 1]) if last + 1 < n_blocks else len(payload) - at
     body = np.frombuffer(payload, np.uint8, end - int(offsets[first]), at + int(offsets[first]))
     held = min(n_ids, (last + 1) * block_ids) - first * block_ids
-    planes = np.zeros((held, 32), np.uint8)
-    planes[:, :bits] = np.unpackbits(body, count=held * bits, bitorder="little").reshape(held, bits)
-    ids = np.packbits(planes, axis=1, bitorder="little").view("<u4").reshape(-1)
+    if whole := WHOLE_BYTES.get(bits):
+        ids = body[: held * bits // 8].view(whole).astype("<u4")
+    else:
+        planes = np.zeros((held, 32), np.uint8)
+        planes[:, :bits] = np.unpackbits(body, count=held * bits, bitorder="little").reshape(held, bits)
+        ids = np.packbits(planes, axis=1, bitorder="little").view("<u4").reshape(-1)
     return ids[start - first * block_ids : stop - first * block_ids]
 
 
@@ -95,7 +106,9 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.known: dict[str, list[int]] = {}
+        # ids as little-endian numbers of four bytes; words not met for a while go with the older half
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
@@ -105,14 +118,20 @@ class WordEncoder:
         words = pc.split_pattern(pc.replace_substring_regex(texts, WORD_END, r"\1 \2"), " ")
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        if new := [w for w in distinct if w not in self.known]:
-            self.known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        if len(self.known) + len(distinct) > CACHED_WORDS // 2:
+            self.known, self.older = {}, self.known
+        missing = [w for w in distinct if w not in self.known]
+        self.known.update((w, self.older[w]) for w in missing if w in self.older)
+        new = [w for w in missing if w not in self.older]
+        for at in range(0, len(new), ENCODED_WORDS):
+            part = new[at : at + ENCODED_WORDS]
+            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
         ids = [self.known[w] for w in distinct]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), "<u4")
         word = coded.indices.to_numpy()
+        pa.default_memory_pool().release_unused()
         of_word, ends = lengths[word] if len(word) else np.empty(0, np.int64), np.cumsum(lengths)
         total = np.concatenate(([0], np.cumsum(of_word)))
         from_pool = np.repeat((ends - lengths)[word] - total[:-1], of_word) if len(word) else np.empty(0, np.int64)
@@ -148,8 +167,8 @@ def write_token_table(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
         for batch in stream:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, ENCODED_ROWS):
+                part = batch.slice(at, ENCODED_ROWS)
                 ids, counts = encoder(part.column(1))
                 ids, counts = with_end(ids, counts, end_id)
                 held.append((part.column(0).to_pylist(), counts, ids))
