@@ -45,7 +45,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     edges = np.diff(letter.astype(np.int8))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     lengths, out = ends - starts, []
     mixed = np.zeros(len(starts), np.uint64)
     wide = codes.astype(np.uint64)
@@ -56,7 +56,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
             out.append((mixed[going] + np.uint64(k + 1)) * MULTIPLIER)
     out.append(mixed * MULTIPLIER)
     ids = np.concatenate(out) >> np.uint64(64 - BUCKET_BITS)
-    return np.unique(ids.astype(np.int64), return_counts=True)
+    found, counts = np.unique(ids.astype(np.int32), return_counts=True)
+    return found, counts.astype(np.int32)
 
 
 @dataclass
@@ -72,17 +73,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def select_features(row: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets whose presence says most about being above grade 0, by the likelihood ratio of their two-by-two table; and which of them are strong marks (a ratio of at least MARK, and more frequent above 0)."""
-    size = 1 << BUCKET_BITS
-    with_it = np.bincount(bucket, toxic[row], size)
-    present = np.bincount(bucket, minlength=size).astype(float)
+    found, place = np.unique(bucket, return_inverse=True)
+    with_it = np.bincount(place, toxic[row], len(found))
+    present = np.bincount(place, minlength=len(found)).astype(float)
+    del place
     n, n1 = float(len(toxic)), float(toxic.sum())
-    gain = np.zeros(size)
+    gain = np.zeros(len(found))
     for seen, of_feature, of_class in ((with_it, present, n1), (present - with_it, present, n - n1), (n1 - with_it, n - present, n1), (n - n1 - present + with_it, n - present, n - n1)):
         gain += seen * np.log(np.maximum(seen, 1e-300) * n / np.maximum(of_feature * of_class, 1e-300))
     gain[present < 3] = 0
     best = np.argsort(-gain, kind="stable")[:keep]
     best = np.sort(best[gain[best] > 0])
-    return best, (gain[best] >= MARK) & (with_it[best] * n > present[best] * n1)
+    return found[best], (gain[best] >= MARK) & (with_it[best] * n > present[best] * n1)
 
 
 def minimise(loss, start: np.ndarray, *, steps: int, memory: int = 10) -> np.ndarray:
@@ -162,17 +164,16 @@ def fit(labelled: DataFrame, *, keep: int = FEATURES, toxic_grades: int = 2, tex
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             found = [features(t.as_py() or "") for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64())), batch.column(1)], ["buckets", "counts", "grade"]
-            )
+            numbers = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*numbers, batch.column(1)], ["buckets", "counts", "grade"])
 
-    sample = rows.select("text", "grade").mapInArrow(count, "buckets array<long>, counts array<long>, grade int").toArrow()
+    sample = rows.select("text", "grade").mapInArrow(count, "buckets array<int>, counts array<int>, grade int").toArrow()
     grade = sample["grade"].to_numpy().astype(np.int64)
     place = np.full(1 << BUCKET_BITS, -1, np.int16)
     if len(np.unique(grade)) < 2 or grade.min() > 0:
         return Model(place, np.zeros(1), np.array([np.inf]))
     buckets, counts = sample["buckets"].combine_chunks(), sample["counts"].combine_chunks()
-    row = np.repeat(np.arange(len(grade)), buckets.value_lengths().to_numpy())
+    row = np.repeat(np.arange(len(grade), dtype=np.int32), buckets.value_lengths().to_numpy())
     bucket, n = buckets.flatten().to_numpy(), counts.flatten().to_numpy()
     chosen, marks = select_features(row, bucket, (grade > 0).astype(float), keep)
     place[chosen] = np.arange(len(chosen))
