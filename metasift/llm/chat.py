@@ -6,7 +6,8 @@ control strings. A conversation is kept as segments, each with its text and whet
 is the segments joined.
 
 Control strings begin with ``<|``. In texts a backslash is doubled and ``<|`` becomes ``<\\|``, so no text can hold a control
-string, and dropping each escaping backslash gives the text back.
+string, and dropping each escaping backslash gives the text back. A part after the first that begins with ``|`` gets a
+backslash there, for the part before it may end in ``<``.
 """
 
 from __future__ import annotations
@@ -43,12 +44,14 @@ def text_parts(text: Column) -> Column:
     return F.array(part)
 
 
-def flat_part(part: Column) -> Column:
-    """Text of a part, escaped, or the placeholder of an attachment; an unknown type gives an empty string."""
+def flat_part(part: Column, number: Column) -> Column:
+    """Text of a part, escaped, or the placeholder of an attachment; an unknown type gives an empty string. ``number``: its place, from 0."""
+    joins = (number > 0) & F.startswith(part["text"], F.lit("|"))
+    text = F.concat(F.when(joins, F.lit("\\")).otherwise(F.lit("")), escape(part["text"]))
     placeholder = F.when(F.lit(False), F.lit(""))
     for kind in TOKENS_A_UNIT:
         placeholder = placeholder.when(part["type"] == kind, F.lit(f"<|{kind}|>"))
-    return F.when(part["type"] == "text", escape(part["text"])).otherwise(F.coalesce(placeholder, F.lit("")))
+    return F.when(part["type"] == "text", text).otherwise(F.coalesce(placeholder, F.lit("")))
 
 
 def attachment(part: Column, turn: Column) -> Column:
