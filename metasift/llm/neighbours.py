@@ -14,9 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metasift.llm.common import fresh_path
+
 QUERY_CHUNK = 2048
 TILE = 2048
 #: Products of int8 components are added exactly in float32 up to this many; wider vectors use float64.
@@ -108,23 +111,37 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str =
 
     Ties go to the smaller id; a query with fewer candidates gets them all. A row is no candidate of a query with the same
     id. Rows with a null id, and vectors that are null, zero or hold a null or non-finite component, take no part; vectors of
-    different lengths never meet. Other columns are ignored; an empty table gives an empty one.
+    different lengths never meet. Other columns are ignored; an empty table gives an empty one. Where the queries need more
+    than one chunk, each chunk's finds are written to the shared folder before the next chunk is taken, so one chunk is held at a time.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("asked"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
     asked = rows.where("asked").select("id", "vector")
     chunks = max(1, -(-asked.count() // query_chunk))
-    found = [_pass(rows, asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == n), k) for n in range(chunks)]
-    merged = found[0]
-    for part in found[1:]:
-        merged = merged.unionAll(part)
+    if chunks == 1:
+        merged, _ = _pass(rows, asked, k)
+    else:
+        merged = _chunk_by_chunk(rows, asked, chunks, k)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias(id_col), "score")
 
 
-def _pass(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """One chunk of queries (about ``query_chunk`` vectors, broadcast) against all rows."""
+def _chunk_by_chunk(rows: DataFrame, asked: DataFrame, chunks: int, k: int) -> DataFrame:
+    """All finds, from the shared folder. Queries are written by chunk first, so a pass reads its own alone."""
+    spark = rows.sparkSession
+    queries, finds = fresh_path(spark, "queries"), fresh_path(spark, "nearest")
+    asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).write.partitionBy("chunk").parquet(queries)
+    written = spark.read.parquet(queries)
+    for n in range(chunks):
+        found, sent = _pass(rows, written.where(F.col("chunk") == n).select("id", "vector"), k)
+        found.write.mode("append").parquet(finds)
+        sent.destroy()
+    return spark.read.parquet(finds)
+
+
+def _pass(rows: DataFrame, asked: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """One chunk of queries (about ``query_chunk`` vectors, broadcast) against all rows; and the broadcast."""
     table = asked.toArrow().combine_chunks()
     known = [Rounded(*part) for part in matrices(table["id"].combine_chunks(), table["vector"].combine_chunks())] if table.num_rows else []
     sent = rows.sparkSession.sparkContext.broadcast(known)
@@ -143,7 +160,7 @@ def _pass(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 q, v, d = zip(*kept, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "score"])
 
-    return rows.select("id", "vector").mapInArrow(search, "query_id long, vec_id long, score double")
+    return rows.select("id", "vector").mapInArrow(search, "query_id long, vec_id long, score double"), sent
 
 
 NEAREST_SQL = """
