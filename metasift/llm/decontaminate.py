@@ -196,9 +196,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float
 
     Items are taken in blocks of about ``block_chars`` characters, so what is broadcast stays bounded; every block meets all
     rows. Null texts and null, blank or very short items (fewer than q - 2 characters) match nothing. Repeated rows are
-    searched each; equal items are all reported; an empty table on either side gives no leak.
+    searched each; items with equal texts are all reported, a repeated row of one item once; an empty table on either side gives no leak.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("item_text")).where("item IS NOT NULL AND item_text IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("item_text")).where("item IS NOT NULL AND item_text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     found_type = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32()), ("chars", pa.int32())]))

@@ -102,3 +102,9 @@ def test_empty_tables(spark, documents, items):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     assert D.find_leaks(documents([]), benchmark).collect() == []
     assert D.leak_rows(D.find_leaks(documents([(1, "x")]), benchmark.where("false"))).collect() == []
+
+
+def test_repeated_item_rows_count_once(spark, documents, items):
+    docs = documents([(1, f"before {items[0][1]} after"), (2, "nothing of it")])
+    once, twice = (spark.createDataFrame(rows, "item_id long, text string") for rows in (items, items + items))
+    assert decontaminate.find_leaks(docs, twice).select("doc_id", "leaks").collect() == decontaminate.find_leaks(docs, once).select("doc_id", "leaks").collect()
