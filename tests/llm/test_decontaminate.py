@@ -107,4 +107,4 @@ def test_empty_tables(spark, documents, items):
 def test_repeated_item_rows_count_once(spark, documents, items):
     docs = documents([(1, f"before {items[0][1]} after"), (2, "nothing of it")])
     once, twice = (spark.createDataFrame(rows, "item_id long, text string") for rows in (items, items + items))
-    assert decontaminate.find_leaks(docs, twice).select("doc_id", "leaks").collect() == decontaminate.find_leaks(docs, once).select("doc_id", "leaks").collect()
+    assert D.find_leaks(docs, twice).select("doc_id", "leaks").collect() == D.find_leaks(docs, once).select("doc_id", "leaks").collect()
