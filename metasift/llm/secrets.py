@@ -1,9 +1,11 @@
 """Secret scan: plain patterns, and runs that a tokenizer needs many tokens for.
 
 Random strings cost about one token for every one or two characters, while words, paths and
-identifiers cost far fewer. A run is reported as ``dense`` when it has both letters and digits,
-isn't a known digest, UUID or number-like identifier, and averages at most ``max_ratio``
-characters a token. Runs that a plain pattern has reported are left to that pattern.
+identifiers cost far fewer. A run is reported as ``dense`` when it has letters, isn't a known
+digest, UUID or number-like identifier, and averages at most ``max_ratio`` characters a token (at
+most 2.1 where it has no digit, as long words come near the usual bound). Readable words in a run dilute that average, so where the whole run is above
+it, its stretches are measured: the pieces between separators, and every window of whole tokens
+with at least 20 characters. What a plain pattern has reported is cut out of a run first.
 """
 
 from __future__ import annotations
@@ -29,6 +31,11 @@ UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 LETTER, DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
+LEAST = 20
+LETTERS_RATIO = 2.1
+#: What may stand between the words of a run, and identifiers that stand between separators.
+PART = re.compile(r"[^/_=-]+")
+KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{'|'.join(f'[0-9a-fA-F]{{{n}}}' for n in sorted(DIGEST_LENGTHS))})(?![A-Za-z0-9])")
 #: Runs are measured in pieces of this many characters, so a huge run stays linear.
 PIECE = 512
 
@@ -51,18 +58,84 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def chars_per_token(run: str, ranks_path: str) -> float:
-    encode = _encoding(ranks_path).encode_ordinary
-    return len(run) / sum(len(encode(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
+def token_lengths(run: str, ranks_path: str) -> list[int]:
+    encoding = _encoding(ranks_path)
+    tokens = (t for i in range(0, len(run), PIECE) for t in encoding.encode_ordinary(run[i : i + PIECE]))
+    return [len(encoding.decode_single_token_bytes(t)) for t in tokens]
 
 
 def is_known_identifier(run: str) -> bool:
-    """A digest of a usual length, a UUID, or a run without letters or without digits."""
-    if UUID.fullmatch(run) or not LETTER.search(run) or not DIGIT.search(run):
+    """A digest of a usual length, a UUID, or a run without letters."""
+    if UUID.fullmatch(run) or not LETTER.search(run):
         return True
     return len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) is not None
 
 
+def is_dense(run: str, ratio: float, max_ratio: float) -> bool:
+    return ratio <= (max_ratio if DIGIT.search(run) else min(max_ratio, LETTERS_RATIO)) and not is_known_identifier(run)
+
+
+def without(start: int, end: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of a span outside of ``cuts``, where it has room for a dense stretch."""
+    for a, b in sorted(cuts):
+        if a >= end:
+            break
+        if b > start:
+            if a - start >= LEAST:
+                yield start, a
+            start = b
+    if end - start >= LEAST:
+        yield start, end
+
+
+def dense_windows(run: str, lengths: list[int], max_ratio: float) -> Iterator[tuple[int, int, float]]:
+    """From each token on, the fewest tokens with at least 20 characters, where they are dense."""
+    last, start, size = 0, 0, 0
+    for first, length in enumerate(lengths):
+        while size < LEAST and last < len(lengths):
+            size += lengths[last]
+            last += 1
+        if size < LEAST:
+            return
+        ratio = size / (last - first)
+        if ratio <= max_ratio and is_dense(run[start : start + size], ratio, max_ratio):
+            yield start, start + size, ratio
+        start, size = start + length, size - length
+
+
+def dense_stretches(run: str, ranks_path: str, max_ratio: float) -> Iterator[tuple[int, int, float]]:
+    """Start, end and characters a token of the dense stretches of a run: the whole of it, or else what its pieces and windows cover."""
+    if is_known_identifier(run):
+        return
+    lengths = token_lengths(run, ranks_path)
+    ratio = len(run) / len(lengths)
+    if is_dense(run, ratio, max_ratio):
+        yield 0, len(run), ratio
+        return
+    found = []
+    for start, end in without(0, len(run), [m.span() for m in KNOWN.finditer(run)]):
+        part = run[start:end]
+        own = lengths if part == run else token_lengths(part, ranks_path)
+        found += [(start + a, start + b, r) for a, b, r in dense_windows(part, own, max_ratio)]
+        for m in PART.finditer(part):
+            # a piece is measured apart, as its first characters may share a token with what stands before it
+            if len(m[0]) >= LEAST and m[0] != part:
+                piece = token_lengths(m[0], ranks_path)
+                ratio = len(m[0]) / len(piece)
+                whole = [(0, len(m[0]), ratio)] if is_dense(m[0], ratio, max_ratio) else dense_windows(m[0], piece, max_ratio)
+                found += [(start + m.start() + a, start + m.start() + b, r) for a, b, r in whole]
+    held: tuple[int, int, float] | None = None
+    for a, b, r in sorted(found):
+        if held and a < held[1]:
+            held = (held[0], max(held[1], b), min(held[2], r))
+        else:
+            if held:
+                yield held
+            held = (a, b, r)
+    if held:
+        yield held
+
+
 def scan(text: str, ranks_path: str, max_ratio: float) -> list[dict]:
     found = []
     if KEYWORD.search(text):
@@ -71,15 +144,16 @@ def scan(text: str, ranks_path: str, max_ratio: float) -> list[dict]:
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     spans = [{"kind": k, "start": a, "end": b, "ratio": None} for k, a, b in found]
     for m in RUN.finditer(text):
-        if is_known_identifier(m[0]) or any(a < m.end() and m.start() < b for _, a, b in found):
+        if is_known_identifier(m[0]):
             continue
-        if (ratio := chars_per_token(m[0], ranks_path)) <= max_ratio:
-            spans.append({"kind": "dense", "start": m.start(), "end": m.end(), "ratio": ratio})
+        cuts = [(a, b) for _, a, b in found if a < m.end() and m.start() < b]
+        for start, end in without(m.start(), m.end(), cuts):
+            spans += [{"kind": "dense", "start": start + a, "end": start + b, "ratio": r} for a, b, r in dense_stretches(text[start:end], ranks_path, max_ratio)]
     return sorted(spans, key=lambda s: (s["start"], KINDS.index(s["kind"])))
 
 
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, max_ratio: float = 2.2) -> DataFrame:
-    """One row per row of ``docs``: its id and ``spans`` (kind, start, end in code points, characters a token for dense runs).
+    """One row per row of ``docs``: its id and ``spans`` (kind, start, end in code points, characters a token for dense stretches: the least of the windows that a stretch is made of).
 
     Null and empty texts have no spans; repeated rows are scanned each; other columns are ignored; an empty table gives an empty one.
     """
