@@ -1,11 +1,13 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are reduced to lower-case letters and digits with single spaces. An item is cut into overlapping
-units, so a leaked part of it still holds a whole unit. A unit of ``m`` characters that occurs in a text with at most ``e``
+units: long ones of 120 characters at every 60th, and short ones of 60 characters at every word. So an excerpt that keeps
+60 characters from the beginning of some word on is found, wherever it stands: any excerpt of 60 characters and one word
+more. A unit of ``m`` characters that occurs in a text with at most ``e``
 edits shares at least ``m - q + 1 - q * e`` q-grams with it, all of them inside a strip of e + 1 diagonals (place in the text
 less place in the unit). Shared q-grams are counted in diagonal bands twice as wide, each overlapping half of the next, so
-some band holds the whole strip; bands below the bound are dropped, and the region of each that is left is verified by
-banded alignment.
+some band holds the whole strip. An item's q-grams are listed once: those of one band are sorted by their place in the item,
+and units that hold too few of them are dropped. The region of each unit that is left is verified by banded alignment.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 Q = 10
 EDIT_RATE = 0.08
 UNIT, UNIT_STEP = 120, 60
+SHORT = 60
 #: Benchmark characters in one block; each block is broadcast and meets all texts once.
 BLOCK_CHARS = 4_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
@@ -71,42 +74,67 @@ def budget(chars: int, rate: float, q: int) -> int:
 
 @dataclass
 class Index:
-    """Units of a block of items, and their q-grams sorted by hash."""
+    """Units of a block of items, and the items' q-grams sorted by hash. Units of one length class and item stand together.
+
+    ``item``, ``codes``, ``edits`` and ``at`` (place in the item) are by unit; the rest of what is said of items is by their
+    number here. ``classes`` holds each length class: unit length, edits and least shared q-grams by item, and where the
+    item's units begin (one entry more than items).
+    """
 
     item: np.ndarray
     codes: list[np.ndarray]
     edits: np.ndarray
-    needed: np.ndarray
+    at: np.ndarray
+    classes: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    longest: int
     hashes: np.ndarray
     first: np.ndarray
-    unit: np.ndarray
+    owner: np.ndarray
     place: np.ndarray
     present: np.ndarray
 
 
+def unit_starts(whole: np.ndarray, size: int) -> list[int]:
+    """Long units begin at every 60th character, short ones at every word; the last one ends with the item."""
+    last = len(whole) - size
+    if last <= 0:
+        return [0]
+    words = np.flatnonzero(whole[:last] == 0).tolist() if size == SHORT else list(range(0, last, UNIT_STEP))
+    return [*words, last]
+
+
 def build_index(items: list[tuple[int, str]], q: int = Q, rate: float = EDIT_RATE) -> Index:
-    item, codes = [], []
+    numbers, wholes = [], []
     for number, text in items:
         whole = reduce_text(text)[0]
-        if len(whole) < q:
-            continue  # fewer than q - 2 characters: no q-gram, see find_leaks
-        last = max(0, len(whole) - UNIT)
-        starts = range(0, last + UNIT_STEP, UNIT_STEP) if last else (0,)
-        for start in starts:
-            item.append(number)
-            codes.append(whole[min(start, last) : min(start, last) + UNIT])
-    edits = np.array([budget(len(c), rate, q) for c in codes], np.int64)
-    needed = np.array([len(c) - q + 1 for c in codes], np.int64) - q * edits
-    parts = [grams(c, q) for c in codes]
+        if len(whole) >= q:  # else fewer than q - 2 characters: no q-gram, see find_leaks
+            numbers.append(number)
+            wholes.append(whole)
+    item, codes, edits, at, classes = [], [], [], [], []
+    for size in (UNIT, SHORT):
+        lengths = np.array([min(size, len(w)) for w in wholes], np.int64)
+        allowed = np.array([budget(n, rate, q) for n in lengths.tolist()], np.int64)
+        begins = [len(codes)]
+        for k, whole in enumerate(wholes):
+            # an item that is no longer than a short unit is one long unit already
+            for start in unit_starts(whole, size) if size == UNIT or len(whole) > SHORT else ():
+                item.append(numbers[k])
+                codes.append(whole[start : start + size])
+                edits.append(allowed[k])
+                at.append(start)
+            begins.append(len(codes))
+        classes.append((lengths, allowed, lengths - q + 1 - q * allowed, np.array(begins, np.int64)))
+    parts = [grams(w, q) for w in wholes]
     hashes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    unit = np.repeat(np.arange(len(codes)), np.array([len(p) for p in parts], np.int64))
-    place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(wholes), dtype=np.int32), np.array([len(p) for p in parts], np.int64))
+    place = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts]) if parts else np.empty(0, np.int32)
     order = np.argsort(hashes, kind="stable")
-    hashes, unit, place = hashes[order], unit[order], place[order]
+    hashes, owner, place = hashes[order], owner[order], place[order]
     first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.empty(0, np.int64)
     present = np.zeros(1 << FILTER_BITS, bool)
     present[hashes >> np.uint64(64 - FILTER_BITS)] = True
-    return Index(np.array(item, np.int64), codes, edits, needed, hashes[first] if len(first) else hashes, np.append(first, len(hashes)), unit, place, present)
+    longest = max(map(len, wholes), default=0)
+    return Index(np.array(item, np.int64), codes, np.array(edits, np.int64), np.array(at, np.int64), classes, longest, hashes[first] if len(first) else hashes, np.append(first, len(hashes)), owner, place, present)
 
 
 def align(unit: np.ndarray, region: np.ndarray, limit: int) -> tuple[int, int, int] | None:
@@ -129,8 +157,8 @@ def align(unit: np.ndarray, region: np.ndarray, limit: int) -> tuple[int, int, i
     return (edits, start, end) if edits <= limit else None
 
 
-def candidates(index: Index, codes: np.ndarray, owner: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """owner, unit, lowest and highest diagonal of the bands that reach their unit's bound. ``owner``: the text of each character."""
+def candidates(index: Index, codes: np.ndarray, owner: np.ndarray, q: int) -> Iterator[tuple[int, int, int, int]]:
+    """owner, unit, lowest and highest place of the unit in the bands that reach its bound; long units first. ``owner``: the text of each character."""
     hashed = grams(codes, q)
     at = np.flatnonzero(index.present[hashed >> np.uint64(64 - FILTER_BITS)])
     found = np.searchsorted(index.hashes, hashed[at])
@@ -139,22 +167,51 @@ def candidates(index: Index, codes: np.ndarray, owner: np.ndarray, q: int) -> tu
     at, found = at[owner[at] == owner[at + q - 1]], found[owner[at] == owner[at + q - 1]]
     n = index.first[found + 1] - index.first[found]
     entry = np.repeat(index.first[found] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    text_at, unit = np.repeat(at, n), index.unit[entry]
-    diagonal = text_at - index.place[entry] + len(codes)  # positive
-    width = index.edits[unit] + 1
-    band = diagonal // width
-    keys = np.concatenate((band, band - 1)) * len(index.codes) + np.concatenate((unit, unit))
-    # a band lies in one text, but for its overhang; the text is part of the key
-    texts = np.concatenate((owner[text_at], owner[text_at]))
-    order = np.lexsort((keys, texts))
-    keys, texts = keys[order], texts[order]
-    new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])))) if len(keys) else np.empty(0, np.int64)
-    counts = np.diff(np.append(new, len(keys)))
-    unit, band = keys[new] % max(len(index.codes), 1), keys[new] // max(len(index.codes), 1)
-    enough = counts >= index.needed[unit]
-    unit, band, texts = unit[enough], band[enough], texts[new][enough]
-    low = band * (index.edits[unit] + 1) - len(codes)
-    return texts, unit, low, low + 2 * (index.edits[unit] + 1) - 1
+    text_at, item, place = np.repeat(at, n), index.owner[entry].astype(np.int64), index.place[entry].astype(np.int64)
+    if not len(entry):
+        return
+    texts, diagonal, span = owner[text_at], text_at - place + index.longest, index.longest + 1  # diagonals are positive
+    for lengths, edits, needed, begins in index.classes:
+        width = edits[item] + 1
+        band = diagonal // width
+        # a band lies in one text, but for its overhang; the text is part of the key
+        keys = np.concatenate((band, band - 1)) * len(lengths) + np.concatenate((item, item))
+        both, places = np.concatenate((texts, texts)), np.concatenate((place, place))
+        order = np.lexsort((places, keys, both))
+        keys, both, places = keys[order], both[order], places[order]
+        group = np.cumsum(np.concatenate(([False], (keys[1:] != keys[:-1]) | (both[1:] != both[:-1]))))
+        line = group * span + places
+        own = keys % len(lengths)
+        ahead = np.arange(len(line)) + needed[own] - 1
+        near = ahead < len(line)
+        # enough of one band's q-grams within a unit's length, wherever it begins
+        near[near] = line[ahead[near]] - line[near] <= lengths[own[near]] - q
+        near[near] = group[ahead[near]] == group[near]
+        for g in np.unique(group[near]).tolist():
+            row = int(np.searchsorted(group, g))
+            k = int(own[row])
+            units = np.arange(begins[k], begins[k + 1])
+            starts = g * span + index.at[units]
+            held = np.searchsorted(line, np.minimum(starts + lengths[k] - q, (g + 1) * span - 1), "right") - np.searchsorted(line, starts)
+            low = int(keys[row] // len(lengths) * (edits[k] + 1)) - index.longest
+            for unit in units[held >= needed[k]].tolist():
+                begin = low + int(index.at[unit])
+                yield int(both[row]), unit, begin, begin + 2 * int(edits[k] + 1) - 1
+
+
+def exact(unit: np.ndarray, region: np.ndarray) -> int:
+    """Where ``unit`` stands in ``region`` for the last time, or -1."""
+    held, wanted = region.tobytes(), unit.tobytes()
+    at = held.rfind(wanted)
+    while at > 0 and at % 4:
+        at = held.rfind(wanted, 0, at + len(wanted) - 1)
+    return at // 4 if at >= 0 else -1
+
+
+def is_covered(index: Index, unit: int, held: dict) -> bool:
+    """Whether ``unit`` is part of a longer unit that is matched, and so adds nothing."""
+    begin, end = index.at[unit], index.at[unit] + len(index.codes[unit])
+    return any(index.at[u] <= begin and end <= index.at[u] + len(index.codes[u]) for u in held if len(index.codes[u]) > len(index.codes[unit]))
 
 
 def search(index: Index, texts: list[str | None], q: int = Q) -> list[list[dict]]:
@@ -171,20 +228,25 @@ def search(index: Index, texts: list[str | None], q: int = Q) -> list[list[dict]
         begins = np.concatenate(([0], np.cumsum([len(r[0]) for r in reduced])))
         owner = np.repeat(np.arange(len(reduced)), np.diff(begins))
         spans: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}
-        for text, unit, low, high in zip(*(x.tolist() for x in candidates(index, codes, owner, q)), strict=True):
+        for text, unit, low, high in candidates(index, codes, owner, q):
             own, edits = index.codes[unit], int(index.edits[unit])
+            held = spans.setdefault((text, int(index.item[unit])), {})
+            if unit in held and held[unit][2] == 0 or is_covered(index, unit, held):
+                continue
             left = max(int(begins[text]), low - edits)
             right = min(int(begins[text + 1]), high + len(own) + edits)
-            match = align(own, codes[left:right], edits)
+            same = exact(own, codes[left:right])
+            match = (0, same, same + len(own)) if same >= 0 else align(own, codes[left:right], edits)
             if match is None:
                 continue
             place = reduced[text][1]
             # without the space on either side
             first, last = left + match[1] + int(codes[left + match[1]] == 0) - int(begins[text]), left + match[2] - int(codes[left + match[2] - 1] == 0) - int(begins[text])
-            held = spans.setdefault((text, int(index.item[unit])), {})
             if unit not in held or match[0] < held[unit][2]:
                 held[unit] = (int(place[first]), int(place[last - 1]) + 1, match[0])
         for (text, item), units in sorted(spans.items()):
+            if not units:
+                continue
             found = list(units.values())
             chars = sum(len(index.codes[u]) for u in units)
             out[start + text].append({"item_id": item, "start": min(f[0] for f in found), "end": max(f[1] for f in found), "edits": sum(f[2] for f in found), "chars": chars})

@@ -108,3 +108,16 @@ def test_repeated_item_rows_count_once(spark, documents, items):
     docs = documents([(1, f"before {items[0][1]} after"), (2, "nothing of it")])
     once, twice = (spark.createDataFrame(rows, "item_id long, text string") for rows in (items, items + items))
     assert D.find_leaks(docs, twice).select("doc_id", "leaks").collect() == D.find_leaks(docs, once).select("doc_id", "leaks").collect()
+
+
+def test_short_excerpts_at_any_offset():
+    """An excerpt of 60 characters and one word more is found wherever in the item it begins."""
+    draw = random.Random(11)
+    stock = ["".join(draw.choice("bdfglmnprst") + draw.choice("aeiou") for _ in range(draw.randint(1, 4))) for _ in range(400)]
+    words = lambda n: " ".join(draw.choice(stock) for _ in range(n))
+    items = [(i, words(60)) for i in range(6)]
+    index = D.build_index(items)
+    for number, text in items:
+        excerpts = [text[at : at + 80] for at in range(0, len(text) - 80, 7)]
+        found = D.search(index, [f"{words(30)} {e} {words(30)}" for e in excerpts])
+        assert [[leak["item_id"] for leak in leaks] for leaks in found] == [[number]] * len(excerpts)
