@@ -19,9 +19,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metasift.llm.common import fresh_path
+
 Q = 10
 EDIT_RATE = 0.08
 UNIT, UNIT_STEP = 120, 60
@@ -256,31 +259,58 @@ def search(index: Index, texts: list[str | None], q: int = Q) -> list[list[dict]
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS, item_col: str = "item_id", item_text_col: str = "text", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns and ``leaks``: for each item found, its id, the span in the text (code points), edits and characters compared.
 
-    Items are taken in blocks of about ``block_chars`` characters, so what is broadcast stays bounded; every block meets all
-    rows. Null texts and null, blank or very short items (fewer than q - 2 characters) match nothing. Repeated rows are
-    searched each; items with equal texts are all reported, a repeated row of one item once; an empty table on either side gives no leak.
+    Items are taken in blocks of about ``block_chars`` characters. With more than one, each block is a job of its own over all
+    rows: its finds are written to the shared folder and its broadcast is destroyed before the next, so no task or driver
+    holds more than one. Null texts and null, blank or very short items (fewer than q - 2 characters) match nothing.
+    Repeated rows are searched each; items with equal texts are all reported, a repeated row of one item once; an empty
+    table on either side gives no leak.
     """
+    spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("item_text")).where("item IS NOT NULL AND item_text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
-    found_type = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32()), ("chars", pa.int32())]))
     while "leaks" in docs.columns:
         docs = docs.withColumnRenamed("leaks", "leaks_before")
+    if blocks == 1:
+        return _searched(docs, text_col, _sent(spark, items, q, rate), q)
+
+    def kept(df: DataFrame, kind: str) -> str:
+        path = fresh_path(spark, kind)
+        df.write.parquet(path)
+        return path
+
+    items = spark.read.parquet(kept(items, "items"))
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    keyed = spark.read.parquet(kept(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows"))
+    texts = keyed.select("row", F.col(names[docs.columns.index(text_col)]).alias("text"))
+    paths = []
+    for block in range(blocks):
+        sent = _sent(spark, items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == block), q, rate)
+        found = _searched(texts, "text", sent, q).where(F.size("leaks") > 0).select("row", F.lit(block).alias("block"), "leaks")
+        paths.append(kept(found, "leaks"))
+        sent.destroy()
+    # a row's finds are as few as the items that it quotes
+    every = spark.read.schema(f"row long, block int, leaks {MATCHES}").parquet(*paths).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("block", "leaks"))).alias("finds"))
+    joined = keyed.join(every, "row", "left").select(*names, F.coalesce(F.flatten("finds.leaks"), F.array().cast(MATCHES)).alias("leaks"))
+    return joined.toDF(*docs.columns, "leaks")
+
+
+def _sent(spark: SparkSession, items: DataFrame, q: int, rate: float) -> Broadcast:
+    return spark.sparkContext.broadcast(build_index([(r["item"], r["item_text"]) for r in items.collect()], q, rate))
+
+
+def _searched(docs: DataFrame, text_col: str, sent: Broadcast, q: int) -> DataFrame:
+    """``docs`` with ``leaks`` by the items of one block."""
+    found_type = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32()), ("chars", pa.int32())]))
     result = docs.withColumn("leaks", F.array().cast(MATCHES))
     place = docs.columns.index(text_col)
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == block).collect()
-        sent = docs.sparkSession.sparkContext.broadcast(build_index([(r["item"], r["item_text"]) for r in own], q, rate))
-
-        def matched(stream: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for part in (batch.slice(at, BATCH_ROWS) for batch in stream for at in range(0, batch.num_rows, BATCH_ROWS)):
-                leaks = search(sent.value, part.column(place).to_pylist(), q) if len(sent.value.hashes) else [[]] * part.num_rows
-                before = part.column(part.num_columns - 1).to_pylist()
-                both = pa.array([[*a, *b] for a, b in zip(before, leaks, strict=True)], found_type)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], both], part.schema.names)
-
-        result = result.mapInArrow(matched, result.schema)
-    return result
+
+    def matched(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(at, BATCH_ROWS) for batch in stream for at in range(0, batch.num_rows, BATCH_ROWS)):
+            leaks = search(sent.value, part.column(place).to_pylist(), q) if len(sent.value.hashes) else [[]] * part.num_rows
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(leaks, found_type)], part.schema.names)
+
+    return result.mapInArrow(matched, result.schema)
 
 
 def leak_rows(found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

@@ -121,3 +121,14 @@ def test_short_excerpts_at_any_offset():
         excerpts = [text[at : at + 80] for at in range(0, len(text) - 80, 7)]
         found = D.search(index, [f"{words(30)} {e} {words(30)}" for e in excerpts])
         assert [[leak["item_id"] for leak in leaks] for leaks in found] == [[number]] * len(excerpts)
+
+
+def test_blocks_are_jobs_of_their_own(spark, documents, items):
+    """No plan holds more than one block's search, so no task holds more than one block's index."""
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents([(i, f"a {t} b") for i, t in items] + [(0, items[1][1]), (None, None)])
+    many = D.find_leaks(docs, benchmark, block_chars=300)
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0
+    one = D.find_leaks(docs, benchmark)
+    key = lambda rows: sorted(str((r.doc_id, r.text, sorted(r.leaks))) for r in rows)
+    assert many.columns == one.columns and key(many.collect()) == key(one.collect())
