@@ -21,11 +21,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group, once. Rows with a null id can't be named by a group; they stay."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(COLUMNS).unionAll(docs.where("doc_id IS NULL").select(COLUMNS))
+    """Keeps one row of each group of near-duplicates, the one with the smallest id; rows are told apart by a key of their own, not by their id."""
+    path = fresh_path(spark, "keyed")
+    docs.select(*COLUMNS, F.monotonically_increasing_id().alias("key")).write.parquet(path)
+    keyed = spark.read.parquet(path)
+    return keyed.join(simhash.first_rows(keyed, "key"), "key", "left_semi").select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,15 +49,17 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int(WEIGHTS[2 * set_bits > len(pieces)].sum())
 
 
-def fingerprints(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc`` (the id) and ``fp`` (the fingerprint's bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """``doc`` (the id), ``key`` (the row's own long, null without ``key_col``) and ``fp`` (the fingerprint's bits as a signed long) of every row."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            fps = np.array([fingerprint(t.as_py() or "", width) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc", "fp"])
+            fps = np.array([fingerprint(t.as_py() or "", width) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc", "key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(batches, "doc long, fp long")
+    key = F.col(key_col) if key_col else F.lit(None)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), key.cast("long").alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(batches, "doc long, key long, fp long")
 
 
 def hamming(a: int, b: int) -> int:
@@ -206,16 +208,32 @@ def _trees(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(out)
 
 
+def fingerprint_groups(marked: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
+    """Each ``fp`` of ``marked`` and its ``group``, one fingerprint of those it is linked to over any chain. Ids play no part, so a repeated one links nothing."""
+    distinct = marked.select(F.col("fp").alias("node"), "fp").distinct()
+    components = connected_components(shard_rows(distinct, tree_size))
+    return distinct.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("group"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 3, tree_size: int = TREE_SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id it is linked to over any chain.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows and equal texts share
-    a component; rows with a null id take their component from the other rows (null if they have none). Other columns are
-    ignored. An empty table gives an empty one.
+    a component; rows of one id with different texts don't, unless their fingerprints are linked. Rows with a null id link
+    like others and take their component from them (null if they have none). Other columns are ignored. An empty table
+    gives an empty one.
     """
     marked = settle(fingerprints(docs, width=width, id_col=id_col, text_col=text_col))
-    distinct = marked.groupBy("fp").agg(F.min("doc").alias("node")).where("node IS NOT NULL")
-    components = connected_components(shard_rows(distinct, tree_size))
-    of_fp = distinct.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    joined = marked.join(of_fp, "fp", "left")
+    least = marked.groupBy("fp").agg(F.min("doc").alias("least"))
+    grouped = settle(fingerprint_groups(marked, tree_size).join(least, "fp"))
+    of_group = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    joined = marked.join(grouped.join(of_group, "group").select("fp", "component_id"), "fp", "left")
     return joined.select(F.col("doc").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_rows(docs: DataFrame, key_col: str, *, width: int = 3, tree_size: int = TREE_SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``key``: that of one row for each group of near-duplicates, the one with the smallest id, then the smallest key; null ids come last."""
+    marked = settle(fingerprints(docs, width=width, id_col=id_col, text_col=text_col, key_col=key_col))
+    first = F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "key"))
+    best = marked.groupBy("fp").agg(first.alias("best")).join(fingerprint_groups(marked, tree_size), "fp")
+    return best.groupBy("group").agg(F.min("best").alias("best")).select("best.key")

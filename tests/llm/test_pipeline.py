@@ -76,6 +76,15 @@ def test_repeated_ids_in_dedup(spark):
     assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == ["1", "2", "None"]
 
 
+def test_dedup_goes_by_rows_not_ids(spark):
+    """One id with different texts keeps each of them and merges no groups; null ids are deduplicated like others."""
+    texts = {name: " ".join(f"{name}{k}" for k in range(30)) for name in "abcd"}
+    rows = [(1, "a"), (1, "b"), (2, "a"), (3, "b"), (None, "c"), (None, "c"), (None, "a"), (4, "d"), (None, "d")]
+    docs = spark.createDataFrame([(i, texts[t], "en", t, 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(str((r.doc_id, r.source)) for r in kept) == ["(1, 'a')", "(1, 'b')", "(4, 'd')", "(None, 'c')"]
+
+
 def test_registered(spark):
     import __spark_entry__
 

@@ -61,6 +61,10 @@ def test_null_id(documents):
     assert sorted(((r.doc_id, r.component_id) for r in rows), key=str) == sorted([(None, 4), (4, 4), (None, None)], key=str)
 
 
+def test_one_id_with_different_texts_merges_no_groups(documents):
+    check(documents, [(7, "a b c d"), (7, "quite other words in here"), (8, "a b c d"), (5, "quite other words in here"), (9, "a b c d")])
+
+
 def test_empty_table(documents):
     assert simhash.near_duplicates(documents([])).collect() == []
 
