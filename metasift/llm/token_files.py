@@ -8,6 +8,7 @@ offsets); blocks hold a multiple of eight ids, so each begins on a byte and can
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 import zlib
@@ -24,15 +25,13 @@ from pyspark.sql import functions as F
 MAGIC = b"MSBP"
 HEADER = struct.Struct("<4sBxxxIQ")  # magic, bits an id, ids a block, ids
 BLOCK_IDS = 4096
-#: At these widths the packed bits are plain little-endian numbers.
-WHOLE_BYTES = {8: "<u1", 16: "<u2", 32: "<u4"}
 PIECE_IDS = 1 << 20
-#: Documents encoded at a time.
-ENCODED_ROWS = 512
-#: Encoded words kept by a Python worker, about.
-CACHED_WORDS = 1 << 18
-#: Words given to the tokenizer at a time.
-ENCODED_WORDS = 1 << 13
+#: Bytes of text encoded at a time.
+ENCODED_BYTES = 1 << 23
+#: Distinct words whose ids a Python worker keeps, about.
+CACHED_WORDS = 1 << 20
+#: Words given to the tokenizer as one string.
+JOINED_WORDS = 1000
 PIECES = "shard int, piece int, first_doc long, n_ids long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 
 
@@ -40,22 +39,32 @@ def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+def _layout(bits: int) -> tuple[int, int]:
+    """The fewest ids that fill whole 64-bit words, and how many words they fill."""
+    shared = math.gcd(bits, 64)
+    return 64 // shared, bits // shared
+
+
 def pack(ids: np.ndarray, bits: int, block_ids: int = BLOCK_IDS) -> bytes:
-    """Header, block offsets and blocks of ``ids``; each id must fit into ``bits``."""
+    """Header, block offsets and blocks of ``ids``; each id must fit into ``bits``. Id i has the bits from i * bits on, lowest first."""
     if block_ids % 8:
         raise ValueError("a block must hold a multiple of eight ids")
     n_blocks = -(-len(ids) // block_ids)
     offsets = np.arange(n_blocks, dtype="<u8") * (block_ids * bits // 8)
-    if whole := WHOLE_BYTES.get(bits):
-        body = np.asarray(ids).astype(whole)
-    else:
-        planes = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-        body = np.packbits(planes[:, :bits].reshape(-1), bitorder="little")
-    return HEADER.pack(MAGIC, bits, block_ids, len(ids)) + offsets.tobytes() + body.tobytes()
+    period, words = _layout(bits)
+    rows = np.zeros((-(-len(ids) // period), period), "<u8")
+    rows.reshape(-1)[: len(ids)] = ids
+    packed = np.zeros((len(rows), words), "<u8")
+    for k in range(period):
+        word, shift = divmod(k * bits, 64)
+        packed[:, word] |= rows[:, k] << np.uint64(shift)
+        if shift + bits > 64:
+            packed[:, word + 1] |= rows[:, k] >> np.uint64(64 - shift)
+    return HEADER.pack(MAGIC, bits, block_ids, len(ids)) + offsets.tobytes() + packed.tobytes()[: -(-len(ids) * bits // 8)]
 
 
 def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
-    """Ids ``start`` to ``stop``; only the blocks that hold them are read."""
+    """Ids ``start`` to ``stop``; only the blocks that hold them are read, found by their offsets."""
     magic, bits, block_ids, n_ids = HEADER.unpack_from(payload)
     if magic != MAGIC:
         raise ValueError("not a packed token payload")
@@ -67,15 +76,17 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
     first, last = start // block_ids, (stop - 1) // block_ids
     at = HEADER.size + 8 * n_blocks
     end = int(offsets[last + 1]) if last + 1 < n_blocks else len(payload) - at
-    body = np.frombuffer(payload, np.uint8, end - int(offsets[first]), at + int(offsets[first]))
-    held = min(n_ids, (last + 1) * block_ids) - first * block_ids
-    if whole := WHOLE_BYTES.get(bits):
-        ids = body[: held * bits // 8].view(whole).astype("<u4")
-    else:
-        planes = np.zeros((held, 32), np.uint8)
-        planes[:, :bits] = np.unpackbits(body, count=held * bits, bitorder="little").reshape(held, bits)
-        ids = np.packbits(planes, axis=1, bitorder="little").view("<u4").reshape(-1)
-    return ids[start - first * block_ids : stop - first * block_ids]
+    body = payload[at + int(offsets[first]) : at + end]
+    period, words = _layout(bits)
+    packed = np.frombuffer(body + bytes(-len(body) % (8 * words)), "<u8").reshape(-1, words)
+    ids, mask = np.empty((len(packed), period), "<u4"), np.uint64((1 << bits) - 1)
+    for k in range(period):
+        word, shift = divmod(k * bits, 64)
+        value = packed[:, word] >> np.uint64(shift)
+        if shift + bits > 64:
+            value |= packed[:, word + 1] << np.uint64(64 - shift)
+        ids[:, k] = value & mask
+    return ids.reshape(-1)[start - first * block_ids : stop - first * block_ids]
 
 
 @lru_cache(maxsize=2)
@@ -91,24 +102,61 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: A Latin letter and the punctuation after it. An apostrophe isn't listed, for it can begin a contraction, nor is the one
-#: letter whose lower case ends in a mark.
-WORD_END = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,;:!?#$%&*()]+)"
+#: Latin letters, but for the one whose lower case ends in a mark.
+LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+#: A Latin letter and the punctuation after it. An apostrophe isn't listed, for it can begin a contraction.
+WORD_END = rf"([{LATIN}])([.,;:!?#$%&*()]+)"
+END_MARK = "</w>"
+
+
+def _ids_of(encoded: list) -> np.ndarray:
+    return np.concatenate([np.empty(0, "<u4"), *(np.array(e.ids, "<u4") for e in encoded)])
 
 
 class WordEncoder:
     """Encodes texts word by word, each distinct word once.
 
-    The tokenizer must lower-case, drop white space and never join across it, nor across the border between a letter and
-    plain punctuation; then a text's ids are those of its words and punctuation runs in turn. Texts that hold ``<|`` aren't
-    lower-cased here, since case decides whether such a string is a special token.
+    The tokenizer must be a byte-level BPE with word ends that lower-cases, drops white space and never joins across it,
+    nor across the border between a letter and plain punctuation; then a text's ids are those of its words and punctuation
+    runs in turn. Words of Latin letters alone are one pre-token each, so many of them go to the same BPE model as one
+    string, split at spaces only, and their ids are told apart by the word ends. Texts that hold ``<|`` aren't lower-cased
+    here, since case decides whether such a string is a special token.
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
         self.tokenizer = _tokenizer(path)
-        # ids as little-endian numbers of four bytes; words not met for a while go with the older half
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.latin = Tokenizer(self.tokenizer.model)
+        self.latin.normalizer = normalizers.Lowercase()
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[number for token, number in vocabulary.items() if token.endswith(END_MARK)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words known, their ids one after another, and where each word's ids begin (one entry more than words)."""
+        self.known, self.pool, self.begins = pa.array([], pa.string()), np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def _latin(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of Latin ``words`` one after another, and their numbers."""
+        joined = [" ".join(words[at : at + JOINED_WORDS].to_pylist()) for at in range(0, len(words), JOINED_WORDS)]
+        ids = _ids_of(self.latin.encode_batch_fast(joined, add_special_tokens=False))
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer doesn't end each word with a token of its own")
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, words: pa.Array) -> None:
+        is_latin = pc.match_substring_regex(words, f"^[{LATIN}]+$")
+        latin, others = words.filter(is_latin), words.filter(pc.invert(is_latin))
+        ids, counts = self._latin(latin)
+        encoded = self.tokenizer.encode_batch_fast(others.to_pylist(), add_special_tokens=False)
+        counts = np.concatenate((counts, np.array([len(e.ids) for e in encoded], np.int64)))
+        self.known = pa.concat_arrays([self.known, latin, others])
+        self.pool = np.concatenate((self.pool, ids, _ids_of(encoded)))
+        self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum(counts)))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
@@ -117,26 +165,44 @@ class WordEncoder:
             texts = pc.ascii_lower(texts)
         words = pc.split_pattern(pc.replace_substring_regex(texts, WORD_END, r"\1 \2"), " ")
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > CACHED_WORDS // 2:
-            self.known, self.older = {}, self.known
-        missing = [w for w in distinct if w not in self.known]
-        self.known.update((w, self.older[w]) for w in missing if w in self.older)
-        new = [w for w in missing if w not in self.older]
-        for at in range(0, len(new), ENCODED_WORDS):
-            part = new[at : at + ENCODED_WORDS]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
-        ids = [self.known[w] for w in distinct]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool = np.frombuffer(b"".join(ids), "<u4")
-        word = coded.indices.to_numpy()
+        distinct = coded.dictionary
+        missing = distinct.filter(pc.is_null(pc.index_in(distinct, value_set=self.known)))
+        if len(self.known) + len(missing) > CACHED_WORDS:
+            self._forget()
+            missing = distinct
+        self._learn(missing)
+        place = pc.index_in(distinct, value_set=self.known).to_numpy(zero_copy_only=False).astype(np.int64)
+        word = place[coded.indices.to_numpy()]
         pa.default_memory_pool().release_unused()
-        of_word, ends = lengths[word] if len(word) else np.empty(0, np.int64), np.cumsum(lengths)
-        total = np.concatenate(([0], np.cumsum(of_word)))
-        from_pool = np.repeat((ends - lengths)[word] - total[:-1], of_word) if len(word) else np.empty(0, np.int64)
+        lengths = np.diff(self.begins)[word]
+        total = np.concatenate(([0], np.cumsum(lengths)))
+        from_pool = np.repeat(self.begins[word] - total[:-1], lengths)
+        from_pool += np.arange(total[-1])
         offsets = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
-        return pool[from_pool + np.arange(total[-1])], np.diff(total[offsets])
+        return self.pool[from_pool], np.diff(total[offsets])
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """First row, last row (exclusive), ids and numbers of ids by row, a bounded number of bytes at a time. A longer text is cut at spaces."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(texts):
+            stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), ENCODED_BYTES, "right")))
+            if sizes[at] <= ENCODED_BYTES:
+                yield at, stop, *self(texts[at:stop])
+            else:
+                found = [self(pa.array([part]))[0] for part in cut_at_spaces(texts[at].as_py(), ENCODED_BYTES)]
+                stop = at + 1
+                yield at, stop, np.concatenate(found), np.array([sum(map(len, found))])
+            at = stop
+
+
+def cut_at_spaces(text: str, size: int) -> Iterator[str]:
+    """Parts of at least ``size`` characters that begin with a space, but for the first and the last."""
+    at = 0
+    while (cut := text.find(" ", at + size)) >= 0:
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +214,8 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
 def write_token_table(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text", mode: str = "error") -> None:
     """Encode the texts and write them to ``path`` in ascending id order (null ids first; equal ids keep any order, each with its own row).
 
-    A null or empty text is stored as the end id alone. Columns besides the two are ignored. An empty table gives a folder without rows.
+    A null or empty text is stored as the end id alone; a very long one is encoded in parts that begin at spaces, and is one
+    document all the same. Columns besides the two are ignored. An empty table gives a folder without rows.
     """
     bits = bits_for(vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -167,11 +234,9 @@ def write_token_table(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
         for batch in stream:
-            for at in range(0, batch.num_rows, ENCODED_ROWS):
-                part = batch.slice(at, ENCODED_ROWS)
-                ids, counts = encoder(part.column(1))
+            for at, stop, ids, counts in encoder.encode(batch.column(1)):
                 ids, counts = with_end(ids, counts, end_id)
-                held.append((part.column(0).to_pylist(), counts, ids))
+                held.append((batch.column(0)[at:stop].to_pylist(), counts, ids))
                 if sum(len(p[2]) for p in held) >= PIECE_IDS:
                     yield flush()
         if held:

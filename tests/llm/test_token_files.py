@@ -42,6 +42,25 @@ def test_encoder_equals_the_tokenizer():
             assert ids[end - n : end].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_long_texts_and_forgotten_words(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(PATH), token_files.WordEncoder(PATH)
+    monkeypatch.setattr(token_files, "ENCODED_BYTES", 64)
+    monkeypatch.setattr(token_files, "CACHED_WORDS", 20)
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdeéÉßœ.,!'1") for _ in range(draw.randint(1, 9)))
+    texts = [" ".join(word() for _ in range(draw.choice([0, 2, 5, 90]))) for _ in range(200)] + [None, "", "x" * 300, " " * 300]
+    row = 0
+    for at, stop, ids, counts in encoder.encode(pa.array(texts, pa.string())):
+        assert at == row
+        ends = np.cumsum(counts)
+        for text, end, n in zip(texts[at:stop], ends, counts, strict=True):
+            assert ids[end - n : end].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+        row = stop
+    assert row == len(texts)
+
+
 def test_files_hold_every_text(spark, documents, prose):
     from tokenizers import Tokenizer
 
