@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -62,10 +63,57 @@ def test_equals_brute_force_over_units(items, prose):
     found = D.search(index, texts)
     for text, leaks in zip(texts, found):
         codes = D.reduce_text(text)[0]
-        expected = {int(index.item[u]) for u, unit in enumerate(index.codes) if D.align(unit, codes, int(index.edits[u])) is not None}
+        expected = {int(index.item[u]) for u in range(len(index.item)) if D.align(index.unit(u), codes, int(index.edits[u])) is not None}
         assert {leak["item_id"] for leak in leaks} == expected
 
 
+def test_every_copy_is_a_span(items):
+    text = f"Before. {items[3][1]} Between them. {items[3][1].upper()} {items[3][1]} After {items[4][1]}"
+    leaks = D.search(D.build_index(items), [None, text, "", items[3][1]])
+    places = [(leak["item_id"], text[leak["start"] : leak["end"]].lower() + ".") for leak in leaks[1]]
+    assert places == [(3, items[3][1].lower())] * 3 + [(4, items[4][1].lower())]
+    assert [len(x) for x in leaks] == [0, 4, 0, 1]
+
+
+def test_an_edited_copy_beside_an_exact_one(items):
+    draw = random.Random(5)
+    long = max(items, key=lambda x: len(x[1]))
+    for _ in range(10):
+        text = f"one {edited(long[1], 4, draw)} two {long[1]} three " + "four " * 300 + f"{edited(long[1], 4, draw)} end"
+        leaks = D.search(D.build_index(items), [text])[0]
+        assert {leak["item_id"] for leak in leaks} == {long[0]}
+        covered = sum(leak["end"] - leak["start"] for leak in leaks)
+        assert 2.7 * len(long[1]) < covered < 3.1 * len(long[1])
+
+
+def test_windows_of_few_qgrams_find_the_same(items, prose, monkeypatch):
+    draw = random.Random(8)
+    texts = [" ".join(f"{p} {edited(items[draw.randrange(12)][1], draw.randint(0, 10), draw)}" for p in prose(6, seed=k)) for k in range(6)]
+    index = D.build_index(items)
+    whole = D.search(index, texts)
+    monkeypatch.setattr(D, "WINDOW_ENTRIES", 50)
+    monkeypatch.setattr(D, "PAIRS", 3)
+    parts = D.search(index, texts)
+    assert [{x["item_id"] for x in a} for a in parts] == [{x["item_id"] for x in a} for a in whole]
+    assert [[(x["start"], x["end"]) for x in a] for a in parts] == [[(x["start"], x["end"]) for x in a] for a in whole]
+
+
+@pytest.mark.parametrize("text", ["ab " * 333_000, "ab " * 100_000 + "xab ab" * 50 + " ab" * 100_000])
+def test_a_long_repetitive_text(text):
+    began = time.process_time()
+    leaks = D.search(D.build_index([(7, "ab " * 100)]), [text])[0]
+    assert time.process_time() - began < 10
+    assert leaks and leaks[0]["start"] == 0 and leaks[-1]["end"] == len(text.rstrip())
+
+
+def test_names_that_clash(spark, items):
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {items[0][1]}", 2, 3)], "doc_id long, text string, Leaks int, leaks_before int")
+    found = D.find_leaks(docs, benchmark)
+    assert found.columns == ["doc_id", "text", "Leaks_before1", "leaks_before", "leaks"]
+    assert [len(r.leaks) for r in found.collect()] == [1]
+
+
 def test_spans(items):
     text = "Some words before. " + items[3][1].upper().replace(" ", "  ") + " And after."
     leak = D.search(D.build_index(items), [text])[0][0]
