@@ -4,8 +4,9 @@ A document's fingerprint has a bit set where more than half of its shingles' has
 most two bits are linked. Sharding: of four 16-bit blocks, two bits can spoil two at most, so linked fingerprints agree in
 at least one of the six pairs of blocks; each fingerprint goes to the six shards named by those pairs. In each shard a
 BK-tree (children keyed by integer Hamming distance to their parent) is built, and every fingerprint follows only the edges
-within the radius. A shard with very many fingerprints is cut into parts: the tree of each part is sent to every part's
-fingerprints, so no task holds the whole. Links are reduced to a spanning forest before they are joined into components.
+within the radius. A shard with very many fingerprints is sharded again by the 32 bits in which they may still differ, and
+once more by the last 16: then at most 256 are left in a shard, so copies of a row stay below 6 * 6 * 6 however large a shard
+is. Links are reduced to a spanning forest before they are joined into components.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metasift.llm.common import settle
@@ -25,9 +26,11 @@ from metasift.llm.graph import connected_components
 #: Fixed by the query's contract.
 SEED = 42
 RADIUS = 2
-BLOCKS, BLOCK_BITS = 4, 16
+BLOCKS = 4
 BLOCK_PAIRS = tuple(itertools.combinations(range(BLOCKS), BLOCKS - RADIUS))
-#: Fingerprints of a shard that one tree holds.
+#: Bits of a block, by level of sharding.
+BLOCK_BITS = (16, 8, 4)
+#: Fingerprints of a shard that one tree holds; at the last level a shard has no more than two blocks' values, 256.
 TREE_SIZE = 2048
 WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
@@ -131,57 +134,45 @@ def links_within(fps: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def links_between(tree_fps: list[int], fps: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between a tree's fingerprints and others: (place in ``tree_fps``, place in ``fps``)."""
-    tree, forest, out = BKTree(), Forest(len(tree_fps) + len(fps)), []
-    for fp in tree_fps:
-        tree.add(fp)
-    for i, fp in enumerate(fps):
-        out += [(j, i) for j in tree.within(fp, radius) if forest.join(j, len(tree_fps) + i)]
-    return out
+def sharded(rows: DataFrame, bits: int) -> DataFrame:
+    """Each of ``rows`` (shard, rest: its bits outside of what the shard agrees in, fp) once for each pair of the four blocks of ``rest``.
 
-
-def shard_rows(distinct: DataFrame, tree_size: int) -> DataFrame:
-    """shard, part_a, part_b, side, node, fp: what each tree task reads. Shards with one fingerprint are left out."""
-    block = lambda k: F.shiftrightunsigned("fp", k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-    keys = [F.shiftleft(F.shiftleft(F.lit(n).cast("long"), BLOCK_BITS).bitwiseOR(block(a)), BLOCK_BITS).bitwiseOR(block(b)) for n, (a, b) in enumerate(BLOCK_PAIRS)]
-    sharded = distinct.select("node", "fp", F.explode(F.array(*keys)).alias("shard"))
-    sized = sharded.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("shard"))).where("size > 1")
-    parts = F.ceil(F.col("size") / F.lit(tree_size)).cast("int")
-    sized = sized.select("shard", "node", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp", "shard"), parts.cast("long")).cast("int").alias("part"))
-    one = sized.where("parts = 1").select("shard", F.lit(0).alias("part_a"), F.lit(0).alias("part_b"), F.lit(0).alias("side"), "node", "fp")
-    many = sized.where("parts > 1")
-    # each pair of parts is one task's work; a part meets itself as a tree alone
-    other = many.select("shard", "node", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    pairs = other.select(
-        "shard",
-        F.least("part", "other").alias("part_a"),
-        F.greatest("part", "other").alias("part_b"),
-        F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"),
-        "node",
-        "fp",
-    )
-    keys = ["shard", "part_a", "part_b"]
-    return one.sortWithinPartitions(*keys, "side", "node").mapInArrow(_trees, LINKS).unionAll(pairs.repartition(*keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(_trees, LINKS))
-
-
-LINKS = "a long, b long"
+    Shards are named by a hash. Two that share a name make one tree with links inside of each alone, as every link is checked.
+    """
+    block = lambda k: F.shiftrightunsigned("rest", k * bits).bitwiseAND(F.lit((1 << bits) - 1))
+    found = []
+    for n, (a, b) in enumerate(BLOCK_PAIRS):
+        c, d = (k for k in range(BLOCKS) if k not in (a, b))
+        found.append(F.struct(F.xxhash64("shard", F.lit(n), block(a), block(b)).alias("shard"), F.shiftleft(block(c), bits).bitwiseOR(block(d)).alias("rest")))
+    return rows.select("fp", F.explode(F.array(*found)).alias("s")).select("s.shard", "s.rest", "fp")
+
+
+def fingerprint_links(distinct: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
+    """``a``, ``b``: links that connect what all links among the different ``fp`` of ``distinct`` connect."""
+    rows, links = distinct.select(F.lit(0).cast("long").alias("shard"), F.col("fp").alias("rest"), "fp"), None
+    for bits in BLOCK_BITS:
+        found = sharded(rows, bits)
+        sizes = found.groupBy(F.col("shard").alias("name")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        shared = settle(found.join(sizes, F.col("shard") == F.col("name")).select("shard", "rest", "fp", "size"))
+        small = F.lit(True) if bits == BLOCK_BITS[-1] else F.col("size") <= tree_size
+        own = shared.where(small).select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_trees, "a long, b long")
+        links = own if links is None else links.unionAll(own)
+        rows = shared.where(~small)
+        if bits == BLOCK_BITS[-1] or rows.isEmpty():
+            return links
+    return links
 
 
 def _trees(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard and parts, to links; one shard part's fingerprints are held at a time."""
+    """Rows sorted by shard, to links; one shard's fingerprints are held at a time."""
     held: list[np.ndarray] = []
-    key: tuple | None = None
+    key: int | None = None
     out: list[tuple[int, int]] = []
 
     def solve() -> None:
-        rows = np.concatenate(held, axis=1)
-        side, node, fp = rows[0], rows[1].tolist(), rows[2].view(np.uint64).tolist()
-        cut = int((side == 0).sum())
-        if key[1] == key[2]:
-            out.extend((node[i], node[j]) for i, j in links_within(fp, RADIUS))
-        else:
-            out.extend((node[i], node[cut + j]) for i, j in links_between(fp[:cut], fp[cut:], RADIUS))
+        fps = np.concatenate(held)
+        signed, plain = fps.tolist(), fps.view(np.uint64).tolist()
+        out.extend((signed[i], signed[j]) for i, j in links_within(plain, RADIUS))
 
     def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         table = np.array(pairs, np.int64).reshape(-1, 2)
@@ -190,19 +181,16 @@ def _trees(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in stream:
         if not batch.num_rows:
             continue
-        shard, a, b, side, node, fp = (batch.column(k).to_numpy() for k in range(6))
-        values = np.vstack((side.astype(np.int64), node, fp))
-        change = np.flatnonzero((np.diff(shard) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)) + 1
-        for start, stop in itertools.pairwise([0, *change.tolist(), batch.num_rows]):
-            own = (int(shard[start]), int(a[start]), int(b[start]))
-            if held and own != key:
+        shard, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for start, stop in itertools.pairwise([0, *(np.flatnonzero(np.diff(shard) != 0) + 1).tolist(), batch.num_rows]):
+            if held and int(shard[start]) != key:
                 solve()
                 held = []
-            key = own
-            held.append(values[:, start:stop])
+            key = int(shard[start])
+            held.append(fp[start:stop])
         if len(out) > 10_000:
             yield batch_of(out)
-            out = []
+            out.clear()
     if held:
         solve()
     yield batch_of(out)
@@ -210,9 +198,9 @@ def _trees(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_groups(marked: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
     """Each ``fp`` of ``marked`` and its ``group``, one fingerprint of those it is linked to over any chain. Ids play no part, so a repeated one links nothing."""
-    distinct = marked.select(F.col("fp").alias("node"), "fp").distinct()
-    components = connected_components(shard_rows(distinct, tree_size))
-    return distinct.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("group"))
+    distinct = settle(marked.select("fp").distinct())
+    components = connected_components(fingerprint_links(distinct, tree_size))
+    return distinct.join(components, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("group"))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, tree_size: int = TREE_SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

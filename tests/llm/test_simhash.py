@@ -38,7 +38,7 @@ def check(documents, rows, **options):
 
 @pytest.mark.parametrize("tree_size", [2048, 3])
 def test_equals_brute_force(documents, prose, tree_size):
-    """Also with trees so small that shards are cut into parts."""
+    """Also with trees so small that shards are sharded again."""
     texts = prose(30, words=120)
     draw = random.Random(1)
     near = []
@@ -88,20 +88,40 @@ def test_links_equal_all_pairs():
 
     every = classes((i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2)
     assert classes(simhash.links_within(fps, 2)) == every
-    half = len(fps) // 2
-    parts = [(i, j) for i, j in simhash.links_within(fps[:half], 2)] + [(half + i, half + j) for i, j in simhash.links_within(fps[half:], 2)] + [(i, half + j) for i, j in simhash.links_between(fps[:half], fps[half:], 2)]
-    assert classes(parts) == every
+
+
+@pytest.mark.parametrize("tree_size", [2048, 40, 1])
+def test_links_of_crowded_shards(spark, tree_size):
+    """Most fingerprints agree in 32 bits and many in 48, so shards are sharded again and again; the classes stay those of all pairs."""
+    draw = random.Random(6)
+    centre = draw.getrandbits(64)
+    fps = {centre ^ draw.getrandbits(draw.choice([12, 16, 32])) for _ in range(300)} | {draw.getrandbits(64) for _ in range(20)}
+    for fp in list(fps)[:100]:
+        fps.add(fp ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64)))
+    fps = sorted(fps)
+    number = {int(np.uint64(fp).view(np.int64)): i for i, fp in enumerate(fps)}
+    found = simhash.fingerprint_links(spark.createDataFrame([(k,) for k in number], "fp long"), tree_size).collect()
+    expected, forest = simhash.Forest(len(fps)), simhash.Forest(len(fps))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                expected.join(i, j)
+    for r in found:
+        assert (fps[number[r.a]] ^ fps[number[r.b]]).bit_count() <= 2
+        forest.join(number[r.a], number[r.b])
+    assert [forest.root(i) for i in range(len(fps))] == [expected.root(i) for i in range(len(fps))]
 
 
 def test_linked_fingerprints_share_a_shard(spark):
     draw = random.Random(4)
-    rows = []
-    for k in range(60):
+    pairs = set()
+    for _ in range(60):
         a = draw.getrandbits(64)
         b = a ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64))
-        rows += [(2 * k, int(np.uint64(a).view(np.int64))), (2 * k + 1, int(np.uint64(b).view(np.int64)))]
-    links = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.shard_rows(spark.createDataFrame(rows, "node long, fp long"), 2048).collect()}
-    assert links == {(2 * k, 2 * k + 1) for k in range(60)}
+        pairs.add(tuple(sorted(int(np.uint64(x).view(np.int64)) for x in (a, b))))
+    rows = spark.createDataFrame([(x,) for pair in pairs for x in pair], "fp long").distinct()
+    links = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.fingerprint_links(rows).collect()}
+    assert links == {p for p in pairs if p[0] != p[1]}
 
 
 def test_components_of_a_long_chain(spark):
