@@ -3,7 +3,7 @@
 Random strings cost about one token for every one or two characters, while words, paths and
 identifiers cost far fewer. A run is reported as ``dense`` when it has letters, isn't a known
 digest, UUID or number-like identifier, and averages at most ``max_ratio`` characters a token (at
-most 2.1 where it has no digit, as long words come near the usual bound). Readable words in a run dilute that average, so where the whole run is above
+most 2.1 where it has no digit, as long words come near the usual bound). Digits alone count where 20 or more stand together. Readable words in a run dilute that average, so where the whole run is above
 it, its stretches are measured: the pieces between separators, and every window of whole tokens
 with at least 20 characters. What a plain pattern has reported is cut out of a run first.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,7 +30,7 @@ KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
-LETTER, DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
+LETTER, DIGIT, LONG_NUMBER = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]"), re.compile(r"[0-9]{20,}")
 LEAST = 20
 LETTERS_RATIO = 2.1
 #: What may stand between the words of a run, and identifiers that stand between separators.
@@ -65,9 +65,11 @@ def token_lengths(run: str, ranks_path: str) -> list[int]:
 
 
 def is_known_identifier(run: str) -> bool:
-    """A digest of a usual length, a UUID, or a run without letters."""
-    if UUID.fullmatch(run) or not LETTER.search(run):
+    """A digest of a usual length, a UUID, or digits in pieces that are each too short to be a secret, as dates and numbers are."""
+    if UUID.fullmatch(run):
         return True
+    if not LETTER.search(run):
+        return not LONG_NUMBER.search(run)
     return len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) is not None
 
 
@@ -75,9 +77,9 @@ def is_dense(run: str, ratio: float, max_ratio: float) -> bool:
     return ratio <= (max_ratio if DIGIT.search(run) else min(max_ratio, LETTERS_RATIO)) and not is_known_identifier(run)
 
 
-def without(start: int, end: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """What is left of a span outside of ``cuts``, where it has room for a dense stretch."""
-    for a, b in sorted(cuts):
+def without(start: int, end: int, cuts: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of a span outside of ``cuts`` (sorted), where it has room for a dense stretch."""
+    for a, b in cuts:
         if a >= end:
             break
         if b > start:
@@ -88,6 +90,17 @@ def without(start: int, end: int, cuts: list[tuple[int, int]]) -> Iterator[tuple
         yield start, end
 
 
+def joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def dense_windows(run: str, lengths: list[int], max_ratio: float) -> Iterator[tuple[int, int, float]]:
     """From each token on, the fewest tokens with at least 20 characters, where they are dense."""
     last, start, size = 0, 0, 0
@@ -113,7 +126,7 @@ def dense_stretches(run: str, ranks_path: str, max_ratio: float) -> Iterator[tup
         yield 0, len(run), ratio
         return
     found = []
-    for start, end in without(0, len(run), [m.span() for m in KNOWN.finditer(run)]):
+    for start, end in without(0, len(run), (m.span() for m in KNOWN.finditer(run))):
         part = run[start:end]
         own = lengths if part == run else token_lengths(part, ranks_path)
         found += [(start + a, start + b, r) for a, b, r in dense_windows(part, own, max_ratio)]
@@ -143,11 +156,18 @@ def scan(text: str, ranks_path: str, max_ratio: float) -> list[dict]:
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     spans = [{"kind": k, "start": a, "end": b, "ratio": None} for k, a, b in found]
+    cuts = joined((a, b) for _, a, b in found)
+    first = 0
     for m in RUN.finditer(text):
+        # runs and cuts both come in order, so each cut is passed once
+        while first < len(cuts) and cuts[first][1] <= m.start():
+            first += 1
         if is_known_identifier(m[0]):
             continue
-        cuts = [(a, b) for _, a, b in found if a < m.end() and m.start() < b]
-        for start, end in without(m.start(), m.end(), cuts):
+        last = first
+        while last < len(cuts) and cuts[last][0] < m.end():
+            last += 1
+        for start, end in without(m.start(), m.end(), cuts[first:last]):
             spans += [{"kind": "dense", "start": start + a, "end": start + b, "ratio": r} for a, b, r in dense_stretches(text[start:end], ranks_path, max_ratio)]
     return sorted(spans, key=lambda s: (s["start"], KINDS.index(s["kind"])))
 
@@ -155,7 +175,8 @@ def scan(text: str, ranks_path: str, max_ratio: float) -> list[dict]:
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, max_ratio: float = 2.2) -> DataFrame:
     """One row per row of ``docs``: its id and ``spans`` (kind, start, end in code points, characters a token for dense stretches: the least of the windows that a stretch is made of).
 
-    Null and empty texts have no spans; repeated rows are scanned each; other columns are ignored; an empty table gives an empty one.
+    Null and empty texts have no spans; very long texts are scanned whole, in time linear in their length; spans that begin at
+    one place are ordered by kind; repeated rows are scanned each; other columns are ignored; an empty table gives an empty one.
     """
     ranks = ranks_path or default_ranks()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

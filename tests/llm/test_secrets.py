@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import pytest
 
@@ -109,3 +110,20 @@ def test_letters_only(alphabet):
     for _ in range(30):
         secret = "".join(draw.choice(alphabet) for _ in range(32))
         assert [s["kind"] for s in secrets.scan(f"see {secret} end", secrets.default_ranks(), 2.2)] == ["dense"]
+
+
+def test_digits_alone():
+    ranks = secrets.default_ranks()
+    found = lambda text: [(s["kind"], text[s["start"] : s["end"]]) for s in secrets.scan(text, ranks, 2.2)]
+    assert found("pin 836104729583610472950173 end") == [("hex", "836104729583610472950173")]
+    assert found("no 83610472958361047295 end") == [("dense", "83610472958361047295")]
+    assert found("from 2024-01-15/2024-02-20 to 2023-11-30_2025-10-31 call 0049-30-1234567-890-12") == []
+
+
+def test_many_spans_in_one_run_take_linear_time():
+    ranks = secrets.default_ranks()
+    text = "/".join(f"AKIA{k:016}" for k in range(8000))
+    began = time.process_time()
+    spans = secrets.scan(text, ranks, 2.2)
+    assert time.process_time() - began < 2
+    assert [s["kind"] for s in spans] == ["access"] * 8000
