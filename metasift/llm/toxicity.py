@@ -19,43 +19,54 @@ from pyspark.sql import functions as F
 
 BUCKET_BITS = 22
 PREFIXES = (5, 6, 7)
-LONGEST_WORD = 24
 #: Labelled rows that the model is fitted on (those with the smallest hashed ids), and features it keeps.
 FITTED, FEATURES = 6000, 1000
+#: Tasks that read the sample.
+FIT_PARTS = 16
 #: Probability from which a grade counts as reached. Few rows are toxic, so missing one weighs more than a false mark: on held-out
 #: labels this finds more of them than one half does, with the same false marks.
 REACHED = 0.3
 #: Likelihood ratio from which a feature counts as a mark of toxic rows (a chance of about 1e-7 for one feature).
 MARK = 15.0
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
-PIECE = 1 << 20
+INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Which characters of the basic plane are letters or marks."""
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(1 << 16)])
+    """Which characters are letters or marks."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+
+
+@lru_cache(maxsize=8)
+def _powers(base: np.uint64, bits: int) -> np.ndarray:
+    """The first 2 ** bits powers of ``base``, modulo 2 ** 64."""
+    factors = np.full(1 << bits, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of a text and their counts."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     letter = np.zeros(len(codes) + 2, bool)
-    letter[1:-1] = (codes < 1 << 16) & _letters()[np.minimum(codes, (1 << 16) - 1)]
+    letter[1:-1] = _letters()[codes]
     edges = np.diff(letter.astype(np.int8))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     if not len(starts):
         return np.empty(0, np.int32), np.empty(0, np.int32)
+    # a word's hash is a polynomial of its characters: a difference of prefix sums, shifted back to its start
+    bits = max(10, len(codes).bit_length())
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(MULTIPLIER, bits)[: len(codes)])))
+    back = _powers(INVERSE, bits)[starts]
+    hashed = lambda rows, size: (sums[starts[rows] + size] - sums[starts[rows]]) * back[rows]
     lengths, out = ends - starts, []
-    mixed = np.zeros(len(starts), np.uint64)
-    wide = codes.astype(np.uint64)
-    for k in range(min(int(lengths.max()), LONGEST_WORD)):
-        going = np.flatnonzero(lengths > k)
-        mixed[going] = (mixed[going] + wide[starts[going] + k] + np.uint64(1)) * MULTIPLIER
-        if k + 1 in PREFIXES:
-            out.append((mixed[going] + np.uint64(k + 1)) * MULTIPLIER)
-    out.append(mixed * MULTIPLIER)
-    ids = np.concatenate(out) >> np.uint64(64 - BUCKET_BITS)
+    for size in PREFIXES:
+        longer = np.flatnonzero(lengths >= size)
+        out.append((hashed(longer, size) + np.uint64(size)) * MULTIPLIER)
+    out.append((hashed(np.arange(len(starts)), lengths) ^ np.uint64(1 << 40)) * MULTIPLIER)
+    out = [x ^ (x >> np.uint64(32)) for x in out]
+    ids = (np.concatenate(out) * MULTIPLIER) >> np.uint64(64 - BUCKET_BITS)
     found, counts = np.unique(ids.astype(np.int32), return_counts=True)
     return found, counts.astype(np.int32)
 
@@ -186,17 +197,21 @@ def fit(labelled: DataFrame, *, keep: int = FEATURES, toxic_grades: int = 2, tex
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, grade: Column, *, fitted: int = FITTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and grade of the ``fitted`` labelled rows with the smallest hashed ids (a broadcast of that size)."""
+    """id, text and grade of at most ``fitted`` rows: those of the labelled ids with the smallest hashes, or of as many of them as fit where ids have several rows.
+
+    An id with several labels has its highest grade; ties of hashes go by id, then by the hashed text.
+    """
     known = labels.select(F.col(id_col), grade.alias("grade")).where("grade IS NOT NULL")
-    chosen = known.orderBy(F.xxhash64(id_col), id_col, "grade").limit(fitted).groupBy(id_col).agg(F.max("grade").alias("grade"))
-    return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    chosen = known.groupBy(id_col).agg(F.max("grade").alias("grade")).orderBy(F.xxhash64(id_col), id_col).limit(fitted)
+    return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).orderBy(F.xxhash64(id_col), id_col, F.xxhash64(text_col)).limit(fitted).repartition(FIT_PARTS)
 
 
 def grade_texts(docs: DataFrame, model: Model, *, reached_from: float = REACHED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, grade (the largest whose probability is at least ``reached_from``), expected_severity, p_toxic, toxic.
 
-    A null or empty text is scored without features. Repeated rows are scored each; other columns are ignored; an empty
-    table gives an empty one.
+    A null or empty text is scored without features; a very long one by all its words, and all of every word. Repeated rows
+    and texts with equal features get equal scores; a probability equal to ``reached_from`` reaches its grade. Other columns are
+    ignored; an empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col), F.col(text_col))

@@ -1,4 +1,6 @@
+import math
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -40,6 +42,55 @@ def test_features_are_words_and_prefixes():
     assert len(toxicity.features("")[0]) == len(toxicity.features("123 --")[0]) == 0
 
 
+def plain_features(text):
+    """Buckets and counts, character by character."""
+    low, multiplier, whole = text.lower(), 0x9E3779B97F4A7C15, 1 << 64
+    words, word = [], ""
+    for c in low + " ":
+        if unicodedata.category(c)[0] in "LM":
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    found = {}
+    for word in words:
+        value = lambda part: sum((ord(c) + 1) * pow(multiplier, j, whole) for j, c in enumerate(part)) % whole
+        hashed = [(value(word[:n]) + n) * multiplier % whole for n in toxicity.PREFIXES if len(word) >= n] + [(value(word) ^ 1 << 40) * multiplier % whole]
+        for h in hashed:
+            bucket = ((h ^ h >> 32) * multiplier % whole) >> (64 - toxicity.BUCKET_BITS)
+            found[bucket] = found.get(bucket, 0) + 1
+    return found
+
+
+HARD = ["", "Straße ÉCOLE über 𝔘𝔫𝔦 𐐀𐐁𐐂 zorgast", "a" * 60 + " " + "a" * 61 + "b", "x1y2 don't İstanbul", "moron moronic " * 50]
+
+
+@pytest.mark.parametrize("text", HARD)
+def test_features_equal_plain_python(text):
+    ids, counts = toxicity.features(text)
+    assert dict(zip(ids.tolist(), counts.tolist())) == plain_features(text)
+
+
+def test_scores_equal_plain_python(spark, table):
+    docs, labels = table
+    model = toxicity.fit(toxicity.sample_of(docs, labels, F.col("toxic")))
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + HARD + [None]
+    found = {r.doc_id: r for r in toxicity.grade_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        score = sum(model.weights[model.place[b]] * math.log(1 + n) for b, n in plain_features(text or "").items() if model.place[b] >= 0)
+        reached = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert found[i].expected_severity == pytest.approx(sum(reached)) and found[i].p_toxic == pytest.approx(reached[0])
+        assert found[i].grade == sum(p >= toxicity.REACHED for p in reached)
+
+
+def test_sample_of_repeated_ids_is_bounded(spark):
+    docs = spark.range(500).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 1)], "doc_id long, toxic int")
+    rows = [toxicity.sample_of(docs, labels, F.col("toxic"), fitted=20).collect() for _ in range(2)]
+    assert len(rows[0]) == 20 and {r.grade for r in rows[0]} == {1}
+    assert sorted(rows[0]) == sorted(rows[1])
+
+
 def test_grades_by_burden():
     grade = toxicity.split_by_burden(np.array([True, False, True, True, True]), np.array([3.0, 9.0, 1.0, 2.0, 4.0]), 2)
     assert grade.tolist() == [2, 0, 1, 1, 2]
