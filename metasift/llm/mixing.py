@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Parts of the seeded order; the part where a pattern's last round ends is ordered document by document.
 PARTS = 4096
-#: Patterns and sources that the driver solves the flow for.
+#: Patterns that the driver solves the flow for, the largest; documents of others flow to their first source alone.
 MOST_PATTERNS = 1_000_000
 #: Up to this many patterns, a row of under 100 bytes each, are broadcast to the documents.
 BROADCAST_PATTERNS = 100_000
@@ -52,7 +52,8 @@ def share_targets(sizes: dict[Source, int], total: float, weights: tuple[float,
 def route(patterns: dict[Pattern, int], quotas: dict[Source, int], rounds: int = 2) -> dict[Pattern, int]:
     """Words taken from each pattern: the largest flow to the quotas, and among those one of least repetition cost.
 
-    Round k of a pattern costs k a word. Patterns that share no source, directly or over others, are solved apart.
+    Round k of a pattern costs k a word. Patterns that share no source, directly or over others, are solved apart. Among
+    flows of equal cost the order of ``patterns`` decides.
     """
     group: dict[Source, Source] = {}
 
@@ -130,13 +131,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, sources: Column, *, budget: float = 1.5, weights: tuple[float, ...] = WEIGHTS, most: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, sources: Column, *, budget: float = 1.5, weights: tuple[float, ...] = WEIGHTS, most: int = 2, seed: int = 17, most_patterns: int = MOST_PATTERNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``sources`` (sorted), size, source_size and target (of its first source), taken.
 
-    ``sources`` is an array column, null elements allowed: a null source is a source of its own. An empty array belongs to
-    none and is never taken. ``taken`` counts words with repeats, at most ``most`` times the size; the document at which a
+    Beyond ``most_patterns`` patterns, documents of the smallest ones count for their first source alone in the flow. ``sources`` is an array column, null elements allowed: a null source is a source of its own. An empty array belongs to
+    none and is never taken, nor is a null one. ``taken`` counts words with repeats, at most ``most`` times the size; the document at which a
     pattern's share ends may be taken in part, so sources come within a word of their targets. Null and empty texts have
-    size 0. Repeated rows count each. Other columns are ignored. An empty table gives an empty one.
+    size 0; very long ones are counted whole. Repeated rows count each; rows with equal places in the order go by id. Other columns are ignored. An empty table gives an empty one.
     """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -149,14 +150,20 @@ def mix(docs: DataFrame, sources: Column, *, budget: float = 1.5, weights: tuple
     rows = settle(rows.select("*", key, F.shiftrightunsigned("order", 64 - (PARTS.bit_length() - 1)).cast("int").alias("part")))
     spark = rows.sparkSession
 
-    found = rows.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    by_pattern = lambda df: df.groupBy("pattern").agg(F.first("flows_to").alias("sources"), F.sum("size").alias("size"))
+    rows = rows.withColumn("flows_to", F.col("sources"))
+    largest = by_pattern(rows).orderBy(F.desc("size"), "pattern").limit(most_patterns + 1).collect()
+    if len(largest) > most_patterns:
+        kept = spark.createDataFrame([(r["pattern"],) for r in largest[:most_patterns]], "kept string")
+        own = F.col("kept").isNotNull() | F.col("pattern").isNull() | (F.size("sources") == 0)
+        first = F.slice("sources", 1, 1)
+        rows = rows.join(kept, F.col("pattern") == F.col("kept"), "left")
+        rows = settle(rows.withColumns({"flows_to": F.when(own, F.col("sources")).otherwise(first), "pattern": F.when(own, F.col("pattern")).otherwise(F.to_json(first))}).drop("kept"))
+        largest = by_pattern(rows).collect()
+    found = largest
+    found.sort(key=lambda r: (r["pattern"] is None, r["pattern"] or ""))  # costs tie, and what is found first is routed first
     patterns = {tuple(r["sources"] or ()): r["size"] for r in found}
-    sizes: dict[Source, int] = defaultdict(int)
-    for pattern, size in patterns.items():
-        for s in pattern:
-            sizes[s] += size
+    sizes = {r["source"]: r["size"] for r in rows.select(F.explode("sources").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size")).collect()}
     targets = share_targets(sizes, budget * sum(patterns.values()), weights, most)
     taken = route(patterns, {s: round(t) for s, t in targets.items()}, most)
 
