@@ -62,25 +62,18 @@ def attachment(part: Column, turn: Column) -> Column:
 def format_conversations(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts: Column | None = None, text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: its id, ``segments`` (text, loss) and ``attachments`` (turn, type, ref, tokens), in order.
 
-    Turns are ordered by turn (nulls first), then role and text; repeated rows stay. Null roles and texts count as empty,
-    rows with a null conversation form one conversation, and other columns are ignored. An empty table gives an empty one.
+    Turns are ordered by turn (nulls first), then role and parts (a plain text: the text) by code point; repeated rows stay.
+    Null roles and texts count as empty, very long ones are kept whole, rows with a null conversation form one conversation,
+    and other columns are ignored. An empty table gives an empty one.
     A conversation is one result row, so its turns meet in one task; nothing else does.
     """
     visited = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), (parts if parts is not None else text_parts(F.col(text_col))).cast(f"array<{PART}>").alias("parts"))
     is_attachment = lambda p: p["type"].isin(list(TOKENS_A_UNIT))
-    visited = visited.select(
-        "conv",
-        F.struct(
-            "turn",
-            "role",
-            F.array_join(F.transform("parts", flat_part), "").alias("body"),
-            F.transform(F.filter("parts", is_attachment), lambda p: attachment(p, F.col("turn"))).alias("attachments"),
-        ).alias("t"),
-    )
-    grouped = visited.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    # sorted by the parts as they came, visited afterwards
+    grouped = visited.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "parts"))).alias("ts"))
     segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    segments = F.transform("ts", lambda t: F.array(segment(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")), F.lit(False)), segment(t["body"], t["role"] == loss_role), segment(F.lit(END), F.lit(False))))
-    return grouped.select(F.col("conv").alias(conv_col), F.flatten(segments).alias("segments"), F.flatten(F.transform("ts", lambda t: t["attachments"])).alias("attachments"))
+    segments = F.transform("ts", lambda t: F.array(segment(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")), F.lit(False)), segment(F.array_join(F.transform(t["parts"], flat_part), ""), t["role"] == loss_role), segment(F.lit(END), F.lit(False))))
+    return grouped.select(F.col("conv").alias(conv_col), F.flatten(segments).alias("segments"), F.flatten(F.transform("ts", lambda t: F.transform(F.filter(t["parts"], is_attachment), lambda p: attachment(p, t["turn"])))).alias("attachments"))
 
 
 def formatted(segments: Column) -> Column:

@@ -13,10 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir; where that is unset and Spark runs in this process alone (tests), a temporary one."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can read and write")
         configured = tempfile.mkdtemp(prefix="metasift-")
         sc.setCheckpointDir(configured)
     elif sc.getCheckpointDir() is None:
@@ -31,4 +33,5 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, under the application's own, so that all an application wrote can be removed at once."""
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"

@@ -20,8 +20,8 @@ ORDERS = (1, 2, 3)
 #: Documents of each language that the model is fitted on, about: a sample by hashed id.
 FITTED_A_LANGUAGE = 3000
 HASH_RANGE = 1 << 40
-#: Languages a model may have; the matrix that is broadcast stays below this many times BUCKETS floats.
-MOST_LANGUAGES = 512
+#: Numbers in the matrix that is broadcast, at most: with more than 512 languages there are fewer buckets.
+MOST_NUMBERS = 1 << 24
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
 #: Characters scored at a time.
 PIECE = 1 << 20
@@ -39,8 +39,8 @@ def simplified(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " "), F.lit(" "))
 
 
-def buckets(text: str) -> Iterator[np.ndarray]:
-    """Bucket of each n-gram, some characters at a time."""
+def buckets(text: str, number: int = BUCKETS) -> Iterator[np.ndarray]:
+    """Bucket of each n-gram, some characters at a time. ``number`` of buckets: a power of two."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     for at in range(0, max(len(codes), 1), PIECE):
         piece = codes[at : at + PIECE + max(ORDERS) - 1].astype(np.uint64)
@@ -51,23 +51,22 @@ def buckets(text: str) -> Iterator[np.ndarray]:
             mixed = np.full(starts, n, np.uint64)
             for k in range(n):
                 mixed = mixed * MULTIPLIER + piece[k : k + starts]
-            yield ((mixed * MULTIPLIER) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+            yield ((mixed * MULTIPLIER) >> np.uint64(64 - number.bit_length() + 1)).astype(np.int64)
 
 
 def fit(docs: DataFrame, label: Column, *, per_language: int = FITTED_A_LANGUAGE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model of the non-null labels, fitted on about ``per_language`` rows of each, or all it has if fewer.
+    """A model of the non-null labels, fitted on about ``per_language`` different rows of each, or all it has if fewer.
 
-    Which rows: those whose hashed ids fall under the label's share of the hash range, so a rerun takes the same and no task
-    ranks a label's rows. Counting runs in tasks; the driver gets one row for each language and bucket. Without labelled
+    Which rows: those whose hashed ids and texts fall under the label's share of the hash range, so a rerun takes the same, no
+    task ranks a label's rows and repeated ids are chosen apart. Repeated rows are chosen together. Counting runs in tasks; the driver gets one row for each language and bucket. Without labelled
     rows the model knows no language.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.cast("string").alias("label")).where("label IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("label").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"the labels have more than {MOST_LANGUAGES} values")
+    sizes = labelled.groupBy("label").count().collect()
+    number = min(BUCKETS, 1 << max(1, MOST_NUMBERS // max(len(sizes), 1)).bit_length() - 1)
     under = [(r["label"], HASH_RANGE if r["count"] <= per_language else HASH_RANGE * per_language // r["count"]) for r in sizes]
     shares = docs.sparkSession.createDataFrame(under, "share_of string, under long")
-    chosen = labelled.join(F.broadcast(shares), F.col("label") == F.col("share_of")).where(F.pmod(F.xxhash64("id"), F.lit(HASH_RANGE)) < F.col("under"))
+    chosen = labelled.join(F.broadcast(shares), F.col("label") == F.col("share_of")).where(F.pmod(F.xxhash64("id", "text"), F.lit(HASH_RANGE)) < F.col("under"))
     texts = chosen.select("label", simplified(F.col("text")).alias("text"))
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,10 +74,10 @@ def fit(docs: DataFrame, label: Column, *, per_language: int = FITTED_A_LANGUAGE
         documents: dict[str, int] = {}
         for batch in stream:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = counts.setdefault(name, np.zeros(BUCKETS, np.int64))
+                own = counts.setdefault(name, np.zeros(number, np.int64))
                 documents[name] = documents.get(name, 0) + 1
-                for part in buckets(text.as_py()):
-                    own += np.bincount(part, minlength=BUCKETS)
+                for part in buckets(text.as_py(), number):
+                    own += np.bincount(part, minlength=number)
         for name, own in counts.items():
             used = np.flatnonzero(own)
             numbers, values = np.append(used, -1), np.append(own[used], documents[name])
@@ -87,7 +86,7 @@ def fit(docs: DataFrame, label: Column, *, per_language: int = FITTED_A_LANGUAGE
     summed = texts.mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     rows = summed.toArrow()
     names = sorted(set(rows["label"].to_pylist()))
-    counts, documents = np.zeros((BUCKETS, len(names))), np.zeros(len(names))
+    counts, documents = np.zeros((number, len(names))), np.zeros(len(names))
     place = {name: k for k, name in enumerate(names)}
     columns = np.array([place[x] for x in rows["label"].to_pylist()], np.int64)
     bucket, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
@@ -97,11 +96,19 @@ def fit(docs: DataFrame, label: Column, *, per_language: int = FITTED_A_LANGUAGE
     return Model(names, np.log(smoothed / smoothed.sum(axis=0)).astype(np.float32), np.log(documents / max(documents.sum(), 1)))
 
 
+def summed(part: np.ndarray, log_probability: np.ndarray) -> np.ndarray:
+    """Log probability of some buckets by language: of each bucket once, times how often it occurs, where there are more than buckets."""
+    if len(part) <= len(log_probability):
+        return log_probability[part].sum(axis=0, dtype=np.float64)
+    return np.bincount(part, minlength=len(log_probability)) @ log_probability.astype(np.float64)
+
+
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, ``lang_pred``, ``score`` (posterior probability), and the columns of ``keep``.
 
     A null text, a text without a letter, and any text under a model without languages is ``und`` with score 0. Ties go to
-    the language first in code point order. Repeated rows are judged each; an empty table gives an empty one.
+    the language first in code point order. Very long texts are scored whole, a million characters at a time. Repeated rows are
+    judged each; an empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
@@ -119,8 +126,8 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                     scores.append(0.0)
                     continue
                 total = known.log_prior.copy()
-                for part in buckets(value):
-                    total += known.log_probability[part].sum(axis=0, dtype=np.float64)
+                for part in buckets(value, len(known.log_probability)):
+                    total += summed(part, known.log_probability)
                 best = int(total.argmax())
                 names.append(known.languages[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))

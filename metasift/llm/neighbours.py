@@ -44,26 +44,33 @@ class Rounded:
         whole = np.rint(vectors / self.scale[:, None])
         self.int8 = np.clip(whole, -127, 127).astype(np.int8)
         near = self.int8 * self.scale[:, None]
-        self.error = np.linalg.norm(vectors - near, axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.error = np.linalg.norm(vectors - near, axis=1)
+        # infinite where a square is too large: such bounds say nothing, and what they belong to is recomputed
         self.squared = np.einsum("ij,ij->i", near, near)
 
     def bounds(self, other: Rounded) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of the distances between all of these and all of the other."""
         kind = np.float32 if self.int8.shape[1] <= EXACT_IN_FLOAT32 else np.float64
         product = (self.int8.astype(kind) @ other.int8.astype(kind).T).astype(np.float64)
-        product *= self.scale[:, None] * other.scale[None, :]
-        near = np.sqrt(np.maximum(self.squared[:, None] + other.squared[None, :] - 2 * product, 0))
-        # the square root magnifies what float64 loses where two vectors are nearly the same
-        slack = self.error[:, None] + other.error[None, :] + 1e-7 * np.sqrt(self.squared[:, None] + other.squared[None, :])
-        return near - slack, near + slack
+        with np.errstate(over="ignore", invalid="ignore"):
+            product *= self.scale[:, None] * other.scale[None, :]
+            near = np.sqrt(np.maximum(self.squared[:, None] + other.squared[None, :] - 2 * product, 0))
+            # the square root magnifies what float64 loses where two vectors are nearly the same
+            slack = self.error[:, None] + other.error[None, :] + 1e-7 * np.sqrt(self.squared[:, None] + other.squared[None, :])
+            lower, upper = near - slack, near + slack
+        unknown = ~np.isfinite(upper)
+        lower[unknown], upper[unknown] = -np.inf, np.inf
+        return lower, upper
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows, components added one after another in double precision."""
+    """Euclidean distances of rows, components added one after another in double precision; infinite where a square is too large for it."""
     total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        gap = a[:, j] - b[:, j]
-        total += gap * gap
+    with np.errstate(over="ignore"):
+        for j in range(a.shape[1]):
+            gap = a[:, j] - b[:, j]
+            total += gap * gap
     return np.sqrt(total)
 
 
@@ -109,7 +116,7 @@ def matrices(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", query_chunk: int = QUERY_CHUNK) -> DataFrame:
     """query_id, rank (from 1), the id and the exact Euclidean distance (``score``) of each query's ``k`` nearest rows.
 
-    Ties go to the smaller id; a query with fewer candidates gets them all. A row is no candidate of a query with the same
+    Ties go to the smaller id; distances beyond double precision are infinite and tie; a query with fewer candidates gets them all. A row is no candidate of a query with the same
     id. Rows with a null id, and vectors that are null, zero or hold a null or non-finite component, take no part; vectors of
     different lengths never meet. Other columns are ignored; an empty table gives an empty one. Where the queries need more
     than one chunk, each chunk's finds are written to the shared folder before the next chunk is taken, so one chunk is held at a time.

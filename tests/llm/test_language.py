@@ -22,6 +22,27 @@ def test_held_out_fold(spark):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
+def plain_buckets(text):
+    """One bucket for each n-gram, character by character."""
+    whole = 1 << 64
+    for n in (1, 2, 3):
+        for at in range(len(text) - n + 1):
+            mixed = n
+            for c in text[at : at + n]:
+                mixed = (mixed * 0x9E3779B97F4A7C15 + ord(c)) % whole
+            yield (mixed * 0x9E3779B97F4A7C15 % whole) >> (64 - 15)
+
+
+def test_many_languages_and_dense_pieces(spark):
+    rows = [(i, f"word{i} " * 3, f"l{i:04}") for i in range(1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.col("lang"))
+    assert model.log_probability.shape == (8192, 1100)
+    assert language.predict(docs.limit(5), model).count() == 5
+    part, matrix = np.random.default_rng(0).integers(0, 64, 1000), np.random.default_rng(1).normal(size=(64, 3)).astype(np.float32)
+    assert language.summed(part, matrix) == pytest.approx(matrix[part].sum(axis=0, dtype=np.float64))
+
+
 def test_accuracy_and_brute_force(labelled):
     rows, docs = labelled
     found = {r.doc_id: r for r in queries.identify(docs.withColumn("held_out", language.held_out()), keep=("held_out",)).collect()}
@@ -32,13 +53,13 @@ def test_accuracy_and_brute_force(labelled):
     for i, text, lang in rows:
         if not found[i].held_out:
             sizes[lang] += 1
-            for part in language.buckets(" ".join(clean(text).split(" "))):
-                np.add.at(counts[lang], part, 1)
+            for bucket in plain_buckets(clean(text)):
+                counts[lang][bucket] += 1
     for i, text, _ in rows[:60]:
         total = {}
         for lang in STOCK:
             p = np.log((counts[lang] / counts[lang].sum()).astype(np.float64))
-            total[lang] = np.log(sizes[lang] / sum(sizes.values())) + sum(p[part].sum() for part in language.buckets(clean(text)))
+            total[lang] = np.log(sizes[lang] / sum(sizes.values())) + sum(p[bucket] for bucket in plain_buckets(clean(text)))
         assert found[i].lang_pred == max(total, key=total.get)
 
 

@@ -59,6 +59,12 @@ def test_empty_and_few(spark):
     assert found(spark, [(0, [1.0, 1.0])]) == []
 
 
+def test_squares_beyond_double_precision(spark):
+    vectors = [(0, [1e160, 1.0]), (1, [1.0, 2.0]), (2, [-1e160, 0.0]), (3, [1e160, 5.0])]
+    rows = neighbours.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(rows, key=lambda r: r["rank"])] == [(1, 3, 4.0), (2, 1, float("inf")), (3, 2, float("inf"))]
+
+
 def test_bounds_hold():
     draw = np.random.default_rng(5)
     a, b = (neighbours.Rounded(np.arange(50), draw.normal(size=(50, 16)) * 10.0 ** draw.integers(-3, 4, size=(50, 1))) for _ in range(2))
