@@ -15,13 +15,26 @@ from metasift.llm.common import fresh_path, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Probability from which a predicted language counts.
+SURE = 0.5
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: a null text, or one without a letter."""
-    return queries.identify(docs, keep=tuple(COLUMNS[1:])).where("lang_pred <> 'und'").select(COLUMNS)
+    """Keeps documents whose language is told with a probability of at least one half, and writes it to ``lang``.
+
+    Null texts, texts without a letter, and all where no label is known have no language and go. Repeated rows stay.
+    Very long texts are read whole. An empty table gives an empty one.
+    """
+    told = queries.identify(docs, keep=tuple(COLUMNS[1:])).where((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
+    return told.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near-duplicates, the one with the smallest id; rows are told apart by a key of their own, not by their id."""
+    """Keeps one row of each group of near-duplicates, the one with the smallest id; rows are told apart by a key of their own, not by their id.
+
+    Null ids come last; equal ids go by the key. Null and empty texts are near-duplicates of each other. An empty table gives
+    an empty one.
+    """
     path = fresh_path(spark, "keyed")
     docs.select(*COLUMNS, F.monotonically_increasing_id().alias("key")).write.parquet(path)
     keyed = spark.read.parquet(path)
@@ -29,13 +42,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of a benchmark item."""
+    """Drops documents that hold a passage of a benchmark item, exact or with few edits, wherever it stands in them.
+
+    Null and empty texts hold none and stay, as do repeated rows. Without items every document stays.
+    """
     found = decontaminate.find_leaks(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.where(F.size("leaks") == 0).select(COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the one where a source's share ends counts as a whole."""
+    """Each document as often as the mix takes it; the one where a source's share ends counts as a whole.
+
+    Documents without words are never taken. Rows that repeat an id are all taken as often as the one taken most. A null
+    source is a source like any other. An empty table gives an empty one.
+    """
     taken = mixing.mix(docs, F.array("source")).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
     # repeated ids were taken each; one row for each id and number is enough to repeat its documents
     times = taken.groupBy("doc_id").agg(F.max("times").alias("times"))
@@ -44,6 +64,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per row of ``docs`` from the files written: doc_id, start, n_tokens, ids_crc32.
+
+    Null ids come first and equal ids keep any order; null and empty texts are the end id alone; very long texts are one
+    document each. An empty table gives an empty one.
+    """
     return queries.encode_documents(spark, docs)
 
 
