@@ -93,3 +93,28 @@ def test_registered(spark):
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_language_stage_writes_its_prediction(spark, folder):
+    path, rows, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    blank = docs.withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, blank, path).collect()}
+    truth = {r[0]: r[2] for r in rows if r[0] < 90}
+    assert {400, 401, 402} & set(kept) == set()
+    assert {i for i in kept if i < 90} == set(truth)
+    assert sum(kept[i] == truth[i] for i in truth) >= 88
+
+
+def test_the_rest_imports_without_the_training_data_part(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    shutil.copytree(f"{root}/metasift", tmp_path / "metasift", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(f"{root}/{name}", tmp_path)
+        code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not [n for n in q if n.startswith('op') or n == 'pipeline']"
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
