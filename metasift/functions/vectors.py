@@ -18,21 +18,29 @@ def bucket(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 30, 3), 16, 10).cast("int") % DIMENSION
 
 
+def with_vector(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``df`` and a column ``name``: the buckets of each text in order, and their weights, of length one. It's built inside the row, so nothing is shuffled."""
+    i = F.sequence(F.lit(0), F.size("sorted_") - 1)
+    starts = F.filter(i, lambda k: (k == 0) | (F.get("sorted_", k) != F.get("sorted_", k - 1)))
+    runs = lambda: F.transform("starts_", lambda at, k: F.coalesce(F.get("starts_", k + 1), F.size("sorted_")) - at)
+    norm = F.sqrt(F.aggregate("counts_", F.lit(0).cast("long"), lambda s, n: s + n.cast("long") * n))
+    out = df.withColumn("sorted_", F.sort_array(F.coalesce(F.transform(tokens(F.col(text_col)), bucket), F.array().cast("array<int>"))))
+    out = out.withColumn("starts_", F.when(F.size("sorted_") > 0, starts).otherwise(F.array().cast("array<int>"))).withColumn("counts_", runs()).withColumn("norm_", norm)
+    weights = F.transform("counts_", lambda n: n / F.col("norm_"))
+    vector = F.struct(F.array_distinct("sorted_").alias("buckets"), weights.alias("weights"))
+    return out.withColumn(name, vector).drop("sorted_", "starts_", "counts_", "norm_")
+
+
 def hash_embed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Sparse vectors (id, bucket, weight), of length one; a text without tokens has no rows."""
-    counted = df.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("token")).groupBy(id_col, bucket(F.col("token")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    norms = counted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counted.join(norms, id_col).select(id_col, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
-
-
-def sparse_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """Adds ``similarity`` to pairs of ids, from sparse unit vectors; 0 where a side has none or nothing is shared."""
-    a = left.select(F.col(left_id).alias("left_"), "bucket", F.col("weight").alias("wa"))
-    b = right.select(F.col(right_id).alias("right_"), F.col("bucket").alias("bucket_b"), F.col("weight").alias("wb"))
-    wanted = pairs.select(F.col(left_id).alias("l"), F.col(right_id).alias("r")).distinct()
-    shared = wanted.join(a, F.col("l") == F.col("left_")).join(b, (F.col("r") == F.col("right_")) & (F.col("bucket") == F.col("bucket_b")))
-    dots = shared.groupBy(F.col("l").alias(left_id), F.col("r").alias(right_id)).agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
-    return pairs.join(dots, [left_id, right_id], "left").fillna(0.0, ["similarity"])
+    """Sparse vectors (id, bucket, weight), of length one, of each row; a text without tokens has no rows."""
+    built = with_vector(df.select(F.col(id_col), F.col(text_col).alias("text_")), "text_", "vector_")
+    return built.select(id_col, F.inline(F.arrays_zip(F.col("vector_.buckets").alias("bucket"), F.col("vector_.weights").alias("weight"))))
+
+
+def sparse_dot(a: Column, b: Column) -> Column:
+    """Similarity of two vectors of with_vector; 0 where one is missing or nothing is shared."""
+    weight = lambda v, k: F.get(v["weights"], (F.array_position(v["buckets"], k) - 1).cast("int"))
+    return F.coalesce(F.aggregate(F.array_intersect(a["buckets"], b["buckets"]), F.lit(0.0), lambda s, k: s + weight(a, k) * weight(b, k)), F.lit(0.0))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the folder of spark.checkpoint.dir (a temporary one where that is unset)."""
+    """``df`` computed once into the folder of spark.checkpoint.dir; where that is unset and Spark runs in this process alone, a temporary one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="metasift-"))
+        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can read and write")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="metasift-"))
     return df.checkpoint()
 
 

@@ -109,14 +109,14 @@ ft0 AS (SELECT record_id, seq, CASE WHEN record_id % 11 = 0 THEN NULL WHEN recor
   CASE WHEN lang = 'en' THEN '' ELSE ' ' || lang || ' ' END AS criterion, text FROM screened WHERE final_label IN ('include', 'unclear')),
 fulltext AS (SELECT *, coalesce(human_label, ensemble_label) AS final_label FROM ft0),
 reports AS (SELECT record_id, CASE WHEN coalesce(human_label = 'exclude', false) THEN coalesce(nullif(trim(human_reason), ''), 'criterio no especificado') ELSE coalesce(nullif(trim(criterion), ''), 'criterio no especificado') END AS reason,
-  CASE WHEN coalesce(human_label = 'exclude', false) THEN 'human' ELSE 'ai' END AS reason_source, left(text, 40) AS title FROM fulltext WHERE final_label = 'exclude')
+  CASE WHEN coalesce(human_label = 'exclude', false) THEN 'human' ELSE 'ai' END AS reason_source, text AS title FROM fulltext WHERE final_label = 'exclude')
 """
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records, title-and-abstract decisions and full-text decisions."""
     n = F.col("doc_id")
-    docs = read(spark, sf_dir, "documents").select(n.alias("record_id"), n.alias("seq"), F.substring("text", 1, 40).alias("title"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("doi"), "lang", F.col("source").alias("source_db"))
+    docs = read(spark, sf_dir, "documents").select(n.alias("record_id"), n.alias("seq"), F.col("text").alias("title"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("doi"), "lang", F.col("source").alias("source_db"))
     r = F.col("record_id")
     proposed = F.when(r % 5 < 2, "include").when(r % 5 == 2, "unclear").otherwise("exclude")
     human = F.when(r % 7 == 0, "include").when(r % 7 == 1, "exclude")
@@ -364,21 +364,20 @@ SELECT doc_id, other_id, round(coalesce(similarity, 0), 9) AS similarity, coales
 )
 def hash_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    ids = docs.select("doc_id")
-    pairs = ids.join(ids.select(F.col("doc_id").alias("other_id")), F.col("other_id") == F.col("doc_id") + 1)
-    vectors = V.hash_embed(docs, "doc_id", "text")
-    scored = V.sparse_cosine(pairs, vectors, vectors.withColumnRenamed("doc_id", "other_id"), "doc_id", "other_id")
+    vectors = V.with_vector(docs, "text", "vector").select("doc_id", "vector")
+    pairs = vectors.join(vectors.select(F.col("doc_id").alias("other_id"), F.col("vector").alias("other")), F.col("other_id") == F.col("doc_id") + 1)
+    scored = pairs.withColumn("similarity", V.sparse_dot(F.col("vector"), F.col("other")))
     return scored.select("doc_id", "other_id", F.round("similarity", 9).alias("similarity"), (F.col("similarity") >= grounding.THRESHOLD).alias("grounded"))
 
 
-@query("SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(similarity, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id < 5)) WHERE rank <= 5")
+@query("SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(similarity, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)) WHERE rank <= 5")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
-    return _rounded(grounding.most_similar(vectors.where("vec_id < 5"), vectors, 5))
+    return _rounded(grounding.most_similar(vectors.where("vec_id % 20 = 0"), vectors, 5))
 
 
 NARRATIVES_SQL = """
-n AS (SELECT doc_id, left(text, 200) || ' [rec-' || doc_id || '] ' || right(text, 60) || ' [rec-' || (doc_id + 1) || '] x [rec-' || doc_id || '] [none:' || (doc_id % 7) || ']' AS text FROM documents),
+n AS (SELECT doc_id, text || ' [rec-' || doc_id || '] ' || text || ' [rec-' || (doc_id + 1) || '] x [rec-' || doc_id || '] [none:' || (doc_id % 7) || ']' AS text FROM documents),
 c AS (SELECT doc_id, text, unnest(ids) AS cited_id, unnest(range(0, len(ids))) AS pos FROM (SELECT doc_id, text, ['rec-' || doc_id, 'rec-' || (doc_id + 1), 'none:' || (doc_id % 7)] AS ids FROM n)),
 claims AS (SELECT doc_id, CAST(pos AS INT) AS pos, cited_id, trim(substr(text, greatest(1, p0 - 120), p0 + length(cited_id) + 122 - greatest(1, p0 - 120)), ' ' || chr(10)) AS claim FROM (SELECT *, strpos(text, '[' || cited_id || ']') AS p0 FROM c))
 """
@@ -387,7 +386,7 @@ claims AS (SELECT doc_id, CAST(pos AS INT) AS pos, cited_id, trim(substr(text, g
 def _narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     tag = lambda prefix, x: F.concat(F.lit(f"[{prefix}"), x.cast("string"), F.lit("]"))
-    text = F.concat(F.substring("text", 1, 200), F.lit(" "), tag("rec-", n), F.lit(" "), F.right(F.col("text"), F.lit(60)), F.lit(" "), tag("rec-", n + 1), F.lit(" x "), tag("rec-", n), F.lit(" "), tag("none:", n % 7))
+    text = F.concat("text", F.lit(" "), tag("rec-", n), F.lit(" "), "text", F.lit(" "), tag("rec-", n + 1), F.lit(" x "), tag("rec-", n), F.lit(" "), tag("none:", n % 7))
     return read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
@@ -423,11 +422,11 @@ def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""SELECT doc_id, md5(regexp_replace(regexp_replace(t, '(//)[^/\s:@''"]+:[^/\s@''"]+@', '\1<redacted>@', 'g'), '(?i)((?:api_key|apikey|key|token|access_token|mailto|email|x-amz-signature|x-amz-credential|x-amz-security-token|signature|policy|key-pair-id|sig|client_secret|secret|password)=)[^&\s''"]+', '\1<redacted>', 'g')) AS redacted_md5
-FROM (SELECT doc_id, left(text, 300) || ' https://u' || doc_id || ':pw@h.org/p?token=abc' || doc_id || '&x=1 password=' || doc_id AS t FROM documents)"""
+FROM (SELECT doc_id, text || ' https://u' || doc_id || ':pw@h.org/p?token=abc' || doc_id || '&x=1 password=' || doc_id AS t FROM documents)"""
 )
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id").cast("string")
-    text = F.concat(F.substring("text", 1, 300), F.lit(" https://u"), n, F.lit(":pw@h.org/p?token=abc"), n, F.lit("&x=1 password="), n)
+    text = F.concat("text", F.lit(" https://u"), n, F.lit(":pw@h.org/p?token=abc"), n, F.lit("&x=1 password="), n)
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.redact(text)).alias("redacted_md5"))
 
 
@@ -446,18 +445,18 @@ def doi_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', ' ', 'g')) AS title_key, nullif(trim(regexp_replace(lower(left(text, 60)), '\s+', ' ', 'g')), '') AS compared,
-  TRY_CAST(nullif(regexp_extract(text, '[0-9]{4}', 0), '') AS INT) AS any_year, 'c' || doc_id || '_x' AS cite_key, regexp_replace(left(text, 30), '[;,]', ' - ', 'g') <> left(text, 30) AS has_separator,
+    r"""SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS title_key, nullif(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '') AS compared,
+  TRY_CAST(nullif(regexp_extract(text, '[0-9]{4}', 0), '') AS INT) AS any_year, 'c' || doc_id || '_x' AS cite_key, regexp_replace(text, '[;,]', ' - ', 'g') <> text AS has_separator,
   CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 28 END AS day_gap FROM documents"""
 )
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, head = F.col("doc_id"), F.substring("text", 1, 60)
+    n, head = F.col("doc_id"), F.col("text")
     key = F.concat(F.lit("/c"), n.cast("string"), F.lit("-x."))
     late = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (n % 28).cast("int")), "yyyy-MM-dd")
     typed = F.when(n % 3 == 0, "soon").otherwise(late)
     return read(spark, sf_dir, "documents").select(
         "doc_id", T.title_key(head).alias("title_key"), T.compared_value(head).alias("compared"), T.any_year(F.col("text")).alias("any_year"), T.cite_key(key).alias("cite_key"),
-        (F.regexp_replace(F.substring("text", 1, 30), "[;,]", " - ") != F.substring("text", 1, 30)).alias("has_separator"), T.days_between(typed, F.lit("2024-01-01")).cast("long").alias("day_gap"),
+        (F.regexp_replace("text", "[;,]", " - ") != F.col("text")).alias("has_separator"), T.days_between(typed, F.lit("2024-01-01")).cast("long").alias("day_gap"),
     )
 
 
@@ -657,12 +656,12 @@ def robvis_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT conv_id AS study_id, role AS key, arg_max(CASE WHEN length(text) % 4 = 0 THEN '—' ELSE left(text, 8) END || CASE WHEN turn % 2 = 1 THEN ' ⚠️' ELSE '' END, turn) AS v FROM conversations GROUP BY 1, 2)
+    """WITH f AS (SELECT conv_id AS study_id, role AS key, arg_max(CASE WHEN length(text) % 4 = 0 THEN '—' ELSE text END || CASE WHEN turn % 2 = 1 THEN ' ⚠️' ELSE '' END, turn) AS v FROM conversations GROUP BY 1, 2)
 SELECT study_id, coalesce(max(v) FILTER (key = 'user'), '—') AS "user", coalesce(max(v) FILTER (key = 'assistant'), '—') AS assistant, coalesce(max(v) FILTER (key = 'system'), '—') AS system FROM f GROUP BY 1"""
 )
 def extraction_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
-    fields = turns.select(F.col("conv_id").alias("study_id"), F.col("role").alias("key"), F.when(F.length("text") % 4 == 0, F.lit(None)).otherwise(F.substring("text", 1, 8)).alias("value"), F.when(F.col("turn") % 2 == 1, "needs_review").otherwise("found").alias("status"), F.col("turn").alias("seq"))
+    fields = turns.select(F.col("conv_id").alias("study_id"), F.col("role").alias("key"), F.when(F.length("text") % 4 == 0, F.lit(None)).otherwise(F.col("text")).alias("value"), F.when(F.col("turn") % 2 == 1, "needs_review").otherwise("found").alias("status"), F.col("turn").alias("seq"))
     return exports.extraction_table(fields, list(DOMAINS))
 
 
@@ -724,15 +723,15 @@ def union_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_seq(R.in_order([a, b]))
 
 
-@query("SELECT doc_id AS record_id, CASE WHEN (y1 AND NOT n1) OR (y2 AND NOT n2) THEN 'include' WHEN NOT (n1 AND NOT y1) OR NOT (n2 AND NOT y2) THEN 'unclear' ELSE 'exclude' END AS ensemble_label, 2 AS n_votes FROM (SELECT doc_id, contains(t, 'tion') AS y1, contains(t, 'ung') AS n1, contains(t, 'ment') AS y2, contains(t, 'ch') AS n2 FROM (SELECT doc_id, lower(left(text, 40) || ' ' || left(text, 400)) AS t FROM documents))")
+@query("SELECT doc_id AS record_id, CASE WHEN (y1 AND NOT n1) OR (y2 AND NOT n2) THEN 'include' WHEN NOT (n1 AND NOT y1) OR NOT (n2 AND NOT y2) THEN 'unclear' ELSE 'exclude' END AS ensemble_label, 2 AS n_votes FROM (SELECT doc_id, contains(t, 'tion') AS y1, contains(t, 'ung') AS n1, contains(t, 'ment') AS y2, contains(t, 'ch') AS n2 FROM (SELECT doc_id, lower(text || ' ' || text) AS t FROM documents))")
 def stub_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.substring("text", 1, 40).alias("title"), F.substring("text", 1, 400).alias("abstract"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("title"), F.col("text").alias("abstract"))
     members = {"a": providers.keyword_screener("tion", "ung"), "b": providers.keyword_screener("ment", "ch")}
     return providers.screen(docs, members).select("record_id", "ensemble_label", F.col("n_votes").cast("int").alias("n_votes"))
 
 
 @query(
-    """WITH a AS (SELECT doc_id, left(text, 50) AS abstract, CASE WHEN doc_id % 4 = 0 THEN text END AS archive, doc_id % 5 = 0 AS failed, CASE WHEN doc_id % 3 <> 0 THEN 'https://u/' || doc_id END AS url,
+    """WITH a AS (SELECT doc_id, text AS abstract, CASE WHEN doc_id % 4 = 0 THEN text END AS archive, doc_id % 5 = 0 AS failed, CASE WHEN doc_id % 3 <> 0 THEN 'https://u/' || doc_id END AS url,
   CASE doc_id % 7 WHEN 0 THEN 'error' WHEN 1 THEN 'no_client' ELSE 'ok' END AS status, CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS page FROM documents),
 o AS (SELECT *, archive IS NOT NULL OR (status = 'ok' AND length(page) > 0) AS available FROM a)
 SELECT doc_id AS record_id, available, CASE WHEN available THEN NULL WHEN failed OR status = 'error' THEN 'error_http' WHEN url IS NULL THEN 'sin_url_oa' WHEN status = 'no_client' THEN 'sin_httpx' ELSE 'texto_vacio' END AS reason,
@@ -742,7 +741,7 @@ SELECT doc_id AS record_id, available, CASE WHEN available THEN NULL WHEN failed
 def retrieval_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     attempts = read(spark, sf_dir, "documents").select(
-        n.alias("record_id"), F.substring("text", 1, 50).alias("abstract"), F.concat(F.lit("PMC"), n.cast("string")).alias("pmcid"), F.when(n % 4 == 0, F.col("text")).alias("archive_text"), (n % 5 == 0).alias("archive_failed"),
+        n.alias("record_id"), F.col("text").alias("abstract"), F.concat(F.lit("PMC"), n.cast("string")).alias("pmcid"), F.when(n % 4 == 0, F.col("text")).alias("archive_text"), (n % 5 == 0).alias("archive_failed"),
         F.when(n % 3 != 0, F.concat(F.lit("https://u/"), n.cast("string"))).alias("open_url"), F.when(n % 7 == 0, "error").when(n % 7 == 1, "no_client").otherwise("ok").alias("open_status"), F.when(n % 2 == 0, F.col("text")).otherwise("").alias("open_text"),
     )
     return retrieval.outcomes(attempts).drop("text")
