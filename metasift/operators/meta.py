@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metasift.functions.stats import expit, normal_two_sided
+from metasift.functions.stats import chi2_tail, expit, normal_two_sided, student_two_sided
 
 Z95 = 1.96
 
@@ -83,7 +83,7 @@ def study_rows(effects: DataFrame, by: list[str]) -> DataFrame:
 
 
 def pooled(effects: DataFrame, by: list[str], p_values: bool = False) -> DataFrame:
-    """Both models for each review: estimate, se, interval, z; reviews of one study are left out. ``p_values`` adds two-sided normal p."""
+    """Both models for each review: estimate, se, interval, z; reviews of one study are left out. ``p_values`` adds two-sided normal p and the chi-square tail of Q."""
     review = heterogeneity(effects, by).where("k >= 2")
     rows = _with(effects.select(*by, "yi", "vi"), review.select(*by, "tau2"), by)
     models = rows.select(*by, F.explode(F.array(F.struct(F.lit("fixed").alias("model"), (1 / F.col("vi")).alias("w")), F.struct(F.lit("random").alias("model"), (1 / (F.col("vi") + F.col("tau2"))).alias("w")))).alias("m"), "yi")
@@ -91,11 +91,11 @@ def pooled(effects: DataFrame, by: list[str], p_values: bool = False) -> DataFra
     est, se = F.col("swy") / F.col("sw"), F.sqrt(1 / F.col("sw"))
     out = sums.select(*by, "model", est.alias("estimate"), se.alias("se"), (est - Z95 * se).alias("ci_low"), (est + Z95 * se).alias("ci_high"), (est / se).alias("z"))
     out = _with(out, review.select(*by, "k", "q", "df", "tau2", "i2"), by)
-    return out.withColumn("p_value", normal_two_sided("z")) if p_values else out
+    return out.withColumns({"p_value": normal_two_sided(F.col("z")), "q_p_value": chi2_tail(F.col("q"), F.col("df"))}) if p_values else out
 
 
 def egger(effects: DataFrame, by: list[str], p_values: bool = False) -> DataFrame:
-    """Regression of the standardised effect on precision: intercept, se, t; reviews of fewer than three studies, or of equal precision, are left out."""
+    """Regression of the standardised effect on precision: intercept, se, t; reviews of fewer than three studies, or of equal precision, are left out. ``p_values`` adds Student's two-sided p with k - 2 degrees of freedom."""
     points = effects.select(*by, (1 / F.sqrt("vi")).alias("x"), (F.col("yi") / F.sqrt("vi")).alias("y"))
     means = points.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
     centred = _with(points, means, by).withColumns({"dx": F.col("x") - F.col("mx"), "dy": F.col("y") - F.col("my")})
@@ -105,7 +105,7 @@ def egger(effects: DataFrame, by: list[str], p_values: bool = False) -> DataFram
     left = _with(points, lines, by).groupBy(*by).agg(F.first("k").alias("k"), F.first("mx").alias("mx"), F.first("sxx").alias("sxx"), F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.sum(gap * gap).alias("ss"))
     se = F.sqrt(F.col("ss") / (F.col("k") - 2) * (1 / F.col("k") + F.col("mx") * F.col("mx") / F.col("sxx")))
     out = left.select(*by, "k", "intercept", "slope", se.alias("se"), F.when(se > 0, F.col("intercept") / se).otherwise(0.0).alias("t"))
-    return out.withColumn("p_value", normal_two_sided("t")) if p_values else out
+    return out.withColumn("p_value", student_two_sided(F.col("t"), F.col("k") - 2)) if p_values else out
 
 
 def forest(studies: DataFrame, display: str = "raw") -> DataFrame:

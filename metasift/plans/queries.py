@@ -291,25 +291,33 @@ def forest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(meta.forest(studies, "proportion"))
 
 
-@query(
-    _rounded_sql(
-        f"""WITH {ARMS_SQL}, p AS (SELECT review, 1 / sqrt(vi) AS x, yi / sqrt(vi) AS y FROM logor),
+def _simpson(f: str, upper: str, n: int = 2000) -> str:
+    """Simpson's rule over [0, upper] in DuckDB; ``f`` is an expression of u."""
+    u = f"({upper}) * i / {n}.0"
+    weight = f"CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(({upper}) / {3 * n}.0 * list_sum(list_transform(range(0, {n + 1}), lambda i: ({weight}) * ({f.replace('{u}', '(' + u + ')')}))))"
+
+
+#: Tails by integration, where the operators use series and finite sums.
+NORMAL_P_SQL = "1 - 2 / sqrt(2 * pi()) * " + _simpson("exp(-{u} * {u} / 2)", "least(abs(z), 9.0)")
+STUDENT_P_SQL = "1 - " + _simpson("pow(cos({u}), k - 3)", "atan(abs(t) / sqrt(k - 2))") + " / " + _simpson("pow(cos({u}), k - 3)", "pi() / 2")
+CHI2_P_SQL = "1 - 2 / (pow(2, df / 2.0) * gamma(df / 2.0)) * " + _simpson("pow({u}, df - 1) * exp(-{u} * {u} / 2)", "least(sqrt(q), sqrt(df) + 12)")
+
+EGGER_SQL = f"""WITH {ARMS_SQL}, p AS (SELECT review, 1 / sqrt(vi) AS x, yi / sqrt(vi) AS y FROM logor),
 l AS (SELECT review, count(*) AS k, regr_intercept(y, x) AS intercept, regr_slope(y, x) AS slope, regr_sxx(y, x) AS sxx, avg(x) AS mx FROM p GROUP BY 1 HAVING count(*) >= 3 AND regr_sxx(y, x) > 0),
-s AS (SELECT review, sum((y - intercept - slope * x) * (y - intercept - slope * x)) AS ss FROM p JOIN l USING (review) GROUP BY 1)
-SELECT review, k, intercept, slope, sqrt(ss / (k - 2) * (1 / k::DOUBLE + mx * mx / sxx)) AS se, intercept / sqrt(ss / (k - 2) * (1 / k::DOUBLE + mx * mx / sxx)) AS t FROM l JOIN s USING (review)""",
-        "review k intercept slope se t",
-        "intercept slope se t",
-        6,
-    )
-)
+s AS (SELECT review, sum((y - intercept - slope * x) * (y - intercept - slope * x)) AS ss FROM p JOIN l USING (review) GROUP BY 1),
+e AS (SELECT review, k, intercept, slope, sqrt(ss / (k - 2) * (1 / k::DOUBLE + mx * mx / sxx)) AS se, intercept / sqrt(ss / (k - 2) * (1 / k::DOUBLE + mx * mx / sxx)) AS t FROM l JOIN s USING (review))
+SELECT *, {STUDENT_P_SQL} AS p_value FROM e"""
+
+
+@query(_rounded_sql(EGGER_SQL, "review k intercept slope se t p_value", "intercept slope se t p_value", 6))
 def egger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(meta.egger(meta.effect_sizes(_arms(spark, sf_dir), "logOR"), ["review"]), 6)
+    return _rounded(meta.egger(meta.effect_sizes(_arms(spark, sf_dir), "logOR"), ["review"], p_values=True), 6)
 
 
-@query()
+@query(_rounded_sql(f"WITH {ARMS_SQL}, {POOL_SQL.format(m='md')} SELECT *, {NORMAL_P_SQL} AS p_value, {CHI2_P_SQL} AS q_p_value FROM pooled", f"{POOLED[0]} p_value q_p_value", f"{POOLED[1]} p_value q_p_value", places=6))
 def meta_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal tails come from a pandas UDF; neither engine has an error function."""
-    return meta.pooled(meta.effect_sizes(_arms(spark, sf_dir), "MD"), ["review"], p_values=True)
+    return _rounded(meta.pooled(meta.effect_sizes(_arms(spark, sf_dir), "MD"), ["review"], p_values=True), 6)
 
 
 # --- extraction --------------------------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Hand-computed values."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,3 +209,41 @@ def test_grounding(spark):
     texts = spark.createDataFrame([(1, "aspirin lowers fever [rec-1]"), (2, "quantum chromodynamics lattice [rec-1]"), (3, "x [rec-999]"), (4, "y [rec-2]")], "doc_id long, text string")
     found = {r.doc_id: r for r in grounding.reports(grounding.verify(grounding.cited(texts), corpus)).collect()}
     assert {k: r.hallucination_flagged for k, r in found.items()} == {1: False, 2: True, 3: True, 4: False}
+
+
+class TestTails:
+    """Tail probabilities against published tables and plain integration."""
+
+    def test_known_values(self, spark):
+        one = spark.range(1).select(
+            S.normal_two_sided(F.lit(1.959963984540054)).alias("z"),
+            S.normal_two_sided(F.lit(-5.0)).alias("far"),
+            S.student_two_sided(F.lit(math.tan(0.475 * math.pi)), F.lit(1)).alias("t1"),
+            S.student_two_sided(F.lit(-2.2281388519649385), F.lit(10)).alias("t10"),
+            S.student_two_sided(F.lit(2.0), F.lit(0)).alias("t0"),
+            S.chi2_tail(F.lit(3.841458820694124), F.lit(1)).alias("c1"),
+            S.chi2_tail(F.lit(18.307038053275146), F.lit(10)).alias("c10"),
+            S.chi2_tail(F.lit(0.0), F.lit(3)).alias("c3"),
+            S.normal_two_sided(F.lit(None)).alias("none"),
+        )
+        r = one.first()
+        for name in ("z", "t1", "t10", "c1", "c10"):
+            assert r[name] == pytest.approx(0.05, abs=1e-12), name
+        assert r.far == pytest.approx(math.erfc(5 / math.sqrt(2)), rel=1e-11)
+        assert (r.t0, r.c3, r.none) == (None, 1.0, None)
+
+
+class TestSimilarity:
+    def test_any_number_of_queries_equals_brute_force(self, spark):
+        draw = random.Random(2)
+        vectors = [(i, [float(draw.randint(-2, 2)) for _ in range(3 if i % 7 else 4)]) for i in range(300)] + [(300, None), (301, [1.0, None, 2.0])]
+        df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+        unit = lambda v: [x / (math.sqrt(sum(y * y for y in v)) or 1) for x in v]
+        good = [(i, unit(v)) for i, v in vectors if v and None not in v]
+        expected = []
+        for q, a in good:
+            near = sorted((-round(sum(x * y for x, y in zip(a, b)), 12) + 0.0, i) for i, b in good if len(a) == len(b))[:4]
+            expected += [(q, n, i) for n, (_, i) in enumerate(near, 1)]
+        for chunk in (2048, 40):
+            found = grounding.most_similar(df, df.repartition(3), 4, query_chunk=chunk).collect()
+            assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == sorted(expected)
