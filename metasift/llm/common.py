@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,6 +33,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy() -> None:
+    """Gives what Arrow holds for later back to the system: a Python worker goes on to other tasks and operators."""
+    pa.default_memory_pool().release_unused()
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder, under the application's own, so that all an application wrote can be removed at once."""
     return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasift.llm.common import fresh_path
+from metasift.llm.common import fresh_path, tidy
 
 Q = 10
 EDIT_RATE = 0.08
@@ -474,6 +474,7 @@ def _searched(docs: DataFrame, text_col: str, sent: Broadcast, q: int) -> DataFr
         for part in (batch.slice(at, BATCH_ROWS) for batch in stream for at in range(0, batch.num_rows, BATCH_ROWS)):
             leaks = search(sent.value, part.column(place).to_pylist(), q) if len(sent.value.hashes) else [[]] * part.num_rows
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(leaks, found_type)], part.schema.names)
+            tidy()
 
     return result.mapInArrow(matched, result.schema)
 

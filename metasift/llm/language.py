@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metasift.llm.common import tidy
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Documents of each language that the model is fitted on, about: a sample by hashed id.
@@ -132,6 +134,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 names.append(known.languages[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept.names, "lang_pred", "score"])
+            tidy()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return rows.mapInArrow(judge, f"{fields}, lang_pred string, score double")

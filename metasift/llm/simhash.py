@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasift.llm.common import settle
+from metasift.llm.common import settle, tidy
 from metasift.llm.graph import connected_components
 
 #: Fixed by the query's contract.
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", tex
         for batch in stream:
             fps = np.array([fingerprint(t.as_py() or "", width) for t in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc", "key", "fp"])
+            tidy()
 
     key = F.col(key_col) if key_col else F.lit(None)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), key.cast("long").alias("key"), F.col(text_col).alias("text"))

@@ -27,9 +27,9 @@ HEADER = struct.Struct("<4sBxxxIQ")  # magic, bits an id, ids a block, ids
 BLOCK_IDS = 4096
 PIECE_IDS = 1 << 20
 #: Bytes of text encoded at a time.
-ENCODED_BYTES = 1 << 23
+ENCODED_BYTES = 1 << 21
 #: Distinct words whose ids a Python worker keeps, about.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 19
 #: Words given to the tokenizer as one string.
 JOINED_WORDS = 1000
 PIECES = "shard int, piece int, first_doc long, n_ids long, doc_ids array<long>, doc_tokens array<long>, payload binary"
@@ -137,7 +137,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         """Words known, their ids one after another, and where each word's ids begin (one entry more than words)."""
-        self.known, self.pool, self.begins = pa.array([], pa.string()), np.empty(0, "<u4"), np.zeros(1, np.int64)
+        self.known, self.pool, self.begins = pa.array([], pa.string()), np.empty(0, "<u4"), np.zeros(1, np.int32)
 
     def _latin(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of Latin ``words`` one after another, and their numbers."""
@@ -148,7 +148,9 @@ class WordEncoder:
             raise ValueError("the tokenizer doesn't end each word with a token of its own")
         return ids, np.diff(ends, prepend=0)
 
-    def _learn(self, words: pa.Array) -> None:
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Adds ``words``; the place of each among the known ones."""
+        before = len(self.known)
         is_latin = pc.match_substring_regex(words, f"^[{LATIN}]+$")
         latin, others = words.filter(is_latin), words.filter(pc.invert(is_latin))
         ids, counts = self._latin(latin)
@@ -156,7 +158,9 @@ class WordEncoder:
         counts = np.concatenate((counts, np.array([len(e.ids) for e in encoded], np.int64)))
         self.known = pa.concat_arrays([self.known, latin, others])
         self.pool = np.concatenate((self.pool, ids, _ids_of(encoded)))
-        self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum(counts)))
+        self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum(counts, dtype=np.int32)))
+        first = is_latin.to_numpy(zero_copy_only=False)
+        return (before + np.where(first, np.cumsum(first) - 1, len(latin) + np.cumsum(~first) - 1)).astype(np.int32)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
@@ -166,18 +170,19 @@ class WordEncoder:
         words = pc.split_pattern(pc.replace_substring_regex(texts, WORD_END, r"\1 \2"), " ")
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary
-        missing = distinct.filter(pc.is_null(pc.index_in(distinct, value_set=self.known)))
-        if len(self.known) + len(missing) > CACHED_WORDS:
+        place = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False).copy()
+        if len(self.known) + int((place < 0).sum()) > CACHED_WORDS:
             self._forget()
-            missing = distinct
-        self._learn(missing)
-        place = pc.index_in(distinct, value_set=self.known).to_numpy(zero_copy_only=False).astype(np.int64)
+            place[:] = -1
+        missing = np.flatnonzero(place < 0)
+        place[missing] = self._learn(distinct.take(pa.array(missing)))
         word = place[coded.indices.to_numpy()]
+        del coded, distinct, texts
         pa.default_memory_pool().release_unused()
         lengths = np.diff(self.begins)[word]
-        total = np.concatenate(([0], np.cumsum(lengths)))
-        from_pool = np.repeat(self.begins[word] - total[:-1], lengths)
-        from_pool += np.arange(total[-1])
+        total = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        from_pool = np.repeat(self.begins[word] - total[:-1].astype(np.int32), lengths)
+        from_pool += np.arange(total[-1], dtype=np.int32)
         offsets = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
         return self.pool[from_pool], np.diff(total[offsets])
 
