@@ -38,6 +38,8 @@ SHORT = 60
 BLOCK_CHARS = 4_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
 FILTER_BITS = 22
+#: Characters hashed at a time.
+HASHED = 1 << 16
 #: Characters of texts searched at a time.
 BATCH_CHARS = 1 << 19
 BATCH_ROWS = 512
@@ -67,15 +69,32 @@ def reduce_text(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((np.zeros(1, np.uint32), codes[kept], np.zeros(len(tail), np.uint32))), np.concatenate(([0], kept, tail)).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, modulo 2 ** 64."""
+    inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
+    rising, falling = (np.full(HASHED, base, np.uint64) for base in (MULTIPLIER, inverse))
+    rising[0] = falling[0] = 1
+    return np.cumprod(rising), np.cumprod(falling)
+
+
 def grams(codes: np.ndarray, q: int) -> np.ndarray:
-    """A hash of each q-gram."""
+    """A hash of each q-gram: a polynomial of its characters, as a difference of prefix sums shifted back to its start."""
     n = len(codes) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    wide, out = codes.astype(np.uint64), np.zeros(n, np.uint64)
-    for k in range(q):
-        out = (out + wide[k : k + n] + np.uint64(1)) * MULTIPLIER
-    return out ^ (out >> np.uint64(29))
+    rising, falling = _powers()
+    out, step = np.empty(n, np.uint64), HASHED - q
+    for at in range(0, n, step):
+        piece = codes[at : at + step + q - 1].astype(np.uint64)
+        piece += np.uint64(1)
+        piece *= rising[: len(piece)]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(piece)))
+        own = sums[q:] - sums[:-q]
+        own *= falling[: len(own)]
+        own *= MULTIPLIER
+        out[at : at + len(own)] = own ^ (own >> np.uint64(29))
+    return out
 
 
 def budget(chars: int, rate: float, q: int) -> int:
