@@ -7,19 +7,31 @@ rows before it is then its own range's part, by a window, and a summary of the e
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the folder of spark.checkpoint.dir; where that is unset and Spark runs in this process alone, a temporary one."""
-    sc = df.sparkSession.sparkContext
+def _checkpoints(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset and Spark runs in this process alone, a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can read and write")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="metasift-"))
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The path of a new folder that every executor sees; all of an application's lie in its own."""
+    return f"{_checkpoints(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder, where a lost executor can't take it along."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
