@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from metasift.functions import stats as S
 from metasift.functions import text as T
-from metasift.operators import grounding, ledger, screening
+from metasift.operators import grounding, ledger, screening, searchlog
 from metasift.operators.ordered import positions
 
 RELATION = "family string, name string, ok boolean, detail string"
+#: Fixed: the mark of a run that the pipeline itself made; a run put together afterwards has none.
+PROVENANCE = "pipeline"
 CHECK = "check_id string, status string, detail string"
 
 
@@ -217,6 +219,8 @@ def checks(run: Run) -> DataFrame:
     if needs("manifest", "calls"):
         one = run["calls"].agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("provider") == "fake").alias("fakes"))
         out.append(check(one, "manifest", F.when((F.col("n") == 0) | (F.col("fakes") > 0), "WARN").otherwise("PASS")))
+    if needs("provenance", "manifest"):
+        out.append(check(run["manifest"], "provenance", F.when(F.col("provenance") == PROVENANCE, "PASS").otherwise("FAIL"), F.coalesce("provenance", F.lit("absent"))))
     if needs("schemas", "lines"):
         out.append(none_left(run["lines"].where("status = 'bad'"), "schemas"))
     if needs("protocol_snapshot", "declared_hashes", "actual_hashes"):
@@ -237,7 +241,15 @@ def checks(run: Run) -> DataFrame:
     if needs("hitl", "log", "screened"):
         mine = ledger.labels_from_log(run["log"]).where("stage = 'screening_ta'").select(F.col("target").alias("record_id"), F.col("label").alias("logged"))
         both = run["screened"].select(F.col("record_id").cast("string").alias("record_id"), "human_label").join(mine, "record_id", "full_outer")
-        out.append(none_left(both.where(~F.col("human_label").eqNullSafe(F.col("logged"))), "hitl"))
+        differ = both.where(~F.col("human_label").eqNullSafe(F.col("logged"))).select(F.lit("label").alias("fault"))
+        faults = ledger.gate_faults(run["log"], run.stages_reached, run["requests"] if run.has("requests") else None).select("fault").unionAll(differ)
+        if run.has("counts"):
+            backed = run["counts"].select("excluded_ta_human").crossJoin(F.broadcast(ledger.human_exclusions(run["log"])))
+            faults = faults.unionAll(backed.where("excluded_ta_human > backed").select(F.lit("human exclusions without labels").alias("fault")))
+        # without the requests nobody can tell that the gates were passed
+        n = F.col("n")
+        one = faults.agg(F.count(F.lit(1)).alias("n"))
+        out.append(check(one, "hitl", F.when(n > 0, "FAIL").otherwise("PASS" if run.has("requests") else "WARN"), F.concat(n.cast("string"), F.lit(" found"))))
     if needs("request_hash", "log", "requests"):
         asked = run["requests"].select("stage", F.col("sha256").alias("asked"))
         decided = ledger.effective(run["log"]).where("action <> 'auto-proceed'")
@@ -272,9 +284,11 @@ def checks(run: Run) -> DataFrame:
     if needs("grounding", "citation_checks"):
         out.append(none_left(run["citation_checks"].where(grounding.flagged(F.col("exists_in_corpus"), F.col("grounded"))), "grounding"))
     if needs("search_log", "search_log", "records"):
-        logged = run["search_log"].agg(F.coalesce(F.sum("n_returned"), F.lit(0)).alias("logged"), F.count_if((F.col("status") == "failed") & (F.col("n_returned") > 0)).alias("odd"))
-        one = logged.crossJoin(F.broadcast(rows_of(run["records"])))
-        out.append(check(one, "search_log", F.when((F.col("logged") == F.col("n")) & (F.col("odd") == 0), "PASS").otherwise("FAIL")))
+        given = {name: run[table] for name, table in (("failures", "failures"), ("strings", "search_strings"), ("declared", "databases")) if run.has(table)}
+        single = searchlog.entry_faults(run["search_log"], given.get("failures"), given.get("strings"))
+        found = single.unionByName(searchlog.log_faults(run["search_log"], run["records"], given.get("failures"), given.get("declared")))
+        one = found.agg(F.count_if(F.col("level") == "FAIL").alias("fails"), F.count_if(F.col("level") == "WARN").alias("warns"))
+        out.append(check(one, "search_log", F.when(F.col("fails") > 0, "FAIL").when(F.col("warns") > 0, "WARN").otherwise("PASS"), F.concat(F.col("fails").cast("string"), F.lit(" faults, "), F.col("warns").cast("string"), F.lit(" warnings"))))
     if needs("search_window", "search_log", "window"):
         engine = run["search_log"].agg(F.min("started_utc").alias("started"))
         one = engine.crossJoin(F.broadcast(run["window"]))

@@ -14,6 +14,9 @@ from metasift.operators.ordered import greatest_before
 #: Fixed orders and names.
 STAGES = ("screening_ta", "screening_ft", "extraction", "rob", "report")
 GATE_ACTIONS = ("approve", "reject", "auto-proceed")
+#: Fixed: stages whose decision a person must take, and the actor of a demonstration run.
+JUDGMENT_STAGES = STAGES[:4]
+AUTO_APPROVER = "auto-approve (demo)"
 ENTRY_KEY = ("stage", "action", "target", "request_sha256", "decision_sha256")
 
 
@@ -58,6 +61,27 @@ def missing_entries(log: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.dropDuplicates(list(ENTRY_KEY)).join(have, same, "left_anti")
 
 
+def gate_faults(log: DataFrame, reached: tuple[str, ...], requests: DataFrame | None = None) -> DataFrame:
+    """Judgment stages that no person decided: stage, fault. ``missing``: reached, or followed by a decided stage, without a decision;
+    ``not human``; ``no request``: decided by a person without its row in ``requests`` (stage). ``automatic``: any stage decided by
+    the demonstration's actor at any time."""
+    decided = effective(log).select("stage", F.coalesce(T.is_human(F.col("actor")), F.lit(False)).alias("human"))
+    last = decided.agg(F.max(F.when(F.col("stage").isin(*STAGES), stage_index(F.col("stage")))).alias("last"))
+    stages = log.sparkSession.createDataFrame([(s, place, s in reached) for place, s in enumerate(JUDGMENT_STAGES, 1)], "stage string, place int, reached boolean")
+    asked = stages.select("stage", F.lit(True).alias("asked")) if requests is None else requests.select("stage", F.lit(True).alias("asked")).distinct()
+    judged = stages.join(decided, "stage", "left").join(asked, "stage", "left").crossJoin(F.broadcast(last))
+    missing = F.col("human").isNull() & (F.col("reached") | F.coalesce(F.col("last") > F.col("place"), F.lit(False)))
+    fault = F.when(missing, "missing").when(~F.col("human"), "not human").when(F.col("human") & F.col("asked").isNull(), "no request")
+    automatic = log.where(F.col("action").isin(*GATE_ACTIONS) & (F.col("actor") == AUTO_APPROVER)).select("stage", F.lit("automatic").alias("fault")).distinct()
+    return judged.select("stage", fault.alias("fault")).where("fault IS NOT NULL").unionByName(automatic)
+
+
+def human_exclusions(log: DataFrame) -> DataFrame:
+    """One row: targets that people's labels under the effective decisions of the two screening stages exclude, each once a stage."""
+    mine = belongs_to_effective(log).where((F.col("action") == "label") & F.col("stage").isin(*STAGES[:2]) & (F.col("to_label") == "exclude") & T.is_human(F.col("actor")) & (F.length("target") > 0))
+    return mine.agg(F.countDistinct("stage", "target").alias("backed"))
+
+
 def late_marks(log: DataFrame, by: list[str], tolerance: str = "INTERVAL 2 SECONDS") -> DataFrame:
     """Rows whose time lies more than the tolerance before the latest time of any earlier row. ``by`` parts the log."""
     return greatest_before(log, by, "seq", F.col("ts"), "latest_before").where(F.expr(f"latest_before - ts > {tolerance}"))

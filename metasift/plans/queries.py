@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from metasift.functions import stats as S
 from metasift.functions import text as T
 from metasift.functions import vectors as V
-from metasift.operators import agreement, audit, dedup, exports, flow, grounding, history, ledger, meta, providers, retrieval, screening
+from metasift.operators import agreement, audit, dedup, exports, flow, grounding, history, ledger, meta, providers, retrieval, screening, searchlog
 from metasift.sources import records as R
 from metasift.streaming import journal
 
@@ -839,6 +839,62 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.relations(_run(spark, sf_dir)).select("family", "name", "ok")
 
 
+@query(
+    f"""WITH {LOG_SQL}, places AS (SELECT * FROM (VALUES ('screening_ta', 1), ('screening_ft', 2), ('extraction', 3), ('rob', 4), ('report', 5)) p(stage, place)), acted AS (SELECT *, CASE WHEN user_id_of % 9 = 4 THEN 'auto-approve (demo)' WHEN user_id_of % 9 = 5 THEN 'human: ' ELSE actor END AS who FROM (SELECT *, CAST(substr(actor, 8) AS INT) AS user_id_of FROM log WHERE stage <> 'extraction')),
+last AS (SELECT stage, arg_max(who, seq) AS who FROM acted WHERE action IN ('approve', 'reject', 'auto-proceed') GROUP BY 1)
+SELECT stage, CASE WHEN who IS NULL THEN 'missing' WHEN who LIKE 'human:u%' THEN 'no request' ELSE 'not human' END AS fault FROM places LEFT JOIN last USING (stage) WHERE place < 5 AND CASE WHEN who IS NULL THEN stage = 'screening_ta' OR place < (SELECT max(place) FROM last JOIN places USING (stage)) ELSE stage = 'screening_ft' OR who NOT LIKE 'human:u%' END
+UNION ALL SELECT DISTINCT stage, 'automatic' FROM acted WHERE who LIKE 'auto%' AND action IN ('approve', 'reject', 'auto-proceed')"""
+)
+def gate_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nobody decides on extractions, a third of the actors are no people, and full texts were never asked for."""
+    number = F.substring("actor", 8, 2).cast("int") % 9
+    log = _log(spark, sf_dir).where("stage <> 'extraction'").withColumn("actor", F.when(number == 4, ledger.AUTO_APPROVER).when(number == 5, "human: ").otherwise(F.col("actor")))
+    requests = log.where("stage <> 'screening_ft'").select("stage").distinct()
+    return ledger.gate_faults(log, ("screening_ta",), requests)
+
+
+@query(
+    """WITH e AS (SELECT s_suppkey AS k, 'Base ' || k AS database, CASE WHEN k % 5 = 4 THEN 'manual_import' WHEN k % 5 = 3 THEN 'injected' ELSE 'database' END AS kind, CASE k % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'manual_only' WHEN 2 THEN 'unknown' ELSE 'ok' END AS status,
+  CASE WHEN k % 13 = 0 THEN -1 ELSE k % 4 END AS n, k % 7 = 0 AS no_query, CASE WHEN k % 8 = 0 THEN NULL WHEN k % 8 < 4 THEN 'file' WHEN k % 8 = 4 THEN 'question_fallback' ELSE 'inline' END AS origin, k % 8 IN (1, 2, 5) AS has_file FROM supplier),
+one AS (SELECT sum(n) FILTER (status = 'ok') AS returned, sum(n) FILTER (status = 'ok' AND kind = 'manual_import') AS imported FROM e)
+SELECT database, 'FAIL' AS level, 'negative count' AS fault FROM e WHERE n < 0
+UNION ALL SELECT database, 'FAIL', 'key of another database' FROM e WHERE kind = 'database' AND k % 11 = 0
+UNION ALL SELECT database, 'FAIL', 'unknown status' FROM e WHERE k % 6 = 2
+UNION ALL SELECT database, 'WARN', 'failed' FROM e WHERE k % 6 = 0
+UNION ALL SELECT database, 'FAIL', 'failed without an error or with records' FROM e WHERE k % 6 = 0 AND (k % 12 = 0 OR n <> 0 OR k % 18 = 0)
+UNION ALL SELECT database, 'FAIL', 'failure not recorded' FROM e WHERE k % 6 = 0 AND k % 30 = 0
+UNION ALL SELECT database, 'WARN', 'manual search without imports' FROM e, one WHERE k % 6 = 1 AND coalesce(imported, 0) = 0
+UNION ALL SELECT database, 'WARN', 'manual search without its query' FROM e WHERE k % 6 = 1 AND no_query
+UNION ALL SELECT database, 'WARN', 'the question served as query' FROM e WHERE k % 8 = 4
+UNION ALL SELECT database, 'WARN', 'as many results as asked for' FROM e WHERE status = 'ok' AND n = 3
+UNION ALL SELECT database, 'FAIL', 'no query or origin' FROM e WHERE status = 'ok' AND ((kind = 'database' AND (no_query OR k % 8 = 0)) OR (kind = 'injected' AND no_query))
+UNION ALL SELECT database, 'FAIL', 'hash of another query' FROM e WHERE NOT no_query AND k % 9 = 0
+UNION ALL SELECT database, 'FAIL', 'origin and file disagree' FROM e WHERE k % 8 IN (3, 5)
+UNION ALL SELECT database, 'FAIL', 'file holds another query' FROM e WHERE k % 8 IN (1, 2) AND (k % 16 = 1 OR no_query)
+UNION ALL SELECT database, 'FAIL', 'import without a hash' FROM e WHERE kind = 'manual_import' AND status = 'ok' AND k % 10 = 4
+UNION ALL SELECT NULL, 'WARN', 'injected search' WHERE EXISTS (SELECT 1 FROM e WHERE kind = 'injected')
+UNION ALL SELECT NULL, 'FAIL', 'counts and records disagree' FROM one WHERE coalesce(returned, 0) <> (SELECT count(*) FROM documents)
+UNION ALL SELECT NULL, 'FAIL', 'sources of log and records disagree' WHERE EXISTS (SELECT 1 FROM documents WHERE source IS NULL OR source NOT IN ('src0', 'src1')) OR NOT EXISTS (SELECT 1 FROM documents WHERE source = 'src0') OR NOT EXISTS (SELECT 1 FROM documents WHERE source = 'src1')
+UNION ALL VALUES ('Ghost', 'FAIL', 'failure without an entry'), ('Not There', 'FAIL', 'declared but not searched')"""
+)
+def search_log_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    tag = lambda prefix: F.concat(F.lit(prefix), k.cast("string"))
+    suppliers = read(spark, sf_dir, "supplier")
+    status = F.get(F.array(*[F.lit(s) for s in ("failed", "manual_only", "unknown", "ok", "ok", "ok")]), (k % 6).cast("int"))
+    log = suppliers.select(
+        tag("Base ").alias("database"), F.when(k % 11 == 0, "other").otherwise(tag("base")).alias("db_key"), F.when(k % 5 == 4, "manual_import").when(k % 5 == 3, "injected").otherwise("database").alias("kind"), status.alias("status"),
+        F.when(k % 13 == 0, -1).otherwise(k % 4).alias("n_returned"), F.lit(3).alias("max_results"), F.when(k % 12 != 0, "e").alias("error"), F.when((k % 6 != 0) | (k % 18 == 0), F.array(F.concat(F.lit("src"), (k % 2).cast("string")))).alias("source_db"),
+        F.when(k % 7 != 0, tag("q")).alias("query"), F.when(k % 9 == 0, "bad").otherwise(F.sha2(tag("q"), 256)).alias("query_sha256"), F.when(k % 8 == 0, None).when(k % 8 < 4, "file").when(k % 8 == 4, "question_fallback").otherwise("inline").alias("query_origin"),
+        F.when((k % 8).isin(1, 2, 5), tag("f")).alias("query_file"), F.when(k % 10 != 4, "h").alias("file_sha256"),
+    )
+    failures = log.where("status = 'failed'").select("database").join(suppliers.where("s_suppkey % 30 = 0").select(tag("Base ").alias("database")), "database", "left_anti").unionAll(spark.sql("SELECT 'Ghost'"))
+    strings = suppliers.select(tag("f").alias("query_file"), F.when(k % 16 == 1, "x").otherwise(F.concat(F.lit(" "), tag("q"), F.lit("\n"))).alias("text"))
+    declared = spark.sql("SELECT 'Base 1' AS database UNION ALL SELECT 'Not There'")
+    records = read(spark, sf_dir, "documents").select(F.col("source").alias("source_db"))
+    return searchlog.entry_faults(log, failures, strings).unionByName(searchlog.log_faults(log, records, failures, declared))
+
+
 @query()
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.checks(_run(spark, sf_dir))

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from metasift.operators import audit, exports, flow, screening
+from metasift.operators import audit, exports, flow, ledger, screening
 from metasift.plans import queries
 from metasift.sources import records as R
 from metasift.streaming import journal
@@ -168,6 +168,20 @@ class TestAudit:
         assert audit.report(audit.local(spark.createDataFrame([("a", "PASS", "")], audit.CHECK))).first().publishable
 
 
+    def test_gates_provenance_and_search_log(self, spark, tables):
+        log = spark.createDataFrame([(n, s, "approve", "human:ana", None, "r", "d", None, None) for n, s in enumerate(ledger.STAGES)], "seq long, stage string, action string, actor string, target string, request_sha256 string, decision_sha256 string, to_label string, reason string")
+        label = spark.createDataFrame([(9, "screening_ta", "label", "human:ana", "3", "r", "d", "include", None)], log.schema)
+        requests = spark.createDataFrame([(s, "r") for s in ledger.STAGES], "stage string, sha256 string")
+        search = spark.sql("SELECT 'Open Alex' AS database, 'openalex' AS db_key, 'database' AS kind, 'ok' AS status, 12 AS n_returned, array('s1', 's2') AS source_db, 'q' AS query, sha2('q', 256) AS query_sha256, 'inline' AS query_origin")
+        run = {**tables, "log": log.unionAll(label), "requests": requests, "search_log": search, "databases": spark.sql("SELECT 'Open Alex' AS database"), "manifest": spark.sql("SELECT 'pipeline' AS provenance")}
+        status = lambda **changes: {r.check_id: r.status for r in audit.checks(audit.Run(spark, run | changes)).collect()}
+        sound = status()
+        assert (sound["hitl"], sound["provenance"], sound["search_log"]) == ("PASS", "PASS", "PASS")
+        machine = log.withColumn("actor", F.when(F.col("stage") == "rob", ledger.AUTO_APPROVER).otherwise(F.col("actor")))
+        bad = status(log=machine.unionAll(label), search_log=search.withColumn("query", F.lit("other")), manifest=spark.sql("SELECT CAST(NULL AS string) AS provenance"))
+        assert (bad["hitl"], bad["provenance"], bad["search_log"]) == ("FAIL", "FAIL", "FAIL")
+
+
 def test_exports(spark):
     records = spark.createDataFrame([("10.1/a", "A {title}", ["X", "Y"], 2020, "10.1/a", None), ("b", "B", [], None, None, "u")], "record_id string, title string, authors array<string>, year int, doi string, url string")
     entries = {r.record_id: r.entry for r in exports.bibtex(records).collect()}
