@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasift.llm import chat, decontaminate, language, licenses, mixing, neighbours, secrets, simhash, token_files, toxicity
+from metasift.llm import chat, decontaminate, fingerprints, interaction, language, licenses, mixing, negatives, neighbours, secrets, simhash, token_files, toxicity
 from metasift.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,9 +80,21 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return language.predict(docs, model, keep=keep)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, negatives.contract_label())
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_secrets": op1_secrets, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op6_decontamination": op6_decontamination, "op4_licenses": op4_licenses, "op7_chat": op7_chat, "op5_token_files": op5_token_files, "op8_neighbours": op8_neighbours, "op9_simhash": op9_simhash, "op10_language": op10_language}
+    return {"op1_secrets": op1_secrets, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op6_decontamination": op6_decontamination, "op4_licenses": op4_licenses, "op7_chat": op7_chat, "op5_token_files": op5_token_files, "op8_neighbours": op8_neighbours, "op9_simhash": op9_simhash, "op10_language": op10_language, "op11_fingerprints": op11_fingerprints, "op12_hard_negatives": op12_hard_negatives, "op13_filter_audit": op13_filter_audit}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.digest_sql(), "op7_chat": chat.DIGEST_SQL, "op8_neighbours": neighbours.NEAREST_SQL}
+    return {"op4_licenses": licenses.digest_sql(), "op7_chat": chat.DIGEST_SQL, "op8_neighbours": neighbours.NEAREST_SQL, "op12_hard_negatives": negatives.NEGATIVES_SQL, "op13_filter_audit": interaction.AUDIT_SQL}
