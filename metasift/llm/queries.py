@@ -32,6 +32,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), F.array("source")).drop("sources")
 
 
+def mixing_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document belongs to its source and to its language."""
+    sources = F.array("source", F.concat(F.lit("lang:"), "lang"))
+    return mixing.totals(table(spark, sf_dir, "documents"), sources).withColumn("target", F.round("target", 3))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -93,8 +99,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_secrets": op1_secrets, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op6_decontamination": op6_decontamination, "op4_licenses": op4_licenses, "op7_chat": op7_chat, "op5_token_files": op5_token_files, "op8_neighbours": op8_neighbours, "op9_simhash": op9_simhash, "op10_language": op10_language, "op11_fingerprints": op11_fingerprints, "op12_hard_negatives": op12_hard_negatives, "op13_filter_audit": op13_filter_audit}
+    return {"op1_secrets": op1_secrets, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op6_decontamination": op6_decontamination, "op4_licenses": op4_licenses, "op7_chat": op7_chat, "op5_token_files": op5_token_files, "op8_neighbours": op8_neighbours, "op9_simhash": op9_simhash, "op10_language": op10_language, "op11_fingerprints": op11_fingerprints, "op12_hard_negatives": op12_hard_negatives, "op13_filter_audit": op13_filter_audit, "mixing_overlap": mixing_overlap}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.digest_sql(), "op7_chat": chat.DIGEST_SQL, "op8_neighbours": neighbours.NEAREST_SQL, "op12_hard_negatives": negatives.NEGATIVES_SQL, "op13_filter_audit": interaction.AUDIT_SQL}
+    return {"op4_licenses": licenses.digest_sql(), "op7_chat": chat.DIGEST_SQL, "op8_neighbours": neighbours.NEAREST_SQL, "op12_hard_negatives": negatives.NEGATIVES_SQL, "op13_filter_audit": interaction.AUDIT_SQL, "mixing_overlap": mixing.TOTALS_SQL}
