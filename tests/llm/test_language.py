@@ -33,12 +33,38 @@ def plain_buckets(text):
             yield (mixed * 0x9E3779B97F4A7C15 % whole) >> (64 - 15)
 
 
-def test_many_languages_and_dense_pieces(spark):
-    rows = [(i, f"word{i} " * 3, f"l{i:04}") for i in range(1100)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+def test_blocks_of_languages(spark):
+    """Two thousand labels, in one matrix and in blocks of them: the same predictions and scores, and the buckets stay as they are."""
+    draw = random.Random(6)
+    stock = ["".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(2, 7))) for _ in range(3000)]
+    rows = [(i, " ".join(draw.sample(stock, 5)) + f" w{i % 2000}", f"l{i % 2000:04}") for i in range(4000)]
+    docs = spark.createDataFrame([*rows, (9001, None, "l0001"), (9002, "12", None)], "doc_id long, text string, lang string")
     model = language.fit(docs, F.col("lang"))
-    assert model.log_probability.shape == (8192, 1100)
-    assert language.predict(docs.limit(5), model).count() == 5
+    assert len(model.languages) == 2000
+    asked = docs.where("doc_id % 40 < 2")
+    answers = []
+    for size in (2000, 256, 999):
+        split = language.Model(model.languages, model.documents, model.counts, size)
+        assert {b.log_probability.shape[0] for b in split.blocks()} == {language.BUCKETS}
+        answers.append({r.doc_id: r for r in language.predict(asked, split, keep=("lang",)).collect()})
+    one, *others = answers
+    assert len(one) == asked.count()
+    for other in others:
+        assert {i: r.lang_pred for i, r in one.items()} == {i: r.lang_pred for i, r in other.items()}
+        assert all(other[i].score == pytest.approx(r.score) and other[i].lang == r.lang for i, r in one.items())
+
+
+def test_ties_go_to_the_first_language(spark):
+    """Languages with the same texts tie; in one matrix or in blocks, the first in code point order is told."""
+    docs = spark.createDataFrame([(i, "karo mizu tanek", name) for i, name in enumerate(["z", "b", "B", "é", "c"])], "doc_id long, text string, lang string")
+    model = language.fit(docs, F.col("lang"))
+    for size in (5, 2, 1):
+        split = language.Model(model.languages, model.documents, model.counts, size)
+        rows = language.predict(docs, split).collect()
+        assert {r.lang_pred for r in rows} == {"B"} and all(r.score == pytest.approx(0.2) for r in rows)
+
+
+def test_dense_pieces():
     part, matrix = np.random.default_rng(0).integers(0, 64, 1000), np.random.default_rng(1).normal(size=(64, 3)).astype(np.float32)
     assert language.summed(part, matrix) == pytest.approx(matrix[part].sum(axis=0, dtype=np.float64))
 
@@ -85,7 +111,8 @@ def test_nothing_learned(documents):
 def test_sample_is_bounded_and_stable(labelled):
     _, docs = labelled
     a, b = (language.fit(docs, F.col("lang"), per_language=20) for _ in range(2))
-    assert (a.log_probability == b.log_probability).all() and a.languages == sorted(STOCK)
+    (one,), (other,) = a.blocks(), b.blocks()
+    assert (one.log_probability == other.log_probability).all() and a.languages == sorted(STOCK)
 
 
 def test_long_text_is_read_in_pieces(monkeypatch):
