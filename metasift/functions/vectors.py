@@ -26,7 +26,8 @@ def with_vector(df: DataFrame, text_col: str, name: str) -> DataFrame:
     norm = F.sqrt(F.aggregate("counts_", F.lit(0).cast("long"), lambda s, n: s + n.cast("long") * n))
     out = df.withColumn("sorted_", F.sort_array(F.coalesce(F.transform(tokens(F.col(text_col)), bucket), F.array().cast("array<int>"))))
     out = out.withColumn("starts_", F.when(F.size("sorted_") > 0, starts).otherwise(F.array().cast("array<int>"))).withColumn("counts_", runs()).withColumn("norm_", norm)
-    weights = F.transform("counts_", lambda n: n / F.col("norm_"))
+    # the length stands in an array: as a column of its own it would be put into the lambda and summed up for every bucket
+    weights = F.zip_with("counts_", F.array_repeat("norm_", F.size("counts_")), lambda n, norm: n / norm)
     vector = F.struct(F.array_distinct("sorted_").alias("buckets"), weights.alias("weights"))
     return out.withColumn(name, vector).drop("sorted_", "starts_", "counts_", "norm_")
 
@@ -38,9 +39,14 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sparse_dot(a: Column, b: Column) -> Column:
-    """Similarity of two vectors of with_vector; 0 where one is missing or nothing is shared."""
-    weight = lambda v, k: F.get(v["weights"], (F.array_position(v["buckets"], k) - 1).cast("int"))
-    return F.coalesce(F.aggregate(F.array_intersect(a["buckets"], b["buckets"]), F.lit(0.0), lambda s, k: s + weight(a, k) * weight(b, k)), F.lit(0.0))
+    """Similarity of two vectors of with_vector; 0 where one is missing or nothing is shared.
+
+    The entries of both are sorted together: a bucket that both have stands twice in a row, since each has it once.
+    """
+    entries = lambda v: F.arrays_zip(v["buckets"].alias("bucket"), v["weights"].alias("weight"))
+    merged = F.sort_array(F.concat(entries(a), entries(b)))
+    products = F.zip_with(merged, F.slice(merged, 2, 2 * DIMENSION), lambda x, y: F.when(x["bucket"] == y["bucket"], x["weight"] * y["weight"]))
+    return F.coalesce(F.aggregate(products, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))), F.lit(0.0))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -15,6 +15,7 @@ from metasift.functions import stats as S
 from metasift.functions import text as T
 from metasift.functions import vectors as V
 from metasift.operators import agreement, audit, dedup, exports, flow, grounding, history, ledger, meta, providers, retrieval, screening, searchlog
+from metasift.operators.ordered import settled
 from metasift.sources import records as R
 from metasift.streaming import journal
 
@@ -372,7 +373,8 @@ SELECT doc_id, other_id, round(coalesce(similarity, 0), 9) AS similarity, coales
 )
 def hash_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    vectors = V.with_vector(docs, "text", "vector").select("doc_id", "vector")
+    # settled, so that each text is made a vector once though both sides of the join want it
+    vectors = settled(V.with_vector(docs, "text", "vector").select("doc_id", "vector"))
     pairs = vectors.join(vectors.select(F.col("doc_id").alias("other_id"), F.col("vector").alias("other")), F.col("other_id") == F.col("doc_id") + 1)
     scored = pairs.withColumn("similarity", V.sparse_dot(F.col("vector"), F.col("other")))
     return scored.select("doc_id", "other_id", F.round("similarity", 9).alias("similarity"), (F.col("similarity") >= grounding.THRESHOLD).alias("grounded"))
@@ -744,7 +746,7 @@ def stub_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
 o AS (SELECT *, archive IS NOT NULL OR (status = 'ok' AND length(page) > 0) AS available FROM a)
 SELECT doc_id AS record_id, available, CASE WHEN available THEN NULL WHEN failed OR status = 'error' THEN 'error_http' WHEN url IS NULL THEN 'sin_url_oa' WHEN status = 'no_client' THEN 'sin_httpx' ELSE 'texto_vacio' END AS reason,
   CASE WHEN archive IS NOT NULL THEN 'https://www.ncbi.nlm.nih.gov/pmc/articles/PMC' || doc_id || '/' WHEN available THEN url END AS source_url,
-  CAST(CASE WHEN available THEN least(length(coalesce(archive, page)), 20000) ELSE 0 END AS INT) AS n_chars, CASE WHEN available THEN sha256(left(coalesce(archive, page), 20000)) END AS text_sha256 FROM o"""
+  CAST(CASE WHEN available THEN length(coalesce(archive, page)) ELSE 0 END AS INT) AS n_chars, CASE WHEN available THEN sha256(coalesce(archive, page)) END AS text_sha256 FROM o"""
 )
 def retrieval_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
