@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from metasift.functions import stats as S
 from metasift.functions import text as T
 from metasift.functions import vectors as V
-from metasift.operators import agreement, audit, dedup, exports, flow, grounding, history, ledger, meta, providers, retrieval, screening, searchlog
+from metasift.operators import agreement, audit, dedup, exports, flow, grounding, history, ledger, meta, nested, providers, retrieval, screening, searchlog
 from metasift.operators.ordered import settled
 from metasift.sources import records as R
 from metasift.streaming import journal
@@ -929,3 +929,47 @@ def retired_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = read(spark, sf_dir, "part").select(model.alias("model")).distinct()
     table = spark.sql("SELECT * FROM VALUES ('m-2.0', DATE '2026-06-01'), ('m-2.5-pre', DATE '2025-12-02') AS t(name, shutdown)")
     return audit.retirements(models, table, F.lit("2026-07-01").cast("date"))
+
+
+# --- nested values -----------------------------------------------------------------------------------------------------
+
+
+def _summary(n: str, ratio: str, tags: str, extra: str = "", p: str = "") -> str:
+    """SQL of a document's nested summary as JSON text; both engines build it from strings alike."""
+    return f"""concat('{{"n":', {n}, ',"ratio":', {ratio}, ',"tags":[', {tags}, '],"deep":{{"list":[{{"k":1}},{{"k":', doc_id, '}}],"p_value":', {p or "doc_id"}, '}}'{extra}, '}}')"""
+
+
+#: Three planted differences, a number within the tolerance, a whole number for a float, and an ignored key that differs.
+DECLARED = _summary(
+    "CASE WHEN doc_id % 50 = 1 THEN n_chars + 1 ELSE n_chars END",
+    "CASE doc_id % 50 WHEN 4 THEN concat(n_chars, '.50000000001') WHEN 5 THEN concat(n_chars, '.6') WHEN 6 THEN concat(n_chars) ELSE concat(n_chars, '.5') END",
+    """CASE WHEN doc_id % 50 = 2 THEN '"x"' ELSE '"x","y"' END""",
+    """, CASE WHEN doc_id % 50 = 3 THEN ',"new key":{"a":null}' ELSE '' END""",
+    "doc_id + 7",
+)
+RECOMPUTED = _summary("n_chars", "concat(n_chars, '.5')", """'"x","y"'""")
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 50 WHEN 1 THEN '.n' WHEN 2 THEN '.tags' WHEN 3 THEN '["new key"]' ELSE '.ratio' END AS path, CASE doc_id % 50 WHEN 1 THEN 'value' WHEN 2 THEN 'length' WHEN 3 THEN 'extra' ELSE 'value' END AS problem,
+  CASE doc_id % 50 WHEN 1 THEN concat(n_chars) WHEN 2 THEN 'array' WHEN 3 THEN NULL ELSE concat(n_chars, '.5') END AS expected,
+  CASE doc_id % 50 WHEN 1 THEN concat(n_chars + 1) WHEN 2 THEN 'array' WHEN 3 THEN 'object' WHEN 5 THEN concat(n_chars, '.6') ELSE concat(n_chars) END AS actual
+FROM documents WHERE doc_id % 50 IN (1, 2, 3, 5) OR (doc_id % 50 = 6 AND n_chars < 500000000)"""
+)
+def nested_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    declared, recomputed = (docs.select("doc_id", F.parse_json(F.expr(sql)).alias("summary")) for sql in (DECLARED, RECOMPUTED))
+    return nested.differences(declared, recomputed, "doc_id", "summary", ignored=("p_value",))
+
+
+@query(
+    """SELECT doc_id, sha256(concat('{"z":[', doc_id, ',null,{"', coalesce(lang, ''), '":', n_chars, '.25,"é \U0001f600":"', coalesce(source, ''), '"}]}')) AS text_sha256,
+  sha256(concat('{"about":{"lang":"', lang, '","none":null},"counts":{"chars":', n_chars, ',"id":', doc_id, '},"halves":[', n_chars, '.5,null]}')) AS typed_sha256 FROM documents"""
+)
+def canonical_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    text = F.format_string('{ "z" : [%s, null,\n {"é \U0001f600":"%s", "%s": %s.250}]}', "doc_id", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), "n_chars")
+    typed = F.struct(F.array(F.col("n_chars") + F.lit(0.5), F.lit(None).cast("double")).alias("halves"), F.create_map(F.lit("id"), "doc_id", F.lit("chars"), "n_chars").alias("counts"), F.struct(F.lit(None).cast("string").alias("none"), "lang").alias("about"))
+    rows = docs.select("doc_id", text.alias("text"), typed.alias("typed"))
+    found = nested.canonical_json(nested.canonical_json(rows, "text", "a"), "typed", "b")
+    return found.select("doc_id", F.col("a.sha256").alias("text_sha256"), F.col("b.sha256").alias("typed_sha256"))
