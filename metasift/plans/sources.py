@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from metasift.operators.ordered import shared_folder
 from metasift.plans.queries import query, read
+from metasift.sources import articles
 from metasift.sources import records as R
 from metasift.streaming import journal
 
@@ -203,3 +204,21 @@ def journal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = lambda rows: rows.withColumn("output", F.upper("input"))
     journal.run_stream(spark, requests, f"{folder}/journal", f"{folder}/marks", answer).awaitTermination()
     return journal.read_journal(spark, f"{folder}/journal").select(*journal.KEY, "output")
+
+
+@query(
+    """SELECT CASE WHEN doc_id % 97 = 5 THEN 'malformed' ELSE 'article' END AS kind, count(*) AS n, CAST(sum(CASE WHEN doc_id % 97 <> 5 THEN doc_id END) AS BIGINT) AS ids, count(CASE WHEN doc_id % 97 <> 5 AND doc_id % 3 = 0 THEN 1 END) AS with_doi,
+  CAST(coalesce(sum(CASE WHEN doc_id % 97 <> 5 THEN length('On ' || coalesce(source, '') || ' & ' || doc_id) END), 0) AS BIGINT) AS title_chars FROM documents GROUP BY 1"""
+)
+def article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as XML articles in files, some of them not well formed, read back by their ends."""
+    n, tag = _ids()
+    escaped = F.replace(F.coalesce("source", F.lit("")), F.lit("&"), F.lit("&amp;"))
+    doi = F.when(n % 3 == 0, _joined('<PubmedData><ArticleIdList><ArticleId IdType="doi">10.1/M', tag, "</ArticleId></ArticleIdList></PubmedData>")).otherwise("")
+    xml = _joined('<PubmedArticle><MedlineCitation><PMID Version="1">', tag, "</PMID><Article><ArticleTitle>On ", escaped, " &amp; ", tag, F.when(n % 97 == 5, "</Title>").otherwise("</ArticleTitle>"), "</Article></MedlineCitation>", doi, "</PubmedArticle>")
+    folder = shared_folder(spark)
+    read(spark, sf_dir, "documents").select(xml.alias("value")).write.text(folder)
+    good, bad = articles.read_articles(spark, folder)
+    found = R.pubmed(good).select(F.lit("article").alias("kind"), F.try_element_at("extra", F.lit("pmid")).cast("long").alias("id"), "doi", "title")
+    rows = found.unionByName(bad.select(F.lit("malformed").alias("kind")), allowMissingColumns=True)
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.count("doi").alias("with_doi"), F.coalesce(F.sum(F.length("title")), F.lit(0)).cast("long").alias("title_chars"))
