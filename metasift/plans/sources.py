@@ -5,14 +5,17 @@ Every answer is made of documents, so that each field of a record is known; the
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metasift.operators import ledger
 from metasift.operators.ordered import shared_folder
 from metasift.plans.queries import query, read
 from metasift.sources import articles
 from metasift.sources import records as R
-from metasift.streaming import journal
+from metasift.streaming import gates, journal
 
 #: The text without tags and without white space at its ends.
 BARE = r"nullif(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g'), '')"
@@ -222,3 +225,39 @@ def article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.pubmed(good).select(F.lit("article").alias("kind"), F.try_element_at("extra", F.lit("pmid")).cast("long").alias("id"), "doi", "title")
     rows = found.unionByName(bad.select(F.lit("malformed").alias("kind")), allowMissingColumns=True)
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.count("doi").alias("with_doi"), F.coalesce(F.sum(F.length("title")), F.lit(0)).cast("long").alias("title_chars"))
+
+
+GATES_SQL = """WITH e AS (SELECT user_id, event_id, 'u' || user_id AS run, ['screening_ta', 'screening_ft', 'extraction', 'rob', 'report'][1 + event_id % 5] AS stage, event_id AS seq, event_type, 'r' || (event_id % 2) AS sha FROM events),
+g AS (SELECT run, stage, max(seq) FILTER (event_type IN ('view', 'click')) AS asked, max(seq) FILTER (event_type NOT IN ('view', 'click', 'error')) AS given FROM e GROUP BY 1, 2),
+j AS (SELECT g.run, g.stage, asked, given, greatest(asked, given) AS seq, r.sha AS sha, 'A' || (r.event_id % 3) AS autonomy, r.event_id % 7 = 0 AS forced, r.event_id % 11 = 0 AS unresolved, r.event_id % 13 < 6 AS auto, d.sha AS given_sha, d.event_type = 'purchase' AS approved, CASE WHEN d.event_id % 3 = 0 THEN 'ana' ELSE 'human:u' || (d.event_id % 9) END AS actor
+  FROM g LEFT JOIN e r ON r.seq = asked LEFT JOIN e d ON d.seq = given WHERE asked IS NOT NULL OR given IS NOT NULL),
+s AS (SELECT *, autonomy = 'A2' AND NOT forced AS alone, given IS NULL AND NOT forced AND NOT unresolved AND auto AS demo, given IS NOT NULL AND given_sha = sha AND (NOT forced OR actor LIKE 'human:%') AS counts FROM j),
+v AS (SELECT *, CASE WHEN asked IS NULL THEN 'open' WHEN alone OR demo THEN 'approved' WHEN counts THEN CASE WHEN approved THEN 'approved' ELSE 'rejected' END ELSE 'paused' END AS state FROM s)
+SELECT run, stage, state, CASE WHEN state = 'paused' THEN CASE WHEN given IS NOT NULL AND given_sha <> sha THEN 'other_request' WHEN given IS NOT NULL THEN 'not_a_person' WHEN forced OR unresolved THEN 'person_needed' ELSE 'undecided' END END AS reason,
+  CASE WHEN asked IS NULL THEN NULL WHEN alone THEN 'agent:' || stage WHEN demo THEN 'auto-approve (demo)' WHEN state IN ('approved', 'rejected') THEN actor END AS actor, sha AS request_sha256, seq FROM v"""
+
+
+def _gate_events(events: DataFrame) -> DataFrame:
+    """Views and clicks ask a gate, errors are of no kind that a gate knows, the others decide."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    asked = kind.isin("view", "click")
+    return events.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run"), F.get(F.array(*[F.lit(s) for s in ledger.STAGES]), (n % 5).cast("int")).alias("stage"), n.alias("seq"), "ts",
+        F.when(asked, "request").when(kind == "error", "error").otherwise("decision").alias("kind"), F.concat(F.lit("r"), (n % 2).cast("string")).alias("request_sha256"), F.when(asked, F.concat(F.lit("A"), (n % 3).cast("string"))).alias("autonomy"),
+        (asked & (n % 7 == 0)).alias("forced"), (asked & (n % 11 == 0)).alias("unresolved"), (asked & (n % 13 < 6)).alias("auto_approve"), (kind == "purchase").alias("approved"),
+        F.when(n % 3 == 0, "ana").otherwise(F.concat(F.lit("human:u"), (n % 9).cast("string"))).alias("actor"),
+    )
+
+
+@query(GATES_SQL)
+def gate_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.states(_gate_events(read(spark, sf_dir, "events")))
+
+
+@query(GATES_SQL)
+def gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as a stream, whose gates wait in keyed state."""
+    folder = shared_folder(spark)
+    events = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    gates.run_gates(spark, _gate_events(events), f"{folder}/states", f"{folder}/progress", patience=timedelta(days=3650)).awaitTermination()
+    return gates.latest(spark.read.parquet(f"{folder}/states"))
