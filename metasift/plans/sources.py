@@ -10,10 +10,10 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasift.operators import ledger
+from metasift.operators import budget, ledger
 from metasift.operators.ordered import shared_folder
 from metasift.plans.queries import query, read
-from metasift.sources import articles
+from metasift.sources import articles, frozen
 from metasift.sources import records as R
 from metasift.streaming import gates, journal
 
@@ -261,3 +261,49 @@ def gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
     gates.run_gates(spark, _gate_events(events), f"{folder}/states", f"{folder}/progress", patience=timedelta(days=3650)).awaitTermination()
     return gates.latest(spark.read.parquet(f"{folder}/states"))
+
+
+@query(
+    """WITH b AS (SELECT coalesce(source, '') AS backend, count(*) AS n FROM documents GROUP BY 1)
+SELECT backend, sha256('q ' || backend) AS query_sha256, CASE WHEN length(backend) % 2 = 0 THEN 'ok' ELSE 'error' END AS status, CASE WHEN length(backend) % 2 = 0 THEN n ELSE 0 END AS n_returned, CASE WHEN length(backend) % 2 = 1 THEN 'down' END AS failure,
+  (SELECT count(*) FROM documents WHERE length(coalesce(source, '')) % 2 = 0) AS n_records, (SELECT CAST(sum(doc_id) AS BIGINT) FROM documents WHERE length(coalesce(source, '')) % 2 = 0) AS ids FROM b"""
+)
+def frozen_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over backends, some of them down, committed as one and read again; the second call must not search."""
+    folder = shared_folder(spark)
+    docs = read(spark, sf_dir, "documents").withColumn("backend", F.coalesce("source", F.lit("")))
+    down = F.length("backend") % 2 == 1
+    asked = docs.select("backend").distinct().select("backend", F.concat(F.lit("q "), "backend").alias("query"), F.when(down, "error").otherwise("ok").alias("status"), F.when(down, "down").alias("error"))
+    frozen.memoised(spark, folder, lambda: frozen.search_tables(docs.where(~down).select("backend", "doc_id", "lang"), asked))
+    tables = frozen.memoised(spark, folder, lambda: {})
+    of = tables["failures"].select(F.col("backend").alias("of"), F.col("error").alias("failure"))
+    whole = tables["records"].agg(F.count(F.lit(1)).alias("n_records"), F.sum("doc_id").alias("ids"))
+    return tables["log"].join(of, F.col("backend") == F.col("of"), "left").crossJoin(whole).select("backend", "query_sha256", "status", "n_returned", "failure", "n_records", "ids")
+
+
+@query(
+    """WITH f AS (SELECT doc_id // 100 AS part, string_agg(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1)
+SELECT 'part=' || part AS path, CASE part % 4 WHEN 1 THEN 'changed' WHEN 2 THEN 'removed' WHEN 3 THEN 'added' ELSE 'same' END AS change, sha256(body) AS sha256 FROM f"""
+)
+def file_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a hundred each, with both kinds of line ends, against a frozen table that differs in a known way."""
+    folder = shared_folder(spark)
+    parts = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    parts.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").option("lineSep", "\r\n").text(f"{folder}/files")
+    now = frozen.fingerprints(spark, f"{folder}/files", "*.txt").withColumn("path", F.regexp_extract("path", "^(part=[0-9]+)/", 1))
+    kind = F.regexp_extract("path", "[0-9]+", 0).cast("long") % 4
+    before = frozen.ensure_snapshot(spark, f"{folder}/frozen", now.where(kind != 3).withColumn("sha256", F.when(kind == 1, "other").otherwise(F.col("sha256"))))
+    told = frozen.changes(before, now.where(kind != 2)).withColumnRenamed("path", "of")
+    return now.join(told, F.col("path") == F.col("of"), "left").select("path", F.coalesce("change", F.lit("same")).alias("change"), "sha256")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, greatest(n_chars, 0) AS need, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS rank, count(*) OVER () AS n, sum(n_chars) OVER (ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken FROM documents),
+t AS (SELECT *, 1000 * n AS total FROM d),
+f AS (SELECT min(rank) AS first, arg_min(coalesce(taken, 0), rank) AS taken FROM t WHERE need * (n - rank) > total - coalesce(taken, 0))
+SELECT doc_id, need, CAST(CASE WHEN first IS NULL OR rank < first THEN need ELSE (total - f.taken) // (n - first) + CASE WHEN rank >= n - (total - f.taken) % (n - first) THEN 1 ELSE 0 END END AS BIGINT) AS share FROM t, f"""
+)
+def fair_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand characters a document, shared over all of them."""
+    docs = read(spark, sf_dir, "documents")
+    return budget.fair_shares(docs, "doc_id", "n_chars", 1000 * docs.count())
