@@ -65,14 +65,16 @@ def format_conversations(turns: DataFrame, *, conv_col: str = "conv_id", turn_co
     Turns are ordered by turn (nulls first), then role and parts (a plain text: the text) by code point; repeated rows stay.
     Null roles and texts count as empty, very long ones are kept whole, rows with a null conversation form one conversation,
     and other columns are ignored. An empty table gives an empty one.
-    A conversation is one result row, so its turns meet in one task; nothing else does.
+    A conversation is one result row, so its turns meet in one task; nothing else does. Every part is a segment of its own:
+    the loss covers the texts of ``loss_role`` alone, never a placeholder, whose tokens the model doesn't write.
     """
     visited = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), (parts if parts is not None else text_parts(F.col(text_col))).cast(f"array<{PART}>").alias("parts"))
     is_attachment = lambda p: p["type"].isin(list(TOKENS_A_UNIT))
     # sorted by the parts as they came, visited afterwards
     grouped = visited.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "parts"))).alias("ts"))
     segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    segments = F.transform("ts", lambda t: F.array(segment(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")), F.lit(False)), segment(F.array_join(F.transform(t["parts"], flat_part), ""), t["role"] == loss_role), segment(F.lit(END), F.lit(False))))
+    body = lambda t: F.transform(t["parts"], lambda p, n: segment(flat_part(p, n), (t["role"] == loss_role) & F.coalesce(p["type"] == "text", F.lit(False))))
+    segments = F.transform("ts", lambda t: F.concat(F.array(segment(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")), F.lit(False))), F.coalesce(body(t), F.array().cast("array<struct<text:string,loss:boolean>>")), F.array(segment(F.lit(END), F.lit(False)))))
     return grouped.select(F.col("conv").alias(conv_col), F.flatten(segments).alias("segments"), F.flatten(F.transform("ts", lambda t: F.transform(F.filter(t["parts"], is_attachment), lambda p: attachment(p, t["turn"])))).alias("attachments"))
 
 
@@ -117,3 +119,22 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+def attachment_digest(output: DataFrame) -> DataFrame:
+    """conv_id, n_attachments, tokens, refs, formatted_sha256 and loss_sha256, from written conversations with attachments."""
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "")
+    refs = F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a["turn"], a["type"], a["ref"], a["tokens"])), ",")
+    return output.select("conv_id", F.size("attachments").cast("long").alias("n_attachments"), F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]).alias("tokens"), refs.alias("refs"), F.sha2(formatted(F.col("segments")), 256).alias("formatted_sha256"), F.sha2(loss, 256).alias("loss_sha256"))
+
+
+ATTACHMENT_SQL = r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, turn % 3 AS k FROM conversations),
+told AS (SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS escaped, 'c' || conv_id || '-' || turn AS ref,
+  CASE k WHEN 0 THEN '<|image|>' WHEN 1 THEN '<|audio|>' ELSE '<|document|>' END AS mark, CASE k WHEN 0 THEN 'image' WHEN 1 THEN 'audio' ELSE 'document' END AS kind,
+  CAST(CASE k WHEN 0 THEN ceil(length(text) / 4.0) WHEN 1 THEN ceil(25 * (length(text) / 4.0)) ELSE ceil(512 * (length(text) / 4.0)) END AS BIGINT) AS tokens FROM rows)
+SELECT conv_id, count(*) AS n_attachments, CAST(sum(tokens) AS BIGINT) AS tokens, string_agg(concat_ws(':', turn, kind, ref, tokens), ',' ORDER BY turn NULLS FIRST, role, text) AS refs,
+  sha256(string_agg('<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<|nl|>') || chr(10) || escaped || mark || 'seen' || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS formatted_sha256,
+  sha256(coalesce(string_agg(escaped || 'seen', '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
+FROM told GROUP BY conv_id
+"""

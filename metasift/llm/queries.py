@@ -68,6 +68,19 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(spark.read.parquet(path))
 
 
+def chat_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose turns hold a text, an image, a recording or a document by turn number, and a word on it."""
+    part = lambda kind, text=None, ref=None, units=None: F.struct(F.lit(kind) if isinstance(kind, str) else kind, (F.lit(text) if text is None or isinstance(text, str) else text).cast("string"), F.lit(None).cast("string") if ref is None else ref, F.lit(None).cast("double") if units is None else units)
+    kind = F.when(F.col("turn") % 3 == 0, "image").when(F.col("turn") % 3 == 1, "audio").otherwise("document")
+    ref = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    text = F.coalesce("text", F.lit(""))
+    parts = F.array(part("text", text), part(kind, None, ref, F.length(text) / 4.0), part("text", "seen"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    path = fresh_path(spark, "chat")
+    chat.format_conversations(turns, parts=parts).write.parquet(path)
+    return chat.attachment_digest(spark.read.parquet(path))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -99,8 +112,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_secrets": op1_secrets, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op6_decontamination": op6_decontamination, "op4_licenses": op4_licenses, "op7_chat": op7_chat, "op5_token_files": op5_token_files, "op8_neighbours": op8_neighbours, "op9_simhash": op9_simhash, "op10_language": op10_language, "op11_fingerprints": op11_fingerprints, "op12_hard_negatives": op12_hard_negatives, "op13_filter_audit": op13_filter_audit, "mixing_overlap": mixing_overlap}
+    return {"op1_secrets": op1_secrets, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op6_decontamination": op6_decontamination, "op4_licenses": op4_licenses, "op7_chat": op7_chat, "op5_token_files": op5_token_files, "op8_neighbours": op8_neighbours, "op9_simhash": op9_simhash, "op10_language": op10_language, "op11_fingerprints": op11_fingerprints, "op12_hard_negatives": op12_hard_negatives, "op13_filter_audit": op13_filter_audit, "mixing_overlap": mixing_overlap, "chat_attachments": chat_attachments}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.digest_sql(), "op7_chat": chat.DIGEST_SQL, "op8_neighbours": neighbours.NEAREST_SQL, "op12_hard_negatives": negatives.NEGATIVES_SQL, "op13_filter_audit": interaction.AUDIT_SQL, "mixing_overlap": mixing.TOTALS_SQL}
+    return {"op4_licenses": licenses.digest_sql(), "op7_chat": chat.DIGEST_SQL, "op8_neighbours": neighbours.NEAREST_SQL, "op12_hard_negatives": negatives.NEGATIVES_SQL, "op13_filter_audit": interaction.AUDIT_SQL, "mixing_overlap": mixing.TOTALS_SQL, "chat_attachments": chat.ATTACHMENT_SQL}

@@ -33,8 +33,11 @@ DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 LETTER, DIGIT, LONG_NUMBER = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]"), re.compile(r"[0-9]{20,}")
 LEAST = 20
 LETTERS_RATIO = 2.1
-#: What may stand between the words of a run, and identifiers that stand between separators.
-PART = re.compile(r"[^/_=-]+")
+#: Pieces that stand together are measured by those with a letter, without what is between them: words of paths, file names and
+#: other languages need fewer tokens than that (see README), pieces of a random string more. So many characters must be measured.
+JOINED_RATIO, JOINED_LEAST = 1.65, 12
+#: Pieces of a run, and identifiers that stand between separators.
+PART = re.compile(r"[A-Za-z0-9]+")
 KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{'|'.join(f'[0-9a-fA-F]{{{n}}}' for n in sorted(DIGEST_LENGTHS))})(?![A-Za-z0-9])")
 #: Runs are measured in pieces of this many characters, so a huge run stays linear.
 PIECE = 512
@@ -116,37 +119,59 @@ def dense_windows(run: str, lengths: list[int], max_ratio: float) -> Iterator[tu
         start, size = start + length, size - length
 
 
+def joined_windows(part: str, pieces: list[tuple[int, int]], tokens: list[int], max_ratio: float) -> Iterator[tuple[int, int, float]]:
+    """From each piece of ``part`` on, the fewest pieces that span at least 20 characters, where those with a letter are dense together.
+
+    The span counts what stands before the first and behind the last piece of the part. A piece that stood a few pieces
+    before already isn't measured again: names repeat in paths, random strings don't.
+    """
+    words = [part[a:b] for a, b in pieces]
+    counts = [bool(LETTER.search(w)) and w not in words[max(0, k - 4) : k] for k, w in enumerate(words)]
+    begins = [0 if k == 0 else a for k, (a, _) in enumerate(pieces)]
+    ends = [len(part) if k == len(pieces) - 1 else b for k, (_, b) in enumerate(pieces)]
+    last, chars, counted = 0, 0, 0
+    for first in range(len(pieces)):
+        while last < len(pieces) and (last <= first or ends[last - 1] - begins[first] < LEAST):
+            if counts[last]:
+                chars, counted = chars + len(words[last]), counted + tokens[last]
+            last += 1
+        if ends[last - 1] - begins[first] < LEAST:
+            return
+        if (last > first + 1 or len(words[first]) < LEAST) and chars >= JOINED_LEAST and chars <= min(max_ratio, JOINED_RATIO) * counted:
+            yield pieces[first][0], pieces[last - 1][1], chars / counted
+        if counts[first]:
+            chars, counted = chars - len(words[first]), counted - tokens[first]
+
+
 def dense_stretches(run: str, ranks_path: str, max_ratio: float) -> Iterator[tuple[int, int, float]]:
-    """Start, end and characters a token of the dense stretches of a run: the whole of it, or else what its pieces and windows cover."""
+    """Start, end and characters a token of the dense stretches of a run: its long pieces or windows of them, and pieces that are dense together."""
     if is_known_identifier(run):
         return
-    lengths = token_lengths(run, ranks_path)
-    ratio = len(run) / len(lengths)
-    if is_dense(run, ratio, max_ratio):
-        yield 0, len(run), ratio
-        return
     found = []
     for start, end in without(0, len(run), (m.span() for m in KNOWN.finditer(run))):
         part = run[start:end]
-        own = lengths if part == run else token_lengths(part, ranks_path)
-        found += [(start + a, start + b, r) for a, b, r in dense_windows(part, own, max_ratio)]
-        for m in PART.finditer(part):
+        pieces = [m.span() for m in PART.finditer(part)]
+        tokens = []
+        for a, b in pieces:
             # a piece is measured apart, as its first characters may share a token with what stands before it
-            if len(m[0]) >= LEAST and m[0] != part:
-                piece = token_lengths(m[0], ranks_path)
-                ratio = len(m[0]) / len(piece)
-                whole = [(0, len(m[0]), ratio)] if is_dense(m[0], ratio, max_ratio) else dense_windows(m[0], piece, max_ratio)
-                found += [(start + m.start() + a, start + m.start() + b, r) for a, b, r in whole]
+            own = token_lengths(part[a:b], ranks_path)
+            tokens.append(len(own))
+            if b - a >= LEAST:
+                ratio = (b - a) / len(own)
+                dense = [(0, b - a, ratio)] if is_dense(part[a:b], ratio, max_ratio) else dense_windows(part[a:b], own, max_ratio)
+                found += [(start + a + x, start + a + y, r) for x, y, r in dense]
+        found += [(start + a, start + b, r) for a, b, r in joined_windows(part, pieces, tokens, max_ratio)]
+    whole = PART.search(run)
+    edge = len(run) - len(run.rstrip("+/_=-"))
     held: tuple[int, int, float] | None = None
-    for a, b, r in sorted(found):
+    for a, b, r in [*sorted(found), (len(run) + 1, len(run) + 1, 0.0)]:
         if held and a < held[1]:
             held = (held[0], max(held[1], b), min(held[2], r))
-        else:
-            if held:
-                yield held
-            held = (a, b, r)
-    if held:
-        yield held
+            continue
+        if held:
+            # padding belongs to what is dense from end to end
+            yield (0, len(run), held[2]) if (held[0], held[1]) == (whole.start(), len(run) - edge) else held
+        held = (a, b, r)
 
 
 def scan(text: str, ranks_path: str, max_ratio: float) -> list[dict]:

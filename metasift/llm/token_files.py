@@ -223,8 +223,9 @@ def write_token_table(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
     document all the same. Columns besides the two are ignored. An empty table gives a folder without rows.
     """
     bits = bits_for(vocabulary)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id")
+    # the row's number parts rows of one id, so that an id of a third of all rows is dealt to several ranges
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    ordered = rows.repartitionByRange("id", "row").sortWithinPartitions("id", "row").select("id", "text")
 
     def pieces(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, number = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0

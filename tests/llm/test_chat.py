@@ -60,6 +60,21 @@ def test_parts_cannot_join_into_a_control_string(spark):
     assert (row.n_turns, row.turns_sha256) == (1, sha("user\n" + "".join(t or "" for t in texts) + "\n"))
 
 
+def test_the_loss_covers_no_placeholder(spark):
+    part = "struct<type:string,text:string,ref:string,units:double>"
+    parts = [("text", "before <|", None, None), ("image", None, "a.png", 3.2), ("text", "|after", None, None), (None, "no type", None, None)]
+    turns = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", parts), (1, 2, "assistant", None)], f"conv_id long, turn long, role string, content array<{part}>")
+    row = chat.format_conversations(turns, parts=F.col("content")).first()
+    assert [s.text for s in row.segments if s.loss] == ["before <\\|", "\\|after"]
+    assert "".join(s.text for s in row.segments).count("<|image|>") == 2
+
+
+def test_attachments_on_the_tables(same_as_sql):
+    from metasift.llm import queries
+
+    same_as_sql(queries.chat_attachments, queries.oracle_sql()["chat_attachments"])
+
+
 def test_sql(spark):
     con = duckdb.connect()
     con.register("conversations", pd.DataFrame(ROWS, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))

@@ -127,3 +127,24 @@ def test_many_spans_in_one_run_take_linear_time():
     spans = secrets.scan(text, ranks, 2.2)
     assert time.process_time() - began < 2
     assert [s["kind"] for s in spans] == ["access"] * 8000
+
+
+CLEAN = [
+    "https://example.org/api/v2/users/1234567890/orders", "IMG_20240101_123456_HDR_001_jpg", "Przedsiebiorstwo_Panstwowe_Gospodarstwo", "/usr/share/maven-repo/org/slf4j/slf4j-nop/debian/slf4j-nop-debian.pom",
+    "/usr/lib/x86_64-linux-gnu/libstdc++.so.6.0.30", "Donaudampfschifffahrt_Gesellschaft-Kapitaen", "2024-01-15_backup_final_v2_really-final", "src/main/java/com/example/orders/OrderServiceImpl", "invoice-2023-00017-customer-4711-page-2",
+]
+
+
+@pytest.mark.parametrize("run", CLEAN)
+def test_paths_file_names_and_words_are_clean(run):
+    assert secrets.scan(f"see {run} end", secrets.default_ranks(), 2.2) == []
+
+
+@pytest.mark.parametrize("alphabet", ["-_", "+/"])
+@pytest.mark.parametrize("size", [20, 24, 32, 40])
+def test_random_strings_with_separators(alphabet, size):
+    draw, ranks, missed = random.Random(7), secrets.default_ranks(), 0
+    for _ in range(200):
+        secret = "".join(draw.choice(string.ascii_letters + string.digits + alphabet) for _ in range(size))
+        missed += not any(s["kind"] == "dense" for s in secrets.scan(f"see {secret} end", ranks, 2.2))
+    assert missed <= (6 if size == 20 else 2)

@@ -89,3 +89,22 @@ def test_empty_table(spark, documents):
     path = fresh_path(spark, "test-tokens")
     token_files.write_token_table(documents([]), path, PATH, end_id=1, vocabulary=49_408)
     assert token_files.read_documents(spark, path).collect() == []
+
+
+def test_one_id_in_a_third_of_all_rows(spark, prose):
+    """Rows of one id go to several ranges, each kept as a document of its own, and starts still add up over all of them."""
+    texts = prose(900, seed=12, words=30)
+    rows = [(7 if i % 3 == 0 else i, t) for i, t in enumerate(texts)] + [(None, "no id")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = fresh_path(spark, "hot")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write_token_table(docs, path, PATH, end_id=1, vocabulary=49_408)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = {r.shard for r in spark.read.schema(token_files.PIECES).parquet(path).collect() if 7 in r.doc_ids}
+    found = sorted(token_files.read_documents(spark, path).collect(), key=lambda r: r.start)
+    assert len(shards) > 1 and len(found) == len(rows)
+    assert [r.start for r in found] == np.concatenate([[0], np.cumsum([r.n_tokens for r in found])[:-1]]).tolist()
+    ids = [r.doc_id for r in found]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
