@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, SimHash near-dedup, benchmark decontamination, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. Stages are written as Parquet and read again in between;
-all but the last return the columns of documents.
+all but the last return the columns of documents. Columns that documents doesn't have are left out, whatever their names, so
+none can clash with what a stage uses inside.
 """
 
 from __future__ import annotations
@@ -23,17 +24,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told with a probability of at least one half, and writes it to ``lang``.
 
     Null texts, texts without a letter, and all where no label is known have no language and go. Repeated rows stay.
-    Very long texts are read whole. An empty table gives an empty one.
+    Very long texts are read whole. Languages that tie go by code point order. An empty table gives an empty one.
     """
-    told = queries.identify(docs, keep=tuple(COLUMNS[1:])).where((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
+    told = queries.identify(docs.select(COLUMNS), keep=tuple(COLUMNS[1:])).where((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
     return told.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near-duplicates, the one with the smallest id; rows are told apart by a key of their own, not by their id.
 
-    Null ids come last; equal ids go by the key. Null and empty texts are near-duplicates of each other. An empty table gives
-    an empty one.
+    Null ids come last; equal ids go by the key. Null and empty texts are near-duplicates of each other. Very long texts are
+    read whole. An empty table gives an empty one.
     """
     path = fresh_path(spark, "keyed")
     docs.select(*COLUMNS, F.monotonically_increasing_id().alias("key")).write.parquet(path)
@@ -44,7 +45,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of a benchmark item, exact or with few edits, wherever it stands in them.
 
-    Null and empty texts hold none and stay, as do repeated rows. Without items every document stays.
+    Null and empty texts hold none and stay, as do repeated rows. Very long texts are searched whole. Items that tie for a
+    place are all found, which changes nothing here. Without items every document stays.
     """
     found = decontaminate.find_leaks(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.where(F.size("leaks") == 0).select(COLUMNS)
@@ -54,11 +56,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the one where a source's share ends counts as a whole.
 
     Documents without words are never taken. Rows that repeat an id are all taken as often as the one taken most. A null
-    source is a source like any other. An empty table gives an empty one.
+    source is a source like any other. Very long texts are counted whole. An empty table gives an empty one.
     """
     taken = mixing.mix(docs, F.array("source")).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
     # repeated ids were taken each; one row for each id and number is enough to repeat its documents
     times = taken.groupBy("doc_id").agg(F.max("times").alias("times"))
+    docs = docs.select(COLUMNS)
     joined = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).select(*[docs[c] for c in COLUMNS], "times")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
 
