@@ -180,13 +180,17 @@ def mix(docs: DataFrame, sources: Column, *, budget: float = 1.5, weights: tuple
     """
     rows = _sized(docs, sources, seed, id_col, text_col)
     spark = rows.sparkSession
-    planned = spark.createDataFrame(_plan(rows, budget, weights, most))
+    plan = _plan(rows, budget, weights, most)
+    rests = spark.createDataFrame(plan.select(["p", "rest"]))
     # where each pattern's last round ends: first the part of the order, then the document
     parts = rows.groupBy("pattern", "part").agg(F.sum("size").alias("part_size"))
     up_to = Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("part_size").over(up_to), F.lit(0)))
-    ends = parts.join(planned.select("p", "rest"), parts["pattern"].eqNullSafe(planned["p"])).where("before < rest AND rest <= before + part_size").select("pattern", F.col("part").alias("end_part"), "before")
-    planned = planned.join(ends, planned["p"].eqNullSafe(ends["pattern"]), "left").select("p", "source_size", "target", "whole", "rest", F.coalesce("end_part", F.lit(-1)).alias("end_part"), "before")
+    ends = parts.join(rests, parts["pattern"].eqNullSafe(rests["p"])).where("before < rest AND rest <= before + part_size").select("pattern", "part", "before").collect()
+    # the plan goes back with them, as a table of known size: while it's small Spark broadcasts it, so no pattern's documents are moved
+    end_of = {r["pattern"]: (r["part"], r["before"]) for r in ends}
+    own = [end_of.get(p, (-1, None)) for p in plan["p"].to_pylist()]
+    planned = spark.createDataFrame(plan.append_column("end_part", pa.array([e for e, _ in own], pa.int32())).append_column("before", pa.array([b for _, b in own], pa.int64())))
     known = rows.join(planned, rows["pattern"].eqNullSafe(planned["p"]))
     columns = ["id", "sources", "size", "source_size", "target"]
     plain = known.where("part <> end_part").select(*columns, (F.col("size") * (F.col("whole") + (F.col("part") < F.col("end_part")).cast("long"))).alias("taken"))
