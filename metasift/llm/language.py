@@ -88,8 +88,10 @@ def fit(docs: DataFrame, label: Column, *, per_language: int = FITTED_A_LANGUAGE
     runs in tasks, and the counts stay in the shared folder. The driver gets one row a language. Without labelled rows the model knows no language.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.cast("string").alias("label")).where("label IS NOT NULL AND text IS NOT NULL")
-    share = F.when(F.col("count") <= per_language, F.lit(HASH_RANGE)).otherwise(F.expr(f"({HASH_RANGE}L * {per_language}) div count"))
-    shares = labelled.groupBy(F.col("label").alias("share_of")).count().select("share_of", share.alias("under"))
+    # a row a label, as an Arrow table, whose size Spark knows: while it's small it is broadcast, so no text is moved
+    sizes = labelled.groupBy("label").count().toArrow()
+    under = [HASH_RANGE if n <= per_language else HASH_RANGE * per_language // n for n in sizes["count"].to_pylist()]
+    shares = docs.sparkSession.createDataFrame(pa.table({"share_of": sizes["label"], "under": pa.array(under, pa.int64())}))
     chosen = labelled.join(shares, F.col("label") == F.col("share_of")).where(F.pmod(F.xxhash64("id", "text"), F.lit(HASH_RANGE)) < F.col("under"))
     texts = chosen.select("label", simplified(F.col("text")).alias("text"))
 
