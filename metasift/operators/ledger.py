@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metasift.functions import text as T
-from metasift.operators.ordered import greatest_before
+from metasift.operators.ordered import greatest_before, medians, settled
 
 #: Fixed orders and names.
 STAGES = ("screening_ta", "screening_ft", "extraction", "rob", "report")
@@ -88,12 +88,20 @@ def late_marks(log: DataFrame, by: list[str], tolerance: str = "INTERVAL 2 SECON
 
 
 def call_gaps(calls: DataFrame, by: list[str], least: int = 20, low_ms: float = 5.0) -> DataFrame:
-    """Per group: calls, median gap in ms between sorted marks, share of marks on a whole second, and whether either looks made up."""
+    """Per group: calls, median gap in ms between sorted marks, marks on a whole second, and whether either looks made up.
+
+    The median is exact, by ranks over ranges: no group's gaps meet in one aggregate.
+    """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     # in order of time the greatest mark before a row is the one before it
-    gaps = greatest_before(calls.withColumn("us", micros), by, "ts", F.col("us"), "us_before").withColumn("gap_ms", (F.col("us") - F.col("us_before")) / 1000)
+    gaps = settled(greatest_before(calls.withColumn("us", micros).select(*by, "ts", "us"), by, "ts", F.col("us"), "us_before").withColumn("gap_ms", (F.col("us") - F.col("us_before")) / 1000))
     whole = micros % 1_000_000 == 0
-    out = gaps.groupBy(*by).agg(F.count("ts").alias("n_calls"), F.percentile("gap_ms", 0.5).alias("median_gap_ms"), F.count_if(whole).alias("n_whole_seconds"))
+    counts = gaps.groupBy(*by).agg(F.count("ts").alias("n_calls"), F.count_if(whole).alias("n_whole_seconds")).alias("c")
+    middle = medians(gaps, by, "gap_ms", "median_gap_ms").alias("m")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"c.{c}").eqNullSafe(F.col(f"m.{c}"))
+    out = counts.join(middle, same, "left").select(*[F.col(f"c.{c}") for c in by], "n_calls", "median_gap_ms", "n_whole_seconds")
     return out.withColumns({"too_fast": F.coalesce((F.col("n_calls") >= least) & (F.col("median_gap_ms") < low_ms), F.lit(False)), "rounded": (F.col("n_calls") >= 4) & (F.col("n_whole_seconds") * 2 >= F.col("n_calls"))})
 
 

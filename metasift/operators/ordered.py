@@ -64,3 +64,25 @@ def greatest_before(df: DataFrame, by: list[str], order_col: str, value: Column,
         same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
     joined = ranged.withColumn("inside_", F.max("value_").over(own)).alias("r").join(tops.alias("t"), same, "left")
     return joined.select("r.*", F.greatest("r.inside_", "t.before_").alias(name)).drop("range_no", "value_", "inside_")
+
+
+def medians(df: DataFrame, by: list[str], value_col: str, name: str) -> DataFrame:
+    """``by`` and ``name``: the exact median of each group's values, the mean of the two in the middle; groups without a value have no row.
+
+    Equal values are counted before they meet, and the different ones are dealt to ranges, so neither a value nor a group that
+    fills the table falls to one task. Which values stand in the middle follows from the counts before them.
+    """
+    counted = df.where(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("times_"))
+    ranged = in_ranges(counted, *by, value_col)
+    sums = ranged.groupBy("range_no", *by).agg(F.sum("times_").alias("in_range_"))
+    whole = Window.partitionBy(*(by or [F.lit(1)]))
+    sums = sums.select("range_no", *by, F.coalesce(F.sum("in_range_").over(earlier(by)), F.lit(0)).alias("before_"), F.sum("in_range_").over(whole).alias("n_"))
+    own = Window.partitionBy("range_no", *by).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("r.range_no") == F.col("t.range_no")
+    for c in by:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
+    placed = ranged.withColumn("inside_", F.coalesce(F.sum("times_").over(own), F.lit(0))).alias("r").join(sums.alias("t"), same).select("r.*", "t.before_", "t.n_")
+    at = F.col("before_") + F.col("inside_")
+    holds = lambda rank: F.when((at <= rank) & (rank < at + F.col("times_")), F.col(value_col))
+    low, high = holds(F.floor((F.col("n_") - 1) / 2)), holds(F.floor(F.col("n_") / 2))
+    return placed.groupBy(*by).agg(((F.max(low) + F.max(high)) / 2).alias(name)).where(F.col(name).isNotNull())

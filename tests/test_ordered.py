@@ -68,3 +68,17 @@ def test_stub_providers(spark):
     assert [d.domain for d in domains] == list(providers.TOOL_DOMAINS["RoB2"])
     fields = providers.extract(records.limit(1), ["n", "dose"], lambda df: df.withColumns({"found": F.lit(True), "value": F.when(F.col("key") == "n", "12")}))
     assert {r.key: r.status for r in fields.collect()} == {"n": "needs_review", "dose": "not_found"}
+
+
+def test_medians_like_plain(spark):
+    """Groups with many ties, one of most rows, a null group, groups of one row and without a value."""
+    import random
+    import statistics
+
+    draw = random.Random(2)
+    rows = [("hot", float(draw.choice([1, 1, 1, 2, 9]))) for _ in range(2001)] + [(g, draw.random()) for g in ("a", None, "b") for _ in range(draw.randint(50, 99))] + [("one", 4.5), ("none", None), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    want = {g: statistics.median([x for h, x in rows if h == g and x is not None]) for g in {g for g, _ in rows} - {"none"}}
+    assert {r.g: r.m for r in ordered.medians(df, ["g"], "x", "m").collect()} == want
+    assert [r.m for r in ordered.medians(df, [], "x", "m").collect()] == [statistics.median([x for _, x in rows if x is not None])]
+    assert ordered.medians(df.where("false"), ["g"], "x", "m").collect() == []
