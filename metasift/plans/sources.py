@@ -15,7 +15,7 @@ from metasift.operators.ordered import shared_folder
 from metasift.plans.queries import query, read
 from metasift.sources import articles, frozen
 from metasift.sources import records as R
-from metasift.streaming import gates, journal
+from metasift.streaming import gates, index, journal
 
 #: The text without tags and without white space at its ends.
 BARE = r"nullif(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g'), '')"
@@ -307,3 +307,14 @@ def fair_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A thousand characters a document, shared over all of them."""
     docs = read(spark, sf_dir, "documents")
     return budget.fair_shares(docs, "doc_id", "n_chars", 1000 * docs.count())
+
+
+@query("SELECT 'u' || user_id AS slug, count(*) AS n_runs, CAST(arg_max(epoch_us(ts), event_id) AS BIGINT) AS last_us, arg_max(event_type, event_id) AS last_included, min(event_id) AS first_seq FROM events GROUP BY 1")
+def kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as runs of reviews, one review a user, indexed batch by batch as they stream in."""
+    folder = shared_folder(spark)
+    events = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    runs = events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug"), F.col("event_id").alias("seq"), "ts", F.array("event_type").alias("included_ids"))
+    index.keep_index(runs, f"{folder}/index", f"{folder}/progress").awaitTermination()
+    found = index.read_index(spark, f"{folder}/index")
+    return found.select("slug", "n_runs", F.unix_micros("last_ts").alias("last_us"), F.get("last_included", F.lit(0)).alias("last_included"), "first_seq")
