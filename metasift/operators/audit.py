@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from metasift.functions import stats as S
 from metasift.functions import text as T
-from metasift.operators import grounding, ledger, screening, searchlog
-from metasift.operators.ordered import positions
+from metasift.operators import agreement, bindings, grounding, ledger, screening, searchlog
+from metasift.operators.ordered import positions, settled
 
 RELATION = "family string, name string, ok boolean, detail string"
 #: Fixed: the mark of a run that the pipeline itself made; a run put together afterwards has none.
@@ -33,6 +33,10 @@ class Run:
     stages_reached: tuple[str, ...] = ledger.STAGES
     deliverables: tuple[str, ...] = ()
     registration: str = ""
+    #: Whether an agent judges citations; null where the settings can't be read.
+    judging: bool | None = None
+    #: Made by ``gathered``.
+    ready: bool = False
 
     def has(self, *names: str) -> bool:
         return all(n in self.tables for n in names)
@@ -41,9 +45,12 @@ class Run:
         return self.tables[name]
 
     def gathered(self) -> Run:
-        """The same run with its one-row tables read once; nearly every relation looks at them."""
-        one_row = {name: local(self[name]) for name in ("counts", "metrics") if self.has(name)}
-        return replace(self, tables=self.tables | one_row)
+        """The same run with its one-row tables read once, and those that most relations look at computed once."""
+        if self.ready:
+            return self
+        one_row = {name: local(self[name]) for name in ("counts", "metrics", "stated") if self.has(name)}
+        shared = {name: settled(self[name]) for name in ("screened", "fulltext", "reports", "calls", "log") if self.has(name)}
+        return replace(self, tables=self.tables | one_row | shared, ready=True)
 
 
 def local(few: DataFrame, most: int = 1000) -> DataFrame:
@@ -54,6 +61,13 @@ def local(few: DataFrame, most: int = 1000) -> DataFrame:
     return few.sparkSession.createDataFrame(rows, few.schema)
 
 
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    """All rows of the parts. Pairs of pairs, so that no part is analysed again for each one that follows."""
+    while len(parts) > 1:
+        parts = [reduce(DataFrame.unionByName, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def relation(one_row: DataFrame, family: str, name: str, ok: Column, detail: Column | None = None) -> DataFrame:
     text = detail if detail is not None else F.lit("")
     return one_row.select(F.lit(family).alias("family"), F.lit(name).alias("name"), ok.cast("boolean").alias("ok"), F.coalesce(text.cast("string"), F.lit("")).alias("detail"))
@@ -185,9 +199,53 @@ def relations(run: Run) -> DataFrame:
         out.append(relation(pairs, "9.3", "matrix from decisions and gold", whole))
         for c in ("recall", "lost_evidence", "mcc", "wmcc", "kappa"):
             out.append(relation(pairs, "9.3", f"{c} recomputed", S.close(F.col(c), F.col("again_" + c))))
+    if needs("9.3", "screened", "votes", "screeners"):
+        out.append(empty(bindings.vote_faults(run["screened"], run["votes"], run["screeners"]), "9.3", "one vote of each screener"))
+    if needs("9.3", "stated", "calls"):
+        both = run["stated"].crossJoin(F.broadcast(ledger.manifest(run["calls"]).select(F.col("models_used").alias("models"), F.col("all_deterministic").alias("certain"))))
+        out.append(relation(both, "9.3", "models stated = models called", F.array_sort("models_used") == F.col("models")))
+        out.append(relation(both, "9.3", "stated as deterministic = all calls are", F.col("all_deterministic") == F.col("certain")))
+    if needs("9.3", "call_copies", "calls"):
+        columns = [c for c in run["call_copies"].columns if c in run["calls"].columns]
+        line = lambda df: df.select("seq", F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("line"))
+        out.append(empty(same_sequence(line(run["call_copies"]), line(run["calls"]), "line"), "9.3", "copied calls = calls in order"))
+    if needs("9.3", "counts", "calls", "screeners", "stated"):
+        members = run["screeners"].agg(F.countDistinct("model").alias("members"))
+        floor = bindings.fewest_calls(run["counts"].crossJoin(F.broadcast(members)).crossJoin(F.broadcast(run["stated"].select("n_double"))), F.col("members"), F.coalesce("n_double", F.lit(0)))
+        both = floor.crossJoin(F.broadcast(rows_of(run["calls"])))
+        out.append(relation(both, "9.3", "no fewer calls than the decisions took", F.col("n") >= F.col("fewest"), F.concat(F.col("n").cast("string"), F.lit(" calls, at least "), F.col("fewest").cast("string"))))
+    if needs("9.3", "stated", "fulltext", "second_lines"):
+        chosen = run["fulltext"].where(label == "include").select("record_id", "seq")
+        sample = agreement.systematic_sample(chosen, "seq").select("record_id")
+        both = run["stated"].select("n_double").crossJoin(F.broadcast(rows_of(sample)))
+        out.append(relation(both, "9.3", "studies extracted twice = the sample", F.col("n_double") == F.col("n")))
+        out.append(empty(sample.join(run["second_lines"], "record_id", "left_anti"), "13", "each study of the sample in the second journal"))
+    if needs("9.3", "stated", "assessments"):
+        other = run["assessments"].join(F.broadcast(run["stated"].select("rob_tool")), ~F.col("tool").eqNullSafe(F.col("rob_tool")), "left_semi")
+        out.append(empty(other, "9.3", "assessed with the tool stated"))
+    if needs("10", "stated", "counts"):
+        both = run["stated"].select("total_excluded").crossJoin(F.broadcast(run["counts"].select("excluded_ta", "excluded_ft")))
+        out.append(relation(both, "10", "total_excluded = excluded_ta + excluded_ft", F.col("total_excluded") == F.col("excluded_ta") + F.col("excluded_ft")))
+    if needs("12", "journal_lines", "screeners", "stated"):
+        members = local(run["screeners"].select("model").distinct()).count()
+        one = bindings.line_faults(run["journal_lines"], members or None, run.judging).agg(F.count_if(F.col("fault") != "unknown").alias("wrong"), F.count_if(F.col("fault") == "unknown").alias("unknown"))
+        out.append(relation(one, "12", "calls of each journal line", F.when(F.col("wrong") > 0, False).when(F.col("unknown") == 0, True)))
+    for table in ("calls", "log"):
+        if needs("14", "stated", table):
+            marks = run[table].select(F.lit(table).alias("label"), "ts")
+            out.append(empty(bindings.mark_faults(marks, run["stated"]), "14", f"{table} within the run"))
+    if needs("14", "spans"):
+        out.append(empty(bindings.span_faults(run["spans"]), "14", "spans end after their start"))
+    if needs("15", "log", "requests", "artifacts", "requested", "decided"):
+        out.append(empty(bindings.binding_faults(run["log"], run["requests"], run["artifacts"], run["requested"], run["decided"]), "15", "decisions are of what was asked"))
     if needs("16", "log"):
         out.append(empty(ledger.label_breaks(run["log"]), "16", "labels before approval, none with a rejection, no repeats"))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    if needs("17", "log", "stated", "flags"):
+        faults = bindings.final_faults(run["log"], run["stated"], run["flags"])
+        early = F.col("fault") == "completed without an approval"
+        out.append(empty(faults.where(~early), "17", "a person decided on flagged citations"))
+        out.append(empty(faults.where(early), "18", "completed only with an approval"))
+    return stacked(out)
 
 
 def check(one_row: DataFrame, check_id: str, status: Column, detail: Column | None = None) -> DataFrame:
@@ -296,7 +354,7 @@ def checks(run: Run) -> DataFrame:
     out.append(check(run.spark.sql("SELECT 1"), "registration", F.when(F.length(T.strip(F.lit(run.registration))) > 0, "PASS").otherwise("WARN")))
     if needs("response_overlap", "calls"):
         out.append(none_left(ledger.response_overlap(run["calls"]).where("suspicious"), "response_overlap", "WARN"))
-    return fail_closed(local(reduce(lambda a, b: a.unionByName(b), out)), run)
+    return fail_closed(local(stacked(out)), run)
 
 
 def fail_closed(found: DataFrame, run: Run) -> DataFrame:

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metasift.functions import stats as S
 from metasift.functions import text as T
 from metasift.functions import vectors as V
-from metasift.operators import agreement, audit, dedup, exports, flow, grounding, history, ledger, meta, nested, providers, retrieval, screening, searchlog
+from metasift.operators import agreement, audit, bindings, dedup, exports, flow, grounding, history, ledger, meta, nested, providers, retrieval, screening, searchlog
 from metasift.operators.ordered import settled
 from metasift.sources import records as R
 from metasift.streaming import journal
@@ -539,9 +539,9 @@ def idempotent_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.missing_entries(log.where("seq % 2 = 1"), log.where("seq % 2 = 0")).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _calls(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     u = F.col("user_id")
-    return read(spark, sf_dir, "events").select(F.concat(F.lit("m"), (u % 6).cast("string")).alias("model"), F.when(u % 2 == 0, "fake").otherwise("remote").alias("provider"), (u % 2 == 0).alias("deterministic"), F.sha2((F.col("event_id") % 400).cast("string"), 256).alias("response_sha256"), F.col("ts"))
+    return read(spark, sf_dir, "events").select(*more, F.concat(F.lit("m"), (u % 6).cast("string")).alias("model"), F.when(u % 2 == 0, "fake").otherwise("remote").alias("provider"), (u % 2 == 0).alias("deterministic"), F.sha2((F.col("event_id") % 400).cast("string"), 256).alias("response_sha256"), F.col("ts"))
 
 
 CALLS_SQL = "calls AS (SELECT 'm' || (user_id % 6) AS model, CASE WHEN user_id % 2 = 0 THEN 'fake' ELSE 'remote' END AS provider, user_id % 2 = 0 AS deterministic, sha256((event_id % 400)::VARCHAR) AS response_sha256, ts FROM events)"
@@ -774,26 +774,104 @@ def stub_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- audit -------------------------------------------------------------------------------------------------------------
 
 
+def _tagged_ids(prefix: str, number: Column) -> Column:
+    return F.concat(F.lit(prefix), number.cast("string"))
+
+
+def _full_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with what a decision declares and what reviews of flagged citations say."""
+    e = F.col("seq")
+    return _log(spark, sf_dir).withColumns({"n_labels": F.when(F.col("action").isin("approve", "reject"), e % 5), "forced_human": e % 2 == 0, "verdict": F.when(e % 3 != 0, bindings.FALSE_POSITIVE).otherwise("real"), "reason": F.when(e % 4 == 0, " ").otherwise("seen")})
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Requests, their artifacts, and the records they list: another artifact for rob, none for the report, other records in both screenings."""
+    n = F.col("doc_id")
+    docs = read(spark, sf_dir, "documents")
+    listed = lambda stage, where: docs.where(where).select(F.lit(stage).alias("stage"), _tagged_ids("t", n % 50).alias("record_id"))
+    return {
+        "requests": spark.sql("SELECT * FROM VALUES ('screening_ta', 'r0', NULL), ('screening_ft', 'r1', NULL), ('extraction', 'r2', 'a1'), ('rob', 'r0', 'a2'), ('report', 'r1', NULL) AS v(stage, sha256, artifact_sha256)"),
+        "artifacts": spark.sql("SELECT * FROM VALUES ('extraction', 'a1'), ('rob', 'changed') AS v(stage, sha256)"),
+        "requested": listed("screening_ta", n % 50 != 3).unionAll(listed("screening_ft", n % 2 == 0)),
+        "decided": listed("screening_ta", n >= 0).unionAll(listed("screening_ft", (n % 2 == 0) & (n % 14 != 0))),
+    }
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(_tagged_ids("t", F.col("doc_id") % 50).alias("place")).distinct()
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journal lines of no to three calls."""
+    e, u = F.col("event_id"), F.col("user_id")
+    stage = F.get(F.array(*[F.lit(s) for s in ("screening_ta", "retrieval", "verification", "screening_ft", "extraction", "rob")]), (u % 6).cast("int"))
+    roles = F.slice(F.array(F.lit("first"), F.when(e % 8 == 2, "first").otherwise("second"), F.lit("third")), F.lit(1), (e % 4).cast("int"))
+    return read(spark, sf_dir, "events").select(e.alias("line_no"), stage.alias("stage"), F.when(e % 4 != 0, roles).alias("roles"), F.when(e % 5 != 0, e % 3).alias("n_judged"))
+
+
 def _run(spark: SparkSession, sf_dir: str) -> audit.Run:
+    """A run with every table. Some of them contradict the rest, for relations to find: two thirds hold, a third don't."""
     docs, screened, ft = _decisions(spark, sf_dir)
     reports = screening.excluded_reports(ft, docs)
     gold, _ = _gold_and_decisions(spark, sf_dir)
     none = docs.where("false")
+    r, e = F.col("record_id"), F.col("seq")
+    calls = _calls(spark, sf_dir, F.col("event_id").alias("seq")).withColumn("prompt_sha256", F.col("response_sha256"))
+    counts = flow.flow_counts(docs, docs, screened, ft, reports)
+    included = ft.where("final_label = 'include'")
+    out = screened.select("final_label").unionAll(ft.select("final_label")).agg(F.count_if(F.col("final_label") == "exclude").alias("total_excluded"))
+    span = calls.agg(F.min("ts").alias("started"), F.max("ts").alias("finished"))
+    models = F.array(*[F.lit(m) for m in ("fake:m0", "fake:m2", "fake:m4", "remote:m1", "remote:m3", "remote:m5")])
+    doubled = counts.select(F.ceil(F.col("included") / 5).alias("n_double"), models.alias("models_used"), F.lit(True).alias("all_deterministic"), F.lit("rob2").alias("rob_tool"), F.lit("completed").alias("status"), F.lit(False).alias("forced_human"))
+    votes = screened.select("record_id", F.when(r % 10 == 1, "exclude").otherwise(F.col("ensemble_label")).alias("label"), F.explode(F.array(F.lit("m0"), F.when(r % 20 == 9, "m7").otherwise("m1"))).alias("model"))
+    retrieval = ft.join(docs.select("record_id", "title"), "record_id").select("record_id", (r % 11 != 0).alias("available"), F.col("title").alias("text"), F.when(r % 6 == 0, "x").otherwise(F.sha2("title", 256)).alias("text_sha256"), F.length("title").alias("n_chars"))
+    digest = F.sha2(r.cast("string"), 256)
     return audit.Run(
         spark,
         {
-            "counts": flow.flow_counts(docs, docs, screened, ft, reports), "records": docs, "dedup": docs, "duplicates": none, "screened": screened, "fulltext": ft, "gold": gold,
-            # two tables that contradict the rest, for relations to find
-            "reports": reports.withColumn("reason", F.when(F.col("record_id") % 9 == 3, "otro").otherwise(F.col("reason"))),
-            "votes": screened.select("record_id", F.when(F.col("record_id") % 10 == 1, "exclude").otherwise(F.col("ensemble_label")).alias("label")), "metrics": screening.screening_metrics(screened, gold), "calls": _calls(spark, sf_dir).withColumn("prompt_sha256", F.col("response_sha256")), "log": _log(spark, sf_dir),
+            "counts": counts, "records": docs, "dedup": docs, "duplicates": none, "screened": screened, "fulltext": ft, "gold": gold,
+            "reports": reports.withColumn("reason", F.when(r % 9 == 3, "otro").otherwise(F.col("reason"))), "votes": votes, "screeners": spark.sql("SELECT explode(array('m0', 'm1')) AS model"), "metrics": screening.screening_metrics(screened, gold),
+            "calls": calls, "call_copies": calls.where("seq % 100 <> 7"), "log": _full_log(spark, sf_dir), "journal": docs.where(r % 2 == 0).select("record_id"), "journal_lines": _lines(spark, sf_dir),
+            "journal_metas": calls.where("seq % 3 = 0").select(F.when(e % 60 == 0, "m9").otherwise(F.col("model")).alias("model"), "response_sha256", "ts"), "retrieval": retrieval,
+            "cells": flow.flow_cells(counts).withColumn("n", F.when(F.col("data") == "records_screened", "0").otherwise(F.col("n"))),
+            "outputs": docs.select("record_id", digest.alias("output_sha256")), "consolidated": ft.select("record_id", F.when(r % 15 == 2, "x").otherwise(digest).alias("output_sha256")),
+            "stated": doubled.crossJoin(F.broadcast(out)).crossJoin(F.broadcast(span)), "assessments": included.select(r.alias("study_id"), F.when(r % 12 == 1, "other").otherwise("rob2").alias("tool")), "second_lines": included.where(r % 21 != 0).select("record_id"),
+            "spans": read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("label"), F.col("o_orderdate").cast("timestamp").alias("started"), (F.col("o_orderdate").cast("timestamp") - F.make_dt_interval(secs=F.col("o_orderkey") % 4)).alias("finished")),
+            "flags": _flags(spark, sf_dir), **_asked(spark, sf_dir),
         },
         thresholds={"recall": 0.2, "kappa": -1.0},
         registration="id",
     )
 
 
+#: Each table's faults, as the queries of their own return them.
+LINES_SQL = """lines AS (SELECT event_id AS line_no, ['screening_ta', 'retrieval', 'verification', 'screening_ft', 'extraction', 'rob'][1 + user_id % 6] AS stage, event_id % 4 AS n, CASE WHEN event_id % 5 <> 0 THEN event_id % 3 END AS judged FROM events),
+line_faults AS (SELECT line_no, stage, CASE WHEN stage = 'verification' AND judged IS NULL THEN 'unknown' ELSE 'number of calls' END AS fault FROM lines
+  WHERE CASE stage WHEN 'screening_ta' THEN n <> 2 WHEN 'retrieval' THEN n > 0 WHEN 'verification' THEN judged IS NULL OR n NOT IN (0, judged) ELSE n <> 1 END
+  UNION ALL SELECT line_no, stage, 'role called twice' FROM lines WHERE stage = 'screening_ta' AND line_no % 8 = 2)"""
+BINDING_SQL = """asked(stage, asked, shown, artifact) AS (VALUES ('screening_ta', 'r0', NULL, NULL), ('screening_ft', 'r1', NULL, NULL), ('extraction', 'r2', 'a1', 'a1'), ('rob', 'r0', 'a2', 'changed'), ('report', 'r1', NULL, NULL)),
+requested AS (SELECT 'screening_ta' AS stage, 't' || (doc_id % 50) AS record_id FROM documents WHERE doc_id % 50 <> 3 UNION ALL SELECT 'screening_ft', 't' || (doc_id % 50) FROM documents WHERE doc_id % 2 = 0),
+decided AS (SELECT 'screening_ta' AS stage, 't' || (doc_id % 50) AS record_id FROM documents UNION ALL SELECT 'screening_ft', 't' || (doc_id % 50) FROM documents WHERE doc_id % 2 = 0 AND doc_id % 14 <> 0),
+gates AS (SELECT e.*, asked, shown, artifact FROM eff e JOIN asked USING (stage)),
+mine AS (SELECT l.* FROM log l JOIN gates g ON l.stage = g.stage AND l.request_sha256 IS NOT DISTINCT FROM g.request_sha256 AND l.decision_sha256 IS NOT DISTINCT FROM g.decision_sha256 WHERE l.action = 'label'),
+binding_faults AS (SELECT stage, 'another request' AS fault, 1 AS n FROM gates WHERE asked <> request_sha256 UNION ALL SELECT stage, 'no decision hash', 1 FROM gates WHERE decision_sha256 IS NULL
+  UNION ALL SELECT g.stage, 'marks under another request', count(*) FROM gates g JOIN log l ON l.stage = g.stage AND l.decision_sha256 = g.decision_sha256 WHERE l.action IN ('label', 'flag_review') AND l.request_sha256 <> g.request_sha256 GROUP BY 1
+  UNION ALL SELECT stage, 'another number of labels', abs(seq % 5 - k) FROM (SELECT stage, seq, (SELECT count(*) FROM mine m WHERE m.stage = g.stage) AS k FROM gates g) WHERE seq % 5 <> k
+  UNION ALL SELECT stage, 'no artifact hash', 1 FROM gates WHERE stage = 'report' UNION ALL SELECT stage, 'another artifact', 1 FROM gates WHERE artifact <> shown
+  UNION ALL SELECT stage, 'other records', count(*) FROM (SELECT stage, record_id, sum(k) AS d FROM (SELECT *, 1 AS k FROM requested UNION ALL SELECT *, -1 FROM decided) GROUP BY 1, 2) WHERE d <> 0 AND stage IN (SELECT stage FROM gates) GROUP BY 1
+  UNION ALL SELECT stage, 'label outside the request', count(DISTINCT target) FROM mine m WHERE stage LIKE 'screening%' AND NOT EXISTS (SELECT 1 FROM requested q WHERE q.stage = m.stage AND q.record_id = m.target) GROUP BY 1)"""
+FINAL_SQL = """last AS (SELECT *, seq % 2 = 0 AS forced FROM eff WHERE stage = 'report'), flags AS (SELECT DISTINCT 't' || (doc_id % 50) AS place FROM documents WHERE doc_id % 7 = 0),
+final_faults AS (SELECT 'the run says otherwise who had to decide' AS fault, NULL AS place FROM last WHERE action = 'approve' AND EXISTS (SELECT 1 FROM flags)
+  UNION ALL SELECT 'the decision says otherwise who had to decide', NULL FROM last WHERE action = 'approve' AND forced <> EXISTS (SELECT 1 FROM flags)
+  UNION ALL SELECT 'completed without an approval', NULL WHERE NOT EXISTS (SELECT 1 FROM last WHERE action = 'approve')
+  UNION ALL SELECT 'flagged citation not reviewed', place FROM flags, last WHERE last.action = 'approve' AND place NOT IN (SELECT l.target FROM log l WHERE l.stage = 'report' AND l.action = 'flag_review' AND l.actor = last.actor AND l.seq % 3 <> 0 AND l.seq % 4 <> 0
+    AND l.request_sha256 IS NOT DISTINCT FROM last.request_sha256 AND l.decision_sha256 IS NOT DISTINCT FROM last.decision_sha256))"""
+
+
 #: Each relation by a way of its own: correlations for the coefficients, whole lists for orders.
-RELATIONS_SQL = f"""WITH {COUNTS_SQL}, {LOG_SQL}, c AS (SELECT *, fulltext_sought - fulltext_not_retrieved AS assessed FROM counts),
+RELATIONS_SQL = f"""WITH {COUNTS_SQL}, {LOG_SQL}, {LINES_SQL}, {BINDING_SQL}, {FINAL_SQL},
+twice AS (SELECT record_id FROM (SELECT record_id, row_number() OVER (ORDER BY seq) - 1 AS p, count(*) OVER () AS n, greatest(1, ceil(0.2 * count(*) OVER ())) AS k FROM fulltext WHERE final_label = 'include') WHERE p IN (SELECT CAST(trunc(i * (n2::DOUBLE / k2)) AS BIGINT) FROM (SELECT count(*) AS n2, CAST(greatest(1, ceil(0.2 * count(*))) AS BIGINT) AS k2 FROM fulltext WHERE final_label = 'include'), range(0, k2) r(i))),
+c AS (SELECT *, fulltext_sought - fulltext_not_retrieved AS assessed FROM counts),
 declared AS (SELECT record_id, CASE WHEN record_id % 9 = 3 THEN 'otro' ELSE reason END AS reason FROM reports),
 votes AS (SELECT record_id AS voted, CASE WHEN record_id % 10 = 1 THEN 'exclude' ELSE ensemble_label END AS label FROM screened),
 g AS (SELECT (ensemble_label IN ('include', 'unclear'))::INT AS p, (quality = 1)::INT AS g FROM labels JOIN screened ON record_id = doc_id),
@@ -833,7 +911,53 @@ UNION ALL SELECT '10', 'included = assessed - excluded_ft', included = assessed
 UNION ALL SELECT '10', 'included = including decisions', included = (SELECT count(*) FROM fulltext WHERE final_label = 'include') FROM c
 UNION ALL SELECT '16', 'labels before approval, none with a rejection, no repeats', NOT EXISTS (SELECT 1 FROM log l JOIN closers k ON k.stage = l.stage AND k.decision_sha256 = l.decision_sha256 WHERE l.action IN ('label', 'flag_review') AND (l.seq > closed OR rejected))
   AND NOT EXISTS (SELECT 1 FROM log GROUP BY stage, action, target, request_sha256, decision_sha256 HAVING count(*) > 1)
-UNION ALL SELECT family, name, NULL FROM (VALUES ('4', 'journal, dedup'), ('7', 'fulltext, retrieval'), ('11', 'counts, cells'), ('12', 'journal_metas, calls'), ('13', 'outputs, consolidated')) missing(family, name)"""
+UNION ALL SELECT '4', 'journal ids among unique records', NOT EXISTS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT record_id FROM screened)
+UNION ALL SELECT '7', 'retrieved if and only if available', NOT EXISTS (SELECT 1 FROM fulltext WHERE (fulltext_status = 'retrieved') <> (record_id % 11 > 0))
+UNION ALL SELECT '7', 'kept texts match hash and length', NOT EXISTS (SELECT 1 FROM fulltext WHERE record_id % 6 = 0 AND record_id % 11 > 0 AND text IS NOT NULL)
+UNION ALL SELECT '11', 'exchange cells = counts', c.screened = 0 FROM c
+UNION ALL SELECT '12', 'journalled calls are in the call log', NOT EXISTS (SELECT 1 FROM events WHERE event_id % 60 = 0)
+UNION ALL SELECT '13', 'consolidated rows come from the journal', NOT EXISTS (SELECT 1 FROM fulltext WHERE record_id % 15 = 2)
+UNION ALL SELECT '10', 'assessments = included', included = (SELECT count(DISTINCT record_id) FROM fulltext WHERE final_label = 'include') FROM c
+UNION ALL SELECT '9.3', 'one vote of each screener', NOT EXISTS (SELECT 1 FROM documents WHERE doc_id % 20 = 9)
+UNION ALL SELECT '9.3', 'models stated = models called', (SELECT count(DISTINCT user_id % 6) = 6 FROM events)
+UNION ALL SELECT '9.3', 'stated as deterministic = all calls are', NOT EXISTS (SELECT 1 FROM events WHERE user_id % 2 = 1)
+UNION ALL SELECT '9.3', 'copied calls = calls in order', NOT EXISTS (SELECT 1 FROM events WHERE event_id % 100 = 7)
+UNION ALL SELECT '9.3', 'no fewer calls than the decisions took', (SELECT count(*) FROM events) >= 2 * c.screened + assessed - fulltext_rescued + 2 * included + ceil(included / 5.0) + 1 FROM c
+UNION ALL SELECT '9.3', 'studies extracted twice = the sample', ceil(included / 5.0) = (SELECT count(*) FROM twice) FROM c
+UNION ALL SELECT '13', 'each study of the sample in the second journal', NOT EXISTS (SELECT 1 FROM twice WHERE record_id % 21 = 0)
+UNION ALL SELECT '9.3', 'assessed with the tool stated', NOT EXISTS (SELECT 1 FROM fulltext WHERE final_label = 'include' AND record_id % 12 = 1)
+UNION ALL SELECT '10', 'total_excluded = excluded_ta + excluded_ft', (SELECT count(*) FROM (SELECT final_label AS f FROM screened UNION ALL SELECT final_label FROM fulltext) WHERE f = 'exclude') = excluded_ta + excluded_ft FROM c
+UNION ALL SELECT '12', 'calls of each journal line', CASE WHEN count(*) FILTER (fault <> 'unknown') > 0 THEN false WHEN count(*) = 0 THEN true END FROM line_faults
+UNION ALL SELECT '14', 'calls within the run', true
+UNION ALL SELECT '14', 'log within the run', (SELECT min(ts) FROM log) >= (SELECT min(ts) - INTERVAL 2 SECONDS FROM events)
+UNION ALL SELECT '14', 'spans end after their start', NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 4 = 3)
+UNION ALL SELECT '15', 'decisions are of what was asked', NOT EXISTS (SELECT 1 FROM binding_faults)
+UNION ALL SELECT '17', 'a person decided on flagged citations', NOT EXISTS (SELECT 1 FROM final_faults WHERE fault NOT LIKE 'completed%')
+UNION ALL SELECT '18', 'completed only with an approval', NOT EXISTS (SELECT 1 FROM final_faults WHERE fault LIKE 'completed%')"""
+
+
+@query(f"WITH {LINES_SQL} SELECT stage, fault, count(*) AS n FROM line_faults GROUP BY 1, 2")
+def journal_line_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bindings.line_faults(_lines(spark, sf_dir), 2, None).groupBy("stage", "fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {LOG_SQL}, s AS (SELECT min(ts) AS a, max(ts) AS b FROM events) SELECT seq AS label, ts, CASE WHEN ts < a THEN 'before the start' ELSE 'after the end' END AS fault FROM log, s WHERE ts < a - INTERVAL 2 SECONDS OR ts > b - INTERVAL 1 HOUR + INTERVAL 2 SECONDS")
+def mark_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log entries outside of a run that ended an hour before the last event."""
+    span = read(spark, sf_dir, "events").agg(F.min("ts").alias("started"), (F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("finished"))
+    return bindings.mark_faults(_log(spark, sf_dir).withColumn("label", F.col("seq")), span)
+
+
+@query(f"WITH {LOG_SQL}, {BINDING_SQL} SELECT stage, fault, CAST(n AS BIGINT) AS n FROM binding_faults")
+def binding_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bindings.binding_faults(_full_log(spark, sf_dir), **_asked(spark, sf_dir))
+
+
+@query(f"WITH {LOG_SQL.replace('FROM events)', 'FROM events WHERE event_type <> ' + repr('signup') + ')')}, {FINAL_SQL} SELECT fault, place FROM final_faults")
+def final_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a log without rejections, so that the report is approved."""
+    stated = spark.sql("SELECT 'completed' AS status, false AS forced_human")
+    return bindings.final_faults(_full_log(spark, sf_dir).where("action <> 'reject'"), stated, _flags(spark, sf_dir))
 
 
 @query(RELATIONS_SQL)
