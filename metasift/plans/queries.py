@@ -7,6 +7,7 @@ lineitem as trial arms. Every derived column has the same rule in the SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -979,6 +980,24 @@ def gate_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.gate_faults(log, ("screening_ta",), requests)
 
 
+def _searches(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A search log of a row a supplier, its failures, strings and the databases declared."""
+    k = F.col("s_suppkey")
+    tag = lambda prefix: F.concat(F.lit(prefix), k.cast("string"))
+    suppliers = read(spark, sf_dir, "supplier")
+    status = F.get(F.array(*[F.lit(s) for s in ("failed", "manual_only", "unknown", "ok", "ok", "ok")]), (k % 6).cast("int"))
+    log = suppliers.select(
+        tag("Base ").alias("database"), F.when(k % 11 == 0, "other").otherwise(tag("base")).alias("db_key"), F.when(k % 5 == 4, "manual_import").when(k % 5 == 3, "injected").otherwise("database").alias("kind"), status.alias("status"),
+        F.when(k % 13 == 0, -1).otherwise(k % 4).alias("n_returned"), F.lit(3).alias("max_results"), F.when(k % 12 != 0, "e").alias("error"), F.when((k % 6 != 0) | (k % 18 == 0), F.array(F.concat(F.lit("src"), (k % 2).cast("string")))).alias("source_db"),
+        F.when(k % 7 != 0, tag("q")).alias("query"), F.when(k % 9 == 0, "bad").otherwise(F.sha2(tag("q"), 256)).alias("query_sha256"), F.when(k % 8 == 0, None).when(k % 8 < 4, "file").when(k % 8 == 4, "question_fallback").otherwise("inline").alias("query_origin"),
+        F.when((k % 8).isin(1, 2, 5), tag("f")).alias("query_file"), F.when(k % 10 != 4, "h").alias("file_sha256"),
+    )
+    failures = log.where("status = 'failed'").select("database").join(suppliers.where("s_suppkey % 30 = 0").select(tag("Base ").alias("database")), "database", "left_anti").unionAll(spark.sql("SELECT 'Ghost'"))
+    strings = suppliers.select(tag("f").alias("query_file"), F.when(k % 16 == 1, "x").otherwise(F.concat(F.lit(" "), tag("q"), F.lit("\n"))).alias("text"))
+    declared = spark.sql("SELECT 'Base 1' AS database UNION ALL SELECT 'Not There'")
+    return {"search_log": log, "failures": failures, "search_strings": strings, "databases": declared}
+
+
 @query(
     """WITH e AS (SELECT s_suppkey AS k, 'Base ' || k AS database, CASE WHEN k % 5 = 4 THEN 'manual_import' WHEN k % 5 = 3 THEN 'injected' ELSE 'database' END AS kind, CASE k % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'manual_only' WHEN 2 THEN 'unknown' ELSE 'ok' END AS status,
   CASE WHEN k % 13 = 0 THEN -1 ELSE k % 4 END AS n, k % 7 = 0 AS no_query, CASE WHEN k % 8 = 0 THEN NULL WHEN k % 8 < 4 THEN 'file' WHEN k % 8 = 4 THEN 'question_fallback' ELSE 'inline' END AS origin, k % 8 IN (1, 2, 5) AS has_file FROM supplier),
@@ -1004,26 +1023,54 @@ UNION ALL SELECT NULL, 'FAIL', 'sources of log and records disagree' WHERE EXIST
 UNION ALL VALUES ('Ghost', 'FAIL', 'failure without an entry'), ('Not There', 'FAIL', 'declared but not searched')"""
 )
 def search_log_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    tag = lambda prefix: F.concat(F.lit(prefix), k.cast("string"))
-    suppliers = read(spark, sf_dir, "supplier")
-    status = F.get(F.array(*[F.lit(s) for s in ("failed", "manual_only", "unknown", "ok", "ok", "ok")]), (k % 6).cast("int"))
-    log = suppliers.select(
-        tag("Base ").alias("database"), F.when(k % 11 == 0, "other").otherwise(tag("base")).alias("db_key"), F.when(k % 5 == 4, "manual_import").when(k % 5 == 3, "injected").otherwise("database").alias("kind"), status.alias("status"),
-        F.when(k % 13 == 0, -1).otherwise(k % 4).alias("n_returned"), F.lit(3).alias("max_results"), F.when(k % 12 != 0, "e").alias("error"), F.when((k % 6 != 0) | (k % 18 == 0), F.array(F.concat(F.lit("src"), (k % 2).cast("string")))).alias("source_db"),
-        F.when(k % 7 != 0, tag("q")).alias("query"), F.when(k % 9 == 0, "bad").otherwise(F.sha2(tag("q"), 256)).alias("query_sha256"), F.when(k % 8 == 0, None).when(k % 8 < 4, "file").when(k % 8 == 4, "question_fallback").otherwise("inline").alias("query_origin"),
-        F.when((k % 8).isin(1, 2, 5), tag("f")).alias("query_file"), F.when(k % 10 != 4, "h").alias("file_sha256"),
-    )
-    failures = log.where("status = 'failed'").select("database").join(suppliers.where("s_suppkey % 30 = 0").select(tag("Base ").alias("database")), "database", "left_anti").unionAll(spark.sql("SELECT 'Ghost'"))
-    strings = suppliers.select(tag("f").alias("query_file"), F.when(k % 16 == 1, "x").otherwise(F.concat(F.lit(" "), tag("q"), F.lit("\n"))).alias("text"))
-    declared = spark.sql("SELECT 'Base 1' AS database UNION ALL SELECT 'Not There'")
+    t = _searches(spark, sf_dir)
     records = read(spark, sf_dir, "documents").select(F.col("source").alias("source_db"))
-    return searchlog.entry_faults(log, failures, strings).unionByName(searchlog.log_faults(log, records, failures, declared))
+    return searchlog.entry_faults(t["search_log"], t["failures"], t["search_strings"]).unionByName(searchlog.log_faults(t["search_log"], records, t["failures"], t["databases"]))
+
 
+def _audited(spark: SparkSession, sf_dir: str) -> audit.Run:
+    """The run with its files and logs: a hash, a file and a deliverable are wrong, some lines and citations are bad."""
+    run = _run(spark, sf_dir)
+    k, n = F.col("n_nationkey"), F.col("doc_id")
+    files = read(spark, sf_dir, "nation").select(_tagged_ids("f", k).alias("file"), F.get(F.array(*[F.lit(s) for s in ledger.STAGES]), (k % 5).cast("int")).alias("stage"), F.sha2(k.cast("string"), 256).alias("sha256"), (k % 3).alias("n_bytes"), k)
+    more = {
+        "manifest": read(spark, sf_dir, "nation").where(k == 0).select(F.lit(audit.PROVENANCE).alias("provenance")), "lines": read(spark, sf_dir, "events").select(F.when(F.col("event_id") % 97 == 5, "bad").otherwise("ok").alias("status")),
+        "declared_hashes": files.select("file", "sha256"), "actual_hashes": files.select("file", F.when(k == 7, "edited").otherwise(F.col("sha256")).alias("sha256")), "required": files.select("stage", "file"), "present": files.where(k != 24).select("file", "n_bytes"),
+        "citation_checks": read(spark, sf_dir, "documents").select((n % 19 != 0).alias("exists_in_corpus"), F.lit(True).alias("grounded")), "window": spark.sql("SELECT '2024-01-02' AS declared"),
+    }
+    searches = _searches(spark, sf_dir)
+    searches["search_log"] = searches["search_log"].withColumn("started_utc", F.concat(F.lit("2024-01-0"), (1 + F.length("database") % 2).cast("string"), F.lit("T00:00:00+00:00")))
+    return replace(run, tables=run.tables | more | searches, deliverables=("f1", "f3"))
 
-@query()
+
+@query(
+    f"""WITH {DECISIONS_SQL}, {LOG_SQL}, {BINDING_SQL}, {CALLS_SQL}, closers AS (SELECT stage, decision_sha256, min(seq) AS closed, bool_or(action = 'reject') AS rejected FROM log WHERE action IN ('approve', 'reject') GROUP BY 1, 2),
+g AS (SELECT (ensemble_label IN ('include', 'unclear'))::INT AS p, (quality = 1)::INT AS g FROM labels JOIN screened ON record_id = doc_id),
+firsts AS (SELECT min(seq) AS f, list_position(['screening_ta', 'screening_ft', 'extraction', 'rob', 'report'], stage) AS i FROM log WHERE action IN ('approve', 'reject') GROUP BY stage),
+found AS (SELECT 'manifest' AS check_id, bool_or(provider = 'fake') AS bad, 'WARN' AS as_ FROM calls
+UNION ALL SELECT 'provenance', false, 'FAIL' UNION ALL SELECT 'prompts', false, 'FAIL' UNION ALL SELECT 'registration', false, 'WARN'
+UNION ALL SELECT 'schemas', EXISTS (SELECT 1 FROM events WHERE event_id % 97 = 5), 'FAIL'
+UNION ALL SELECT 'protocol_snapshot', EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 7), 'FAIL'
+UNION ALL SELECT 'timing', EXISTS (SELECT 1 FROM (SELECT ts, max(ts) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM log) WHERE before - ts > INTERVAL 2 SECONDS), 'FAIL'
+UNION ALL SELECT 'ledger', EXISTS (SELECT 1 FROM firsts a JOIN firsts b ON a.i < b.i AND a.f > b.f) OR EXISTS (SELECT 1 FROM log l JOIN closers k ON k.stage = l.stage AND k.decision_sha256 = l.decision_sha256 WHERE l.action IN ('label', 'flag_review') AND (l.seq > closed OR rejected))
+  OR EXISTS (SELECT 1 FROM log GROUP BY stage, action, target, request_sha256, decision_sha256 HAVING count(*) > 1), 'FAIL'
+UNION ALL SELECT 'hitl', EXISTS (SELECT 1 FROM screened WHERE human_label IS NOT NULL) OR EXISTS (SELECT 1 FROM mine WHERE stage = 'screening_ta') OR (SELECT count(DISTINCT stage) < 4 FROM eff WHERE stage <> 'report'), 'FAIL'
+UNION ALL SELECT 'request_hash', EXISTS (SELECT 1 FROM gates WHERE asked IS DISTINCT FROM request_sha256), 'FAIL'
+UNION ALL SELECT 'final_gate', NOT EXISTS (SELECT 1 FROM eff WHERE stage = 'report' AND action = 'approve'), 'FAIL'
+UNION ALL SELECT 'stage_artifacts', EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 24), 'FAIL'
+UNION ALL SELECT 'exclusions', (SELECT count(*) FROM screened WHERE final_label = 'exclude') <> (SELECT count(*) FROM screened WHERE human_label = 'exclude' OR (ensemble_label = 'exclude' AND human_label IS NULL)), 'FAIL'
+UNION ALL SELECT 'deliverable', (SELECT count(*) < 2 FROM nation WHERE n_nationkey IN (1, 3) AND n_nationkey % 3 > 0), 'FAIL'
+UNION ALL SELECT 'gold', corr(p, g) IS NULL, 'WARN' FROM g
+UNION ALL SELECT 'grounding', EXISTS (SELECT 1 FROM documents WHERE doc_id % 19 = 0), 'FAIL'
+UNION ALL SELECT 'search_log', EXISTS (SELECT 1 FROM ({ORACLES["search_log_faults"]}) WHERE level = 'FAIL'), 'FAIL'
+UNION ALL SELECT 'search_window', false, 'WARN'
+UNION ALL SELECT 'response_overlap', EXISTS (SELECT 1 FROM ({ORACLES["response_overlap"]}) WHERE suspicious), 'WARN')
+SELECT check_id, CASE WHEN bad THEN as_ ELSE 'PASS' END AS status FROM found
+UNION ALL SELECT 'thresholds', CASE WHEN coalesce(avg(p), 0) < 0.2 THEN 'FAIL' WHEN count(*) < 2 THEN 'WARN' ELSE 'PASS' END FROM g WHERE g = 1
+UNION ALL SELECT 'arithmetic', CASE WHEN count(*) FILTER (NOT ok) > 0 THEN 'FAIL' WHEN count(*) > count(ok) THEN 'WARN' ELSE 'PASS' END FROM ({RELATIONS_SQL})"""
+)
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.checks(_run(spark, sf_dir))
+    return audit.checks(_audited(spark, sf_dir)).select("check_id", "status")
 
 
 # --- journal -----------------------------------------------------------------------------------------------------------
