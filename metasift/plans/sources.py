@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from metasift.operators import budget, ledger
 from metasift.operators.ordered import shared_folder
 from metasift.plans.queries import query, read
-from metasift.sources import articles, frozen
+from metasift.sources import articles, frozen, validated
 from metasift.sources import records as R
 from metasift.streaming import gates, index, journal
 
@@ -318,3 +318,34 @@ def kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.keep_index(runs, f"{folder}/index", f"{folder}/progress").awaitTermination()
     found = index.read_index(spark, f"{folder}/index")
     return found.select("slug", "n_runs", F.unix_micros("last_ts").alias("last_us"), F.get("last_included", F.lit(0)).alias("last_included"), "first_seq")
+
+
+# --- validated loading -------------------------------------------------------------------------------------------------
+
+RAW_SQL = """raw AS (SELECT doc_id AS n, doc_id % 23 = 0 AS torn, doc_id % 7 = 0 AS no_id, doc_id % 6 = 0 AS no_list, doc_id % 11 = 0 AS odd FROM documents), sound AS (SELECT * FROM raw WHERE NOT torn),
+votes AS (SELECT n, unnest([0, 1]) AS v FROM sound WHERE NOT no_list),
+faults AS (SELECT n AS id, '' AS path, 'not JSON' AS fault, NULL AS found FROM raw WHERE torn UNION ALL SELECT n, '.record_id', 'missing', NULL FROM sound WHERE no_id
+  UNION ALL SELECT n, '.votes', 'kind', 'object' FROM sound WHERE no_list UNION ALL SELECT n, '.final_label', 'choice', '"maybe"' FROM sound WHERE odd
+  UNION ALL SELECT n, '.votes[0].confidence', CASE WHEN n % 9 = 0 THEN 'kind' ELSE 'range' END, CASE WHEN n % 9 = 0 THEN '"high"' ELSE '1.5' END FROM votes WHERE v = 0 AND (n % 9 = 0 OR n % 4 = 3)
+  UNION ALL SELECT n, '.votes[1].label', 'missing', NULL FROM votes WHERE v = 1 AND n % 13 = 0)"""
+
+
+def _raw_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision a document, as JSON with faults of every kind."""
+    n, tag = _ids()
+    grade = F.when(n % 9 == 0, '"high"').otherwise(F.get(F.array(F.lit("0"), F.lit("0.5"), F.lit("1"), F.lit("1.5")), (n % 4).cast("int")))
+    second = F.when(n % 13 == 0, '{"model":"b","confidence":0.25}').otherwise('{"model":"b","label":"exclude","confidence":0.25,"note":[1,{"x":null}]}')
+    votes = F.when(n % 6 == 0, "{}").otherwise(_joined('[{"model":"a","label":"include","confidence":', grade, "},", second, "]"))
+    own = F.when(n % 7 == 0, "").otherwise(_joined('"record_id":"d', tag, '",'))
+    whole = _joined("{", own, '"final_label":', F.when(n % 11 == 0, '"maybe"').otherwise("null"), ',"votes":', votes, "}")
+    return read(spark, sf_dir, "documents").select("doc_id", F.when(n % 23 == 0, F.substring(whole, 1, 12)).otherwise(whole).alias("raw"))
+
+
+@query(f"WITH {RAW_SQL} SELECT id, path, fault, found FROM faults")
+def decision_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validated.load(_raw_decisions(spark, sf_dir), "doc_id", "raw", validated.DECISION)[1].drop("expected")
+
+
+@query(f"WITH {RAW_SQL} SELECT n AS doc_id FROM raw WHERE n NOT IN (SELECT id FROM faults)")
+def sound_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validated.load(_raw_decisions(spark, sf_dir), "doc_id", "raw", validated.DECISION)[0].select("doc_id")
