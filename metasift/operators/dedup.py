@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metasift.functions import text as T
+from metasift.operators.ordered import settled, summed_before
 
 
 def keyed(records: DataFrame) -> DataFrame:
@@ -31,41 +31,28 @@ def first_rows(records: DataFrame, key_col: str = "key", seq_col: str = "seq") -
 def renamed_ids(kept: DataFrame) -> DataFrame:
     """Kept records with ``new_id``: the first of an id keeps it, the n-th becomes ``id#n``, or the next number no other record has.
 
-    Ids with a # that stands for another record's suffix are rare; only their groups are numbered one by one.
+    The copy with k records of its id before it gets the k-th number from 2 that no other id holds as its suffix. With those numbers
+    sorted, the r-th of them, t, comes before it if t - r is k at most, so it gets k + 1 and as many more as come before: a count of
+    earlier rows over ranges, in which only ids and places stand. No id's records meet in one task. ``seq`` tells records apart.
     """
-    window = Window.partitionBy("record_id").orderBy("seq")
-    numbered = kept.withColumn("n", F.row_number().over(window))
-    proposed = numbered.withColumn("new_id", F.when(F.col("n") == 1, F.col("record_id")).otherwise(F.concat_ws("#", "record_id", "n")))
-    stem = F.regexp_replace("record_id", r"#\d+$", "")
-    taken = kept.where(F.col("record_id").rlike(r"#\d+$")).select(stem.alias("stem")).distinct()
-    risky = proposed.where("n > 1").select("record_id").distinct().join(taken, F.col("record_id") == F.col("stem"), "left_semi")
-    calm = proposed.join(risky, "record_id", "left_anti").drop("n")
-    # a risky id meets all ids with its stem
-    family = proposed.drop("n", "new_id").withColumn("risk", F.explode(F.array_distinct(F.array(stem, "record_id"))))
-    grouped = family.join(risky.withColumnRenamed("record_id", "risk"), "risk", "left_semi")
-
-    def number(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        used, seen, out = set(rows["record_id"]), {}, []
-        for own in rows["record_id"]:
-            n = seen[own] = seen.get(own, 0) + 1
-            if n > 1:
-                while f"{own}#{n}" in used:
-                    n += 1
-                used.add(f"{own}#{n}")
-            out.append(own if seen[own] == 1 else f"{own}#{n}")
-        return rows.assign(new_id=out)[rows["record_id"] == rows["risk"]].drop(columns="risk")
-
-    columns = [f for f in calm.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
-    ordered = grouped.select(*[f.name for f in columns if f.name != "new_id"], "risk")
-    return calm.unionByName(ordered.groupBy("risk").applyInPandas(number, schema))
+    one = F.lit(1).cast("long")
+    ids = kept.select("record_id", "seq")
+    later = settled(summed_before(ids, ["record_id"], ["seq"], one, "place").where("place > 0"))
+    # a number with a leading zero, or longer than any count, is never given away
+    suffix = r"(?s)^(.*)#([1-9][0-9]{0,17})$"
+    held = ids.select(F.regexp_extract("record_id", suffix, 1).alias("stem"), F.regexp_extract("record_id", suffix, 2).try_cast("long").alias("number")).where("number > 1").distinct()
+    held = held.join(later.select(F.col("record_id").alias("stem")).distinct(), "stem", "left_semi")
+    ranked = summed_before(held, ["stem"], ["number"], one, "r").select(F.col("stem").alias("record_id"), F.lit(None).cast(ids.schema["seq"].dataType).alias("seq"), (F.col("number") - F.col("r") - 1).alias("place"), F.lit(0).alias("turn"))
+    both = ranked.unionByName(later.withColumn("turn", F.lit(1)))
+    numbered = summed_before(both, ["record_id"], ["place", "turn"], F.lit(1) - F.col("turn"), "passed").where("turn = 1")
+    given = numbered.select(F.col("seq").alias("own_seq"), F.concat_ws("#", "record_id", F.col("place") + 1 + F.col("passed")).alias("given_"))
+    return kept.join(given, F.col("seq") == F.col("own_seq"), "left").withColumn("new_id", F.coalesce("given_", "record_id")).drop("own_seq", "given_")
 
 
 def deduplicate(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Unique records (``record_id`` renamed, ``extra`` merged), duplicates (seq, record_id, source_db, kept_record_id, key), renames (seq, from_id, to_id)."""
     rows = keyed(records)
-    kept = first_rows(rows.drop("blank_key", "extra"))
+    kept = settled(first_rows(rows.drop("blank_key", "extra")))
     named = renamed_ids(kept)
     extra = merged_extra(rows)
     unique = named.join(extra, "key", "left")

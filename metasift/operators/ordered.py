@@ -66,6 +66,19 @@ def greatest_before(df: DataFrame, by: list[str], order_col: str, value: Column,
     return joined.select("r.*", F.greatest("r.inside_", "t.before_").alias(name)).drop("range_no", "value_", "inside_")
 
 
+def summed_before(df: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over all earlier rows of the same group, 0 for its first; a group may fill any number of ranges."""
+    ranged = in_ranges(df.withColumn("value_", value), *by, *order)
+    sums = ranged.groupBy("range_no", *by).agg(F.sum("value_").alias("in_range_"))
+    sums = sums.select("range_no", *by, F.coalesce(F.sum("in_range_").over(earlier(by)), F.lit(0)).alias("before_"))
+    own = Window.partitionBy("range_no", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("r.range_no") == F.col("t.range_no")
+    for c in by:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
+    joined = ranged.withColumn("inside_", F.coalesce(F.sum("value_").over(own), F.lit(0))).alias("r").join(sums.alias("t"), same)
+    return joined.select("r.*", (F.col("r.inside_") + F.col("t.before_")).alias(name)).drop("range_no", "value_", "inside_")
+
+
 def medians(df: DataFrame, by: list[str], value_col: str, name: str) -> DataFrame:
     """``by`` and ``name``: the exact median of each group's values, the mean of the two in the middle; groups without a value have no row.
 
