@@ -5,7 +5,8 @@ decide), unresolved (some records only a person can settle) and auto_approve; of
 
 A gate's state follows from its last request and its last decision, so events may come in any order and more than once.
 The same rule serves a batch, where both are found by an aggregation, and a stream, where they are kept in keyed state with a
-timer that tells a gate that is still waiting after a while.
+timer that tells a gate that is still waiting after a while. Its keys are buckets of gates, as each key that has rows costs Python
+milliseconds and each row of such a key microseconds.
 """
 
 from __future__ import annotations
@@ -25,8 +26,14 @@ from metasift.operators.ledger import AUTO_APPROVER
 UNATTENDED = ("A2", "A3")
 REQUEST = "seq long, ts timestamp, request_sha256 string, autonomy string, forced boolean, unresolved boolean, auto_approve boolean"
 DECISION = "seq long, ts timestamp, request_sha256 string, approved boolean, actor string"
-SIDES = f"run string, stage string, request struct<{REQUEST.replace(' ', ':').replace(',:', ',')}>, decision struct<{DECISION.replace(' ', ':').replace(',:', ',')}>, due boolean"
 KEY = ("run", "stage")
+#: Fixed: a gate's bucket is part of the kept state. Many more than tasks, so that these get about the same number of gates.
+BUCKETS = 1024
+#: When a request without a time is due.
+NEVER = 2**63 - 1
+#: What a gate's state holds, and what comes out of it; a request or a decision is kept as the JSON that the stream made of it.
+KEPT = "request string, decision string, asked long, given long, due long"
+SIDES = "run string, stage string, request string, decision string, due boolean"
 
 
 def judged(sides: DataFrame) -> DataFrame:
@@ -68,46 +75,59 @@ def states(events: DataFrame, now: Column | None = None, patience: str = "3 days
     return judged(sides.withColumn("due", due))
 
 
-class _Gate(StatefulProcessor):
-    """The last request and decision of a gate; a row of both for each batch that changes one, and once when the request's time is up."""
+class _Gates(StatefulProcessor):
+    """The last request and decision of each gate of a bucket; a row of both for each batch that changes one, and once when the request's time is up.
 
-    def __init__(self, patience: timedelta):
-        self.patience = patience
+    ``waiting`` has the gates by the time when their request is due, which is when the bucket's timer calls. A gate that asked
+    again since is due at another time and is passed over.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.request, self.decision = handle.getValueState("request", REQUEST), handle.getValueState("decision", DECISION)
-
-    def _row(self, key: tuple, due: bool) -> pd.DataFrame:
-        both = [dict(zip((p.split()[0] for p in schema.split(", ")), state.get(), strict=True)) if state.exists() else None for state, schema in ((self.request, REQUEST), (self.decision, DECISION))]
-        return pd.DataFrame({"run": [key[0]], "stage": [key[1]], "request": [both[0]], "decision": [both[1]], "due": [due]})
+        self.gates = handle.getMapState("gates", "run string, stage string", KEPT)
+        self.waiting = handle.getMapState("waiting", "due long", "gates array<struct<run:string,stage:string>>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        changed = False
+        last: dict[tuple, dict[str, tuple]] = {}
         for batch in rows:
-            for kind, state, schema in (("request", self.request, REQUEST), ("decision", self.decision, DECISION)):
-                own = batch[(batch["kind"] == kind) & batch["seq"].notna()]
-                if own.empty:
-                    continue
-                last = own.loc[own["seq"].idxmax()]
-                if state.exists() and state.get()[0] >= int(last["seq"]):
-                    continue
-                values = []
-                for field, type_ in (p.split() for p in schema.split(", ")):
-                    value = last[field]
-                    missing = value is None or value is pd.NaT or (not isinstance(value, str) and pd.isna(value))
-                    values.append(None if missing else value.to_pydatetime() if type_ == "timestamp" else int(value) if type_ == "long" else bool(value) if type_ == "boolean" else str(value))
-                state.update(tuple(values))
-                changed = True
-                if kind == "request" and values[1] is not None:
-                    for timer in list(self.handle.listTimers()):
-                        self.handle.deleteTimer(timer)
-                    self.handle.registerTimer(int((last["ts"] + self.patience).timestamp() * 1000))
+            for run, stage, kind, *side in zip(*(batch[c].tolist() for c in (*KEY, "kind", "seq", "due", "body")), strict=True):
+                sides = last.setdefault((run, stage), {})
+                if kind not in sides or sides[kind][0] < side[0]:
+                    sides[kind] = side
+        changed, waiting = [], {}
+        for gate, sides in last.items():
+            before = self.gates.getValue(gate) or (None,) * 5
+            request, decision, asked, given, due = before
+            if "request" in sides and (asked is None or asked < sides["request"][0]):
+                asked, due, request = sides["request"]
+                if due != NEVER:
+                    waiting.setdefault(due, []).append(gate)
+            if "decision" in sides and (given is None or given < sides["decision"][0]):
+                given, _, decision = sides["decision"]
+            if (asked, given) != (before[2], before[3]):
+                self.gates.updateValue(gate, (request, decision, asked, given, due))
+                changed.append((*gate, request, decision, False))
+        for due, gates in waiting.items():
+            others = self.waiting.getValue((due,))
+            self.waiting.updateValue((due,), ([*map(tuple, others[0] if others else ()), *gates],))
+            if others is None:
+                self.handle.registerTimer(due)
         if changed:
-            yield self._row(key, False)
+            yield self._rows(changed)
+
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*KEY, "request", "decision", "due"])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self._row(key, True)
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        overdue = []
+        for gate in dict.fromkeys(tuple(gate) for gate in self.waiting.getValue((now,))[0]):
+            request, decision, _, _, due = self.gates.getValue(gate)
+            if due == now:
+                overdue.append((*gate, request, decision, True))
+        self.waiting.removeKey((now,))
+        if overdue:
+            yield self._rows(overdue)
 
     def close(self) -> None:
         """Nothing to give back."""
@@ -118,8 +138,13 @@ def watch(events: DataFrame, patience: timedelta = timedelta(days=3), late: str
 
     Timers follow the events' own time, ``late`` behind it; late events still count, as the watermark only drives the timers.
     """
-    sides = events.where(F.col("kind").isin("request", "decision")).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(*KEY).transformWithStateInPandas(_Gate(patience), SIDES, outputMode="Append", timeMode="EventTime")
-    return judged(sides).withColumn("overdue", F.coalesce(F.col("reason").startswith("overdue_"), F.lit(False)))
+    schemas = {kind: schema.replace("ts timestamp, ", "") for kind, schema in (("request", REQUEST), ("decision", DECISION))}
+    body = F.to_json(F.struct(*dict.fromkeys(part.split()[0] for schema in schemas.values() for part in schema.split(", "))))
+    due = F.coalesce(F.unix_millis(F.col("ts") + F.lit(patience)), F.lit(NEVER))
+    told = events.where(F.col("kind").isin("request", "decision") & F.col("seq").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    told = told.select(F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).alias("bucket"), *KEY, "kind", "seq", "ts", due.alias("due"), body.alias("body"))
+    sides = told.groupBy("bucket").transformWithStateInPandas(_Gates(), SIDES, outputMode="Append", timeMode="EventTime")
+    return judged(sides.withColumns({kind: F.from_json(kind, schema) for kind, schema in schemas.items()})).withColumn("overdue", F.coalesce(F.col("reason").startswith("overdue_"), F.lit(False)))
 
 
 #: Keyed state with timers is kept in this store.

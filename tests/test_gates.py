@@ -3,6 +3,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from metasift.streaming import gates
 
@@ -108,3 +109,61 @@ def test_timer_tells_what_waits(spark, tmp_path):
         gates.run_gates(spark, spark.readStream.schema(EVENT).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     found = {r.run: (r.state, r.reason) for r in gates.latest(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert found == {"waits": ("paused", "overdue_undecided"), "answered": ("approved", None), "asked again": ("paused", "undecided"), "clock": ("paused", "undecided")}
+
+
+def streamed(spark, folder, *batches, patience=dt.timedelta(days=3), late="1 hour"):
+    """The state of each gate after a run for each batch."""
+    for part in batches:
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        gates.run_gates(spark, spark.readStream.schema(EVENT).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state", patience=patience, late=late).awaitTermination(120)
+    return gates.latest(spark.read.parquet(f"{folder}/out"))
+
+
+def test_python_is_called_for_buckets_not_gates(spark, tmp_path, monkeypatch):
+    own = next(c for c in vars(gates).values() if isinstance(c, type) and issubclass(c, StatefulProcessor) and c is not StatefulProcessor)
+    calls = str(tmp_path / "calls")
+
+    class Counted(own):
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            with open(calls, "a") as log:
+                log.write(".")
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(gates, own.__name__, Counted)
+    monkeypatch.setattr(gates, "BUCKETS", 8, raising=False)
+    rows = [(f"run{k % 200}", *r[1:]) for k, r in enumerate(made(600, 7))]
+    assert shown(streamed(spark, tmp_path, rows, patience=dt.timedelta(days=300))) == plain(rows)
+    assert len(open(calls).read()) <= 8
+
+
+def test_timers_of_many_gates_like_batch(spark, tmp_path, monkeypatch):
+    """Gates that share buckets and times, some asking again; the watermark ends half an hour before the last event."""
+    monkeypatch.setattr(gates, "BUCKETS", 2)
+    rows = [(*r[:3], START + dt.timedelta(hours=r[2] // 4 * 4), *r[4:]) for r in made(150, 11)]
+    rows = [(f"run{k % 29}", *r[1:]) for k, r in enumerate(rows)]
+    now = max(r[3] for r in rows if r[4] != "label") - dt.timedelta(minutes=30)
+    expected = plain(rows, now)
+    assert {(r[3] or "")[:8] == "overdue_" for r in expected if r[2] == "paused"} == {True, False}
+    assert shown(streamed(spark, tmp_path, rows, late="30 minutes")) == expected
+
+
+def test_time_zone_and_request_without_time(spark, tmp_path):
+    """Patience is counted from the instant of asking; a request without a time is never overdue, whatever was asked before."""
+    ask = lambda run, seq, ts: (run, "rob", seq, ts, "request", "r", "A1", False, False, False, None, None)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        at = lambda hours: START + dt.timedelta(hours=hours)
+        found = streamed(spark, tmp_path, [ask("waits", 1, at(0)), ask("soon", 2, at(4)), ask("again", 3, at(0))], [ask("again", 4, None)], [ask("clock", 5, at(75))], [ask("clock", 6, at(75))]).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {r.run: r.reason for r in found} == {"waits": "overdue_undecided", "soon": "undecided", "again": "undecided", "clock": "undecided"}
+
+
+def test_large_numbers_of_events(spark, tmp_path):
+    """Numbers that a double can't hold, beside an event without one."""
+    big = 2**53
+    decide = lambda seq, approved: ("x", "rob", seq, START, "decision", "r", None, None, None, None, approved, "human:ana")
+    ask = ("x", "rob", 1, START, "request", "r", "A1", True, False, False, None, None)
+    found = streamed(spark, tmp_path, [ask, decide(big, False), decide(big + 1, True), decide(None, False)])
+    assert [(r.state, r.seq) for r in found.collect()] == [("approved", big + 1)]
